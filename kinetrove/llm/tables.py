@@ -44,3 +44,15 @@ def discard(*frames: DataFrame) -> None:
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
+
+
+def with_row_id(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``rid`` and the named columns. rid is doc_id where that tells all rows apart, else a stored row number."""
+    from pyspark.sql import functions as F
+
+    ids = docs.agg(F.count("doc_id").alias("some"), F.count(F.lit(1)).alias("all")).first()
+    repeated = ids["some"] == ids["all"] and docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = docs.select(*columns)
+    if ids["some"] == ids["all"] and not repeated:
+        return kept.withColumn("rid", F.col("doc_id").cast("long"))
+    return stored(kept.withColumn("rid", F.monotonically_increasing_id()), "rows")
