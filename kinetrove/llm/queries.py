@@ -31,6 +31,12 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_io import round_trip
 
@@ -49,6 +55,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
