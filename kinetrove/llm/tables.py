@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,9 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of finished steps; it acts on the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes the folders of ``stored`` tables that no later step reads."""
     for df in frames:
@@ -56,3 +64,28 @@ def with_row_id(docs: DataFrame, columns: list[str]) -> DataFrame:
     if ids["some"] == ids["all"] and not repeated:
         return kept.withColumn("rid", F.col("doc_id").cast("long"))
     return stored(kept.withColumn("rid", F.monotonically_increasing_id()), "rows")
+
+
+def sum_vectors(rows: DataFrame, blocks: int, width: int):
+    """The sum of (block, salt, vector) rows as a ``blocks`` x ``width`` array of int64.
+
+    Tasks emit their tables in blocks; sums go over (block, salt) first, so at most 64
+    vectors a block meet in one task and what reaches the driver has a fixed size.
+    """
+    import numpy as np
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(raw, "<i8")
+                sums[block] = sums[block] + x if block in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["block", "vector"])
+
+    schema = "block long, vector binary"
+    first = rows.repartition("block", "salt").select("block", "vector").mapInArrow(add, schema)
+    total = np.zeros((blocks, width), np.int64)
+    for row in first.repartition("block").mapInArrow(add, schema).collect():
+        total[row["block"]] += np.frombuffer(row["vector"], "<i8")
+    return total
