@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, as_bytes, chunks, grams, mix
-from .tables import with_row_id
+from .tables import stored, with_row_id
 
 SEED_WORDS = 12
 
@@ -113,18 +113,26 @@ def _window_hashes(rows: DataFrame, window: int) -> DataFrame:
                     cols = [np.concatenate([x[3] for x in out]), np.repeat([x[0] for x in out], size), at, np.repeat([x[2] for x in out], size)]
                     yield pa.RecordBatch.from_arrays([_long(np.asarray(c)) for c in cols], ["hash", "rid", "at", "weight"])
 
-    return rows.select("rid", "text", "runs").mapInArrow(run, "hash long, rid long, at long, weight long")
+    # all columns go in, so that this join and the last one share one exchange of the texts
+    rest = [c for c in rows.columns if c not in ("rid", "text", "runs")]
+    return rows.select("rid", "text", "runs", *rest).mapInArrow(run, "hash long, rid long, at long, weight long")
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(rid, at, n): n windows of the row from word ``at`` on occur elsewhere too. ``docs`` has rid and text."""
+    """(rid, at, n): n windows of the row from word ``at`` on occur elsewhere too. ``docs`` has rid and text, and may have more.
+
+    Anchors met once are dropped by a count of the anchors alone, before contexts are carried anywhere.
+    """
     found = anchors(docs, window)
-    contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min("rid").alias("rid"), F.min_by("at", "rid").alias("at"), F.min("n").alias("n"))
+    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    met = stored(found.join(again, "anchor"), "met")
+    contexts = met.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min("rid").alias("rid"), F.min_by("at", "rid").alias("at"), F.min("n").alias("n"))
+    contexts = stored(contexts, "contexts")
     kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    whole = found.join(contexts.where("k > 1").select("anchor", "context"), ["anchor", "context"]).select("rid", "at", "n")
-    several = contexts.join(kinds.select("anchor"), "anchor").select("rid", "at", "n", F.least("k", F.lit(2)).alias("weight"))
-    runs = several.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "weight")).alias("runs"))
-    hashes = _window_hashes(docs.select("rid", "text").join(runs, "rid"), window)
+    whole = met.join(contexts.where("k > 1").select("anchor", "context"), ["anchor", "context"]).select("rid", "at", "n")
+    runs = contexts.join(kinds.select("anchor"), "anchor").select("rid", "at", "n", F.least("k", F.lit(2)).alias("weight"))
+    runs = runs.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "weight")).alias("runs"))
+    hashes = _window_hashes(docs.join(runs, "rid"), window)
     twice = hashes.groupBy("hash").agg(F.sum("weight").alias("k")).where("k > 1").select("hash")
     parts = hashes.where("weight = 1").join(twice, "hash").select("rid", "at", F.lit(1).cast("long").alias("n"))
     return whole.unionByName(parts)
@@ -137,10 +145,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: list[str] | None = N
     """
     keep = keep or ["doc_id"]
     rows = with_row_id(docs, [*dict.fromkeys([*keep, "doc_id", "text"])])
-    spans = repeated_windows(rows.select("rid", "text"), window)
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     extra = [c for c in keep if c != "text"]
-    joined = rows.select("rid", "text", *extra).join(spans, "rid", "left")
+    rows = rows.select("rid", "text", *extra)
+    spans = repeated_windows(rows, window)
+    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    joined = rows.join(spans, "rid", "left")
     kinds = dict(joined.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "text string", "n_words long", "n_removed long", "kept_sha256 string"])
     kept_type = pa.string()
