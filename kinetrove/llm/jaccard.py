@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import U, Words, as_bytes, chunks, grams, mix
-from .tables import discard, stored, with_row_id
+from .tables import discard, stored, sum_vectors, with_row_id
 
 SLOTS = 1 << 18
-BITS = 1024
+LEAST_BITS, MOST_BITS = 1024, 1 << 17
 TILE = 2048
 SEEN = 1 << 20
 
@@ -64,8 +64,18 @@ def _sid(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    bits = np.bincount((mix(s) & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the hashed grams, in as many bits as keep them sparse enough to tell sets of this size apart."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length() if len(s) else 0))
+    bits = np.bincount((mix(s) & U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) of a larger width as those of ``words`` words: halves add up as parities."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
 
 
 def _long(x) -> pa.Array:
@@ -107,30 +117,18 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _levels(counts: DataFrame) -> bytes:
-    """One byte a slot: 0 for slots like most, else the magnitude of what they hold beyond the mean."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, "<i8")
-                sums[block] = sums[block] + x if block in sums else x
-        if sums:
-            yield pa.RecordBatch.from_arrays([_long(list(sums)), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["n", "bits"])
-
-    # sums of the tasks' tables, then of at most 64 sums a block: what reaches the driver is bounded
-    first = counts.select("n", "bits", "salt").repartition("n", "salt").select("n", "bits").mapInArrow(add, "n long, bits binary")
-    total = np.zeros((16, SLOTS // 16), np.int64)
-    for row in first.repartition(16, "n").mapInArrow(add, "n long, bits binary").collect():
-        total[row["n"]] += np.frombuffer(row["bits"], "<i8")
-    total = total.ravel()
-    mean = float(np.median(total))
-    excess = total - mean - 6 * math.sqrt(mean + 1) - 8
+    """One byte a slot: 0 for slots like most, else the magnitude of what they hold beyond the median."""
+    total = sum_vectors(counts, 16, SLOTS // 16).ravel()
+    middle = float(np.median(total))
+    excess = total - middle - 6 * math.sqrt(middle + 1) - 8
     return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8).tobytes()
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame:
-    """(gram, sid, n): the grams by which a class can meet others."""
+    """(gram, sid, n, index): the grams by which a class can meet others; index 1: those by which it can meet larger ones.
+
+    Of two sets that link, the smaller one's first n - ceil(2t n / (1 + t)) + 1 grams meet the larger one's prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels, np.uint8)
@@ -138,7 +136,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for a, b in chunks(texts):
-                keys, sids, sizes = [], [], []
+                keys, sids, sizes, index = [], [], [], []
                 for s in gram_sets(texts[a:b], k):
                     n = len(s)
                     if not n or (sid := _sid(s)) in seen:
@@ -146,16 +144,20 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame
                     if len(seen) < SEEN:
                         seen.add(sid)
                     take = n - -(-percent * n // 100) + 1
-                    order = np.lexsort((mix(s), level[(s >> U(46)).astype(np.int64)]))[:take]
-                    keys.append(s[order])
+                    rank = (level[(s >> U(46)).astype(np.int64)].astype(U) << U(56)) | (mix(s) >> U(8))
+                    order = np.argpartition(rank, take - 1)[:take]
+                    few = n - -(-2 * percent * n // (100 + percent)) + 1
+                    first = np.argpartition(rank[order], few - 1)
+                    keys.append(s[order[first]])
+                    index.append(np.arange(take) < few)
                     sids.append(sid)
                     sizes.append(n)
                 if keys:
                     count = [len(x) for x in keys]
-                    cols = [_long(np.concatenate(keys)), pa.array(np.repeat(np.array(sids, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int64), count))]
-                    yield pa.RecordBatch.from_arrays(cols, ["gram", "sid", "n"])
+                    cols = [_long(np.concatenate(keys)), pa.array(np.repeat(np.array(sids, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int64), count)), pa.array(np.concatenate(index).astype(np.int8))]
+                    yield pa.RecordBatch.from_arrays(cols, ["gram", "sid", "n", "index"])
 
-    return docs.select("text").mapInArrow(run, "gram long, sid long, n long")
+    return docs.select("text").mapInArrow(run, "gram long, sid long, n long, index byte")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -164,8 +166,11 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = (np.asarray(batch.column(i)) for i in range(4))
-            xa, xb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(-1, BITS // 64) for i in (4, 5))
-            apart = np.bitwise_count(xa ^ xb).sum(1, dtype=np.int64)
+            apart = np.zeros(len(a), np.int64)
+            for i, (p, q) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                words = min(len(p), len(q)) // 8
+                p, q = (_folded(np.frombuffer(x, U)[None, :], words) for x in (p, q))
+                apart[i] = np.bitwise_count(p ^ q).sum()
             keep = (na + nb - apart) // 2 >= _least_overlap(na, nb, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
@@ -210,27 +215,38 @@ def _tiled(rows: DataFrame, percent: int) -> DataFrame:
     size = rows.groupBy("gram").agg((F.floor((F.count(F.lit(1)) - 1) / TILE) + 1).alias("blocks"))
     dealt = rows.join(size, "gram").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("gram", "sid", "n", "component", "bits", "block", other)
-    dealt = dealt.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "component", "bits", "block")
+    dealt = dealt.select("gram", "sid", "n", "index", "component", "bits", "block", other)
+    dealt = dealt.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "component", "bits", "block", "index")
     dealt = dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n")
 
     def pairs(tile: list) -> set:
         i, j = tile[0][1], tile[0][2]
         n = np.array([r[3] for r in tile])
+        out: set = set()
+        if len(tile) < 2:
+            return out
         sid = np.array([r[4] for r in tile], np.int64)
         comp = np.array([r[5] for r in tile], np.int64)
-        x = np.frombuffer(b"".join(r[6] for r in tile), U).reshape(-1, BITS // 64)
         block = np.array([r[7] for r in tile])
+        words = np.array([len(r[6]) // 8 for r in tile])
         top = np.searchsorted(n, n * 100 // percent, "right")  # the band of sizes that can link, upwards
-        out = set()
-        for p in range(len(tile) - 1):
-            q = slice(p + 1, max(top[p], p + 1))
-            apart = np.bitwise_count(x[q] ^ x[p]).sum(1, dtype=np.int64)
-            keep = ((n[q] + n[p] - apart) // 2 >= _least_overlap(n[q], n[p], percent)) & (comp[q] != comp[p])
-            if i != j:
-                keep &= block[q] != block[p]
-            me = int(sid[p])
-            out.update((min(me, s), max(me, s)) for s in sid[q][keep].tolist() if s != me)
+        for width in np.unique(words).tolist():
+            first = int(np.searchsorted(words, width))
+            own = int(np.searchsorted(words, width, "right"))
+            last = int(top[first:own].max())
+            x = [np.frombuffer(b"".join(r[6] for r in tile[first:own]), U).reshape(-1, width)]
+            x += [_folded(np.frombuffer(r[6], U)[None, :], width) for r in tile[own:last]]
+            x = np.concatenate(x)
+            for p in range(first, own):
+                if not tile[p][8]:  # the smaller one must meet by a gram of its index
+                    continue
+                q = slice(p + 1, max(top[p], p + 1))
+                apart = np.bitwise_count(x[p + 1 - first : q.stop - first] ^ x[p - first]).sum(1, dtype=np.int64)
+                keep = ((n[q] + n[p] - apart) // 2 >= _least_overlap(n[q], n[p], percent)) & (comp[q] != comp[p])
+                if i != j:
+                    keep &= block[q] != block[p]
+                me = int(sid[p])
+                out.update((min(me, s), max(me, s)) for s in sid[q][keep].tolist() if s != me)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,21 +282,21 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     passed = stored(_classes(docs, k), "classes")
     rows = passed.where("kind = 0")
-    levels = _levels(passed.where("kind = 1").select("n", "bits", F.col("sid").alias("salt")))
+    levels = _levels(passed.where("kind = 1").select(F.col("n").alias("block"), F.col("sid").alias("salt"), F.col("bits").alias("vector")))
     spread = spark.sparkContext.broadcast(levels)  # SLOTS bytes, whatever the corpus
     reps = rows.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.first("bits").alias("bits"))
     reps = stored(reps, "reps")
     prefix = _prefixes(docs, k, percent, spread.value)
-    shared = prefix.groupBy("gram").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("gram", "hub")
+    shared = prefix.groupBy("gram").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"), F.max("index").alias("index")).where("hub < last and index = 1").select("gram", "hub")
     met = stored(prefix.join(shared, "gram"), "met")
     star = met.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
     facts = reps.select("sid", "n", "bits")
     star = star.join(facts.toDF("a", "na", "xa"), "a").join(facts.toDF("b", "nb", "xb"), "b")
     links = stored(_verified(stored(_bounded(star, percent), "star"), docs, reps, k, percent), "links")
     groups = components(links)
-    rest = met.select("gram", "sid", "n").distinct().join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    rest = met.select("gram", "sid", "n", "index").distinct().join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     kept = rest = stored(rest, "rest")
-    mixed = rest.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+    mixed = rest.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("index").alias("index")).where("lo < hi and index = 1").select("gram")
     rest = rest.join(mixed, "gram").join(facts.select("sid", "bits"), "sid")
     more = stored(_tiled(rest, percent), "pairs")
     more = _verified(more, docs, reps, k, percent)
