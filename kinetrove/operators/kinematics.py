@@ -51,7 +51,8 @@ def rolling_circular(rows: DataFrame, value: str, by: list[str], size: int = 31)
     s, c = (F.avg(f(F.radians(value))).over(w) for f in (F.sin, F.cos))
     whole = F.count(value).over(w) == size
     rows = rows.withColumns({"_s": F.when(whole, s), "_c": F.when(whole, c)})
-    r = F.least(F.lit(1.0), F.sqrt(F.col("_s") * F.col("_s") + F.col("_c") * F.col("_c")))
+    r = F.sqrt(F.col("_s") * F.col("_s") + F.col("_c") * F.col("_c"))
+    r = F.when(r > 1, 1.0).otherwise(r)  # least() would turn a NULL into 1
     return rows.withColumns({f"rollavg_{value}": F.pmod(F.degrees(F.atan2("_s", "_c")), F.lit(360.0)), f"rollstd_{value}": F.degrees(F.sqrt(-2 * F.log(r)))}).drop("_s", "_c")
 
 

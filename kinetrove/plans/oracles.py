@@ -159,7 +159,7 @@ QUERIES = {
     "rolling_speed": """select clip, individual, bodypart, frame, round(speed, 6) as speed, round(case when count(speed) over w = 31 then avg(speed) over w end, 6) as rollavg_speed,
       round(case when count(speed) over w = 31 then stddev_pop(speed) over w end, 6) as rollstd_speed from vel window w as (partition by clip, individual, bodypart order by frame rows between 15 preceding and 15 following)""",
     "rolling_heading": """select clip, individual, bodypart, frame, round(heading, 6) as heading,
-      round(case when m < 0 then m + 360 else m end, 6) as rollavg_heading, round(degrees(sqrt(-2 * ln(least(1.0, sqrt(s * s + c * c))))), 6) as rollstd_heading
+      round(case when m < 0 then m + 360 else m end, 6) as rollavg_heading, round(degrees(sqrt(-2 * ln(case when s * s + c * c > 1 then 1.0 else sqrt(s * s + c * c) end))), 6) as rollstd_heading
       from (select *, degrees(atan2(s, c)) as m from (select *, case when count(heading) over w = 31 then avg(sin(radians(heading))) over w end as s, case when count(heading) over w = 31 then avg(cos(radians(heading))) over w end as c
       from vel window w as (partition by clip, individual, bodypart order by frame rows between 15 preceding and 15 following)))""",
     "rolling_track": """select user_id::varchar as clip, event_id as frame, value, round(case when count(value) over w = 5 then avg(value) over w end, 6) as rollavg_value,
