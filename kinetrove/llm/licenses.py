@@ -61,13 +61,14 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     Among several licence files of a directory the largest cosine wins, then the name.
     """
     spark = files.sparkSession
-    rows = files.select("id", "path", "text")
+    # rows are met again by a key of all they hold, so null ids and paths and repeated ids do no harm
+    rows = files.select("id", "path", "text", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("\x00")), F.coalesce("path", F.lit("\x00")), F.coalesce("text", F.lit("\x00"))).alias("key"))
     cued = rows.where(F.col("text").rlike(CUE))
     found = F.transform(F.regexp_extract_all("text", F.lit(HEADER), F.lit(1)), lambda x: F.trim(x))
     is_file = F.col("path").rlike(FILE_NAME)
     short = F.length("text") <= 2000
-    headers = cued.select("id", "path", F.explode(F.array_distinct(F.concat(F.transform(found, lambda x: F.struct(x.alias("header"), F.lit(False).alias("all"))), F.when(is_file | short, F.array(F.struct(F.col("text").alias("header"), F.lit(True).alias("all")))).otherwise(F.array())))).alias("h"))
-    headers = headers.select("id", "path", "h.header", "h.all")
+    headers = cued.select("key", "path", F.explode(F.array_distinct(F.concat(F.transform(found, lambda x: F.struct(x.alias("header"), F.lit(False).alias("all"))), F.when(is_file | short, F.array(F.struct(F.col("text").alias("header"), F.lit(True).alias("all")))).otherwise(F.array())))).alias("h"))
+    headers = headers.select("key", "path", "h.header", "h.all").distinct()
     different = headers.select("header").distinct()
     terms = different.select("header", F.explode(_terms(F.col("header"))).alias("term")).groupBy("header", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, name string, text string")
@@ -83,11 +84,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     # a handful of templates' terms: bounded by the templates' length
     dots = weighed.join(F.broadcast(known_w), "term").groupBy("header", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = dots.join(norm, "header").join(F.broadcast(known_norm), "template").select("header", "name", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("cosine"))
-    best = cosine.groupBy("header").agg(F.max(F.struct("cosine", F.col("name"))).alias("top"), F.max("cosine").alias("cosine"))
-    best = cosine.join(best.select("header", "cosine"), ["header", "cosine"]).groupBy("header", "cosine").agg(F.min("name").alias("name")).where(F.col("cosine") >= match)
+    best = cosine.groupBy("header").agg(F.max("cosine").alias("cosine"))
+    best = cosine.join(best, ["header", "cosine"]).groupBy("header", "cosine").agg(F.min("name").alias("name")).where(F.col("cosine") >= match)
     matched = headers.join(best, "header")
-    per_row = matched.where(~F.col("all")).groupBy("id", "path").agg(F.max(F.struct("cosine", F.lit(0).alias("z"))).alias("top"), F.count(F.lit(1)).alias("headers"))
-    top = matched.where(~F.col("all")).join(per_row.select("id", "path", F.col("top.cosine").alias("cosine"), "headers"), ["id", "path", "cosine"]).groupBy("id", "path", "cosine", "headers").agg(F.min("name").alias("name"))
+    per_row = matched.where(~F.col("all")).groupBy("key").agg(F.max("cosine").alias("cosine"), F.count(F.lit(1)).alias("headers"))
+    top = matched.where(~F.col("all")).join(per_row, ["key", "cosine"]).groupBy("key", "cosine", "headers").agg(F.min("name").alias("name"))
     named = matched.where(F.col("all") & (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("cosine") >= whole)) & F.col("path").contains("/"))
     directory = named.withColumn("directory", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     high = directory.groupBy("directory").agg(F.max("cosine").alias("cosine"))
@@ -101,8 +102,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     near = up.join(granted, "directory")
     deepest = near.groupBy("home").agg(F.max("depth").alias("depth"))
     inherited = near.join(deepest, ["home", "depth"]).select("home", F.col("directory").alias("from_directory"), "granted")
-    out = rows.select("id", "path", home.alias("home"))
-    out = out.join(top.withColumnRenamed("path", "top_path").withColumnRenamed("id", "top_id"), out.id.eqNullSafe(F.col("top_id")) & out.path.eqNullSafe(F.col("top_path")), "left").drop("top_id", "top_path")
+    out = rows.select("id", "path", "key", home.alias("home")).join(top, "key", "left")
     out = out.join(inherited, "home", "left")
     basis = F.when(F.col("name").isNotNull(), "header").when(F.col("granted").isNotNull(), "directory").otherwise("none")
     return out.select(
