@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, as_bytes, chunks, grams, mix
-from .tables import stored, with_row_id
+from .tables import loose, stored, with_row_id
 
 SEED_WORDS = 12
 
@@ -125,16 +125,16 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """
     found = anchors(docs, window)
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
-    met = stored(found.join(again, "anchor"), "met")
+    met = stored(found.join(loose(again, "anchor"), "anchor"), "met")
     contexts = met.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min("rid").alias("rid"), F.min_by("at", "rid").alias("at"), F.min("n").alias("n"))
     contexts = stored(contexts, "contexts")
     kinds = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     whole = met.join(contexts.where("k > 1").select("anchor", "context"), ["anchor", "context"]).select("rid", "at", "n")
-    runs = contexts.join(kinds.select("anchor"), "anchor").select("rid", "at", "n", F.least("k", F.lit(2)).alias("weight"))
+    runs = contexts.join(loose(kinds.select("anchor"), "anchor"), "anchor").select("rid", "at", "n", F.least("k", F.lit(2)).alias("weight"))
     runs = runs.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "weight")).alias("runs"))
     hashes = _window_hashes(docs.join(runs, "rid"), window)
     twice = hashes.groupBy("hash").agg(F.sum("weight").alias("k")).where("k > 1").select("hash")
-    parts = hashes.where("weight = 1").join(twice, "hash").select("rid", "at", F.lit(1).cast("long").alias("n"))
+    parts = hashes.where("weight = 1").join(loose(twice, "hash"), "hash").select("rid", "at", F.lit(1).cast("long").alias("n"))
     return whole.unionByName(parts)
 
 

@@ -89,3 +89,14 @@ def sum_vectors(rows: DataFrame, blocks: int, width: int):
     for row in first.repartition("block").mapInArrow(add, schema).collect():
         total[row["block"]] += np.frombuffer(row["vector"], "<i8")
     return total
+
+
+def loose(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with its partitioning by these long columns forgotten.
+
+    A join with an aggregate's result would reuse the aggregate's partitions, and then Spark
+    can't split a hot key of the other side; dealt out anew for the join, it can.
+    """
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.bitwise_not(F.bitwise_not(c)) for c in columns})
