@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import U, Words, as_bytes, chunks, grams, mix
-from .tables import discard, stored, sum_vectors, with_row_id
+from .tables import discard, loose, stored, sum_vectors, with_row_id
 
 SLOTS = 1 << 18
-LEAST_BITS, MOST_BITS = 1024, 1 << 17
+LEAST_BITS, MOST_BITS = 512, 1 << 13
 TILE = 2048
 SEEN = 1 << 20
 
@@ -64,8 +64,8 @@ def _sid(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """Parities of the hashed grams, in as many bits as keep them sparse enough to tell sets of this size apart."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) - 1).bit_length() if len(s) else 0))
+    """Parities of the hashed grams. A width w tells unrelated sets of up to about 2 w grams apart; larger ones go to the exact check."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (len(s) * 3 // 4).bit_length()))
     bits = np.bincount((mix(s) & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -181,7 +181,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that truly link. A hub's pairs go in shares of at most about ``TILE``."""
     share = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / TILE) + 1).alias("shares"))
-    dealt = pairs.join(share, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
+    dealt = pairs.join(loose(share, "a"), "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
     hubs = share.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     wanted = dealt.select("a", "share", "b").unionByName(hubs.select("a", "share", F.col("a").alias("b")))
     need = wanted.select(F.col("b").alias("sid")).distinct().join(reps.select("sid", "rid"), "sid")
@@ -213,7 +213,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percen
 def _tiled(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) from tiles of (gram, sid, n, component, bits)."""
     size = rows.groupBy("gram").agg((F.floor((F.count(F.lit(1)) - 1) / TILE) + 1).alias("blocks"))
-    dealt = rows.join(size, "gram").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    dealt = rows.join(loose(size, "gram"), "gram").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("gram", "sid", "n", "index", "component", "bits", "block", other)
     dealt = dealt.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "component", "bits", "block", "index")
@@ -288,7 +288,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = stored(reps, "reps")
     prefix = _prefixes(docs, k, percent, spread.value)
     shared = prefix.groupBy("gram").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"), F.max("index").alias("index")).where("hub < last and index = 1").select("gram", "hub")
-    met = stored(prefix.join(shared, "gram"), "met")
+    met = stored(prefix.join(loose(shared, "gram"), "gram"), "met")
     star = met.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
     facts = reps.select("sid", "n", "bits")
     star = star.join(facts.toDF("a", "na", "xa"), "a").join(facts.toDF("b", "nb", "xb"), "b")
@@ -297,13 +297,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = met.select("gram", "sid", "n", "index").distinct().join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     kept = rest = stored(rest, "rest")
     mixed = rest.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("index").alias("index")).where("lo < hi and index = 1").select("gram")
-    rest = rest.join(mixed, "gram").join(facts.select("sid", "bits"), "sid")
+    rest = rest.join(loose(mixed, "gram"), "gram").join(facts.select("sid", "bits"), "sid")
     more = stored(_tiled(rest, percent), "pairs")
     more = _verified(more, docs, reps, k, percent)
     whole = components(links.unionByName(more))
     classes = reps.select("sid", "rid").join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = classes.groupBy("component").agg(F.min("rid").alias("component_rid"))
-    classes = classes.join(least, "component").select("sid", "component_rid")
+    classes = classes.join(loose(least, "component"), "component").select("sid", "component_rid")
     out = rows.select("rid", "sid", "n").join(classes, "sid", "left")
     out = out.select("rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_rid")).otherwise(F.col("rid")).alias("component_rid"))
     discard(met, kept)
@@ -319,4 +319,4 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = with_row_id(docs, ["doc_id", "text"])
     found = near_components(rows, k, percent).join(rows.select("rid", "doc_id"), "rid")
     names = found.groupBy("component_rid").agg(F.min("doc_id").alias("component_id"))
-    return found.join(names, "component_rid").select("doc_id", "n_shingles", "component_id")
+    return found.join(loose(names, "component_rid"), "component_rid").select("doc_id", "n_shingles", "component_id")
