@@ -78,6 +78,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .urls import ORACLE as urls
+    from .oracles import ORACLES
 
-    return {"op3_url_templates": urls}
+    return dict(ORACLES)
