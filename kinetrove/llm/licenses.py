@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 MATCH = 0.5
 WHOLE = 0.8
 #: Words at which a header is looked for, and names of licence files (fixed values).
@@ -64,11 +66,13 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     # rows are met again by a key of all they hold, so null ids and paths and repeated ids do no harm
     rows = files.select("id", "path", "text", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("\x00")), F.coalesce("path", F.lit("\x00")), F.coalesce("text", F.lit("\x00"))).alias("key"))
     cued = rows.where(F.col("text").rlike(CUE))
-    found = F.transform(F.regexp_extract_all("text", F.lit(HEADER), F.lit(1)), lambda x: F.trim(x))
+    # the header pattern tries many starts, so it sees only lines with a licence word
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(CUE))
+    found = F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(HEADER), F.lit(1)), F.trim)))
     is_file = F.col("path").rlike(FILE_NAME)
     short = F.length("text") <= 2000
     headers = cued.select("key", "path", F.explode(F.array_distinct(F.concat(F.transform(found, lambda x: F.struct(x.alias("header"), F.lit(False).alias("all"))), F.when(is_file | short, F.array(F.struct(F.col("text").alias("header"), F.lit(True).alias("all")))).otherwise(F.array())))).alias("h"))
-    headers = headers.select("key", "path", "h.header", "h.all").distinct()
+    headers = stored(headers.select("key", "path", "h.header", "h.all").distinct(), "headers")  # read many times below; the texts once
     different = headers.select("header").distinct()
     terms = different.select("header", F.explode(_terms(F.col("header"))).alias("term")).groupBy("header", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, name string, text string")
@@ -86,6 +90,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     cosine = dots.join(norm, "header").join(F.broadcast(known_norm), "template").select("header", "name", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("cosine"))
     best = cosine.groupBy("header").agg(F.max("cosine").alias("cosine"))
     best = cosine.join(best, ["header", "cosine"]).groupBy("header", "cosine").agg(F.min("name").alias("name")).where(F.col("cosine") >= match)
+    best = stored(best, "best")
     matched = headers.join(best, "header")
     per_row = matched.where(~F.col("all")).groupBy("key").agg(F.max("cosine").alias("cosine"), F.count(F.lit(1)).alias("headers"))
     top = matched.where(~F.col("all")).join(per_row, ["key", "cosine"]).groupBy("key", "cosine", "headers").agg(F.min("name").alias("name"))
