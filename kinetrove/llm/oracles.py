@@ -42,3 +42,63 @@ select w.doc_id, coalesce(n, 0)::bigint as n_shingles, min(b) as component_id fr
 """
 
 ORACLES = {"op3_url_templates": URLS, "op6_jaccard_join": JACCARD, "op9_substrings": SUBSTRINGS}
+
+
+def _licenses() -> str:
+    from .licenses import CUE, HEADER, MATCH, TEMPLATES, WHOLE
+
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    terms = r"regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\.[0-9]+)?')"
+    return f"""
+with files as (
+  select doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(doc_id::varchar, 'unknown') || '.txt' as path, text from documents
+), cued as (
+  select * from files where regexp_matches(text, '{CUE}')
+), headers as (
+  select distinct doc_id, path, trim(unnest(regexp_extract_all(text, '{HEADER}', 1))) as header, false as entire from cued
+  union all select distinct doc_id, path, text, true from cued where length(text) <= 2000
+), heads as (
+  select distinct header from headers
+), known as (
+  select * from (values {values}) t(template, name, text)
+), hterm as (
+  select header, term, count(*)::double as tf from (select header, unnest({terms.format("header")}) as term from heads) group by all
+), kterm as (
+  select template, name, term, count(*)::double as tf from (select template, name, unnest({terms.format("text")}) as term from known) group by all
+), idf as (
+  select term, ln(((select count(*) from heads) + {len(TEMPLATES)} + 1)::double / (count(*)::double + 0.5::double)) as idf from (select term from hterm union all select term from kterm) group by term
+), hw as (
+  select header, term, tf * idf as w from hterm join idf using (term)
+), kw as (
+  select template, name, term, tf * idf as w from kterm join idf using (term)
+), cosine as (
+  select d.header, d.name, round(dot / (h.norm * k.norm), 6) as cosine from
+    (select header, template, name, sum(hw.w * kw.w) as dot from hw join kw using (term) group by all) d
+    join (select header, sqrt(sum(w * w)) as norm from hw group by header) h using (header)
+    join (select template, sqrt(sum(w * w)) as norm from kw group by template) k using (template)
+), best as (
+  select header, cosine, name from (select *, row_number() over (partition by header order by cosine desc, name) as r from cosine) where r = 1 and cosine >= {MATCH}
+), matched as (
+  select * from headers join best using (header)
+), top as (
+  select doc_id, path, cosine, name, headers from (
+    select doc_id, path, cosine, name, row_number() over w as r, count(*) over (partition by doc_id, path) as headers from matched where not entire
+    window w as (partition by doc_id, path order by cosine desc, name)) where r = 1
+), granted as (
+  select directory, name as granted from (
+    select regexp_extract(path, '^(.*)/[^/]*$', 1) as directory, name, row_number() over (partition by regexp_extract(path, '^(.*)/[^/]*$', 1) order by cosine desc, name) as r
+    from matched where entire and cosine >= {WHOLE}) where r = 1
+), homes as (
+  select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as home from files
+), inherited as (
+  select home, directory, granted from (
+    select home, directory, granted, row_number() over (partition by home order by length(directory) desc) as r
+    from homes join granted on home = directory or starts_with(home, directory || '/')) where r = 1
+)
+select f.doc_id, f.path, t.name as header_license, t.cosine as header_cosine, coalesce(t.headers, 0) as headers, coalesce(t.name, i.granted) as license,
+  case when t.name is not null then 'header' when i.granted is not null then 'directory' else 'none' end as basis, case when t.name is null then i.directory end as from_directory
+from files f left join top t on t.doc_id = f.doc_id and t.path = f.path left join inherited i on i.home = regexp_extract(f.path, '^(.*)/[^/]*$', 1)
+"""
+
+
+ORACLES["op10_licenses"] = _licenses()
