@@ -19,18 +19,21 @@ from kinetrove.llm.tables import stored, table, with_row_id
 from kinetrove.llm.toxicity import drop_toxic
 
 
+#: Stages return these columns of documents; others are dropped, so their names can't clash with a stage's own.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold stay."""
-    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+    return drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard of 0.8 on five-word shingles, the least row id stays."""
-    names = docs.columns
-    rows = with_row_id(docs, names)
+    rows = with_row_id(docs, COLUMNS)
     found = near_components(rows, 5, 80)
     keep = found.where("rid = component_rid").select("rid")
-    return rows.join(keep, "rid").select(*[F.col(f"`{c}`") for c in names])
+    return rows.join(keep, "rid").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +41,14 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of a repeated passage every occurrence is removed, as op9 defines it.
     """
-    names = docs.columns
-    out = remove_repeats(docs, 35, names)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    out = remove_repeats(docs, 35, COLUMNS)
+    left = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, left).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return clean(docs, table(spark, sf_dir, "benchmark"))
+    return clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
