@@ -397,9 +397,12 @@ def test_pipeline_stages(spark, sf):
     import corpus_pipeline as c
 
     texts = random_docs(11)
-    source = docs(spark, [*texts, "you idiot moron, pathetic loser, worthless scum"]).withColumn("extra", F.lit(1)).drop("extra")
+    source = docs(spark, [*texts, "you idiot moron, pathetic loser, worthless scum"])
     root = sf
-    kept = c.toxicity(spark, source, root)
+    clash = source.withColumns({"rid": F.lit(1), "spans": F.lit("x"), "n_removed": F.lit(0), "runs": F.lit(2)})
+    kept = c.toxicity(spark, clash, root)
+    for _, stage in c.STAGES[:4]:
+        assert stage(spark, clash, root).columns == source.columns
     assert kept.columns == source.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(len(texts)))
     kept = tables.stored(kept, "t")
     links = brute_links(texts)
