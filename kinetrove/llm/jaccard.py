@@ -6,8 +6,8 @@
    n - ceil(t n) + 1 of either, in any order common to all sets. The order is by
    how common a gram's slot is in the whole corpus, then by hash, so grams that
    many texts share come last. Slots are a table of fixed size (``SLOTS``).
-3. Classes that share such a gram meet first as a star: each with the least class
-   of the gram. Verified stars already join most copies.
+3. Classes that share such a gram meet first as stars: each with the least and the
+   greatest class of the gram. Verified stars already join most copies.
 4. Grams that still hold different components are cut into tiles of bounded size:
    classes of one gram, in bands of set size, in blocks of ``TILE``. Inside a tile the bit count of two
    bitmaps' difference bounds the overlap from above; pairs below the bound,
@@ -287,9 +287,10 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = rows.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.first("bits").alias("bits"))
     reps = stored(reps, "reps")
     prefix = _prefixes(docs, k, percent, spread.value)
-    shared = prefix.groupBy("gram").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"), F.max("index").alias("index")).where("hub < last and index = 1").select("gram", "hub")
+    shared = prefix.groupBy("gram").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"), F.max("index").alias("index")).where("hub < last and index = 1").select("gram", "hub", "last")
     met = stored(prefix.join(loose(shared, "gram"), "gram"), "met")
-    star = met.where("sid != hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+    ends = F.array(F.col("hub"), F.col("last"))  # two hubs a gram: what one misses the other often has
+    star = met.select(F.explode(ends).alias("hub"), "sid").where("sid != hub").select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct()
     facts = reps.select("sid", "n", "bits")
     star = star.join(facts.toDF("a", "na", "xa"), "a").join(facts.toDF("b", "nb", "xb"), "b")
     links = stored(_verified(stored(_bounded(star, percent), "star"), docs, reps, k, percent), "links")
