@@ -73,25 +73,26 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     short = F.length("text") <= 2000
     headers = cued.select("key", "path", F.explode(F.array_distinct(F.concat(F.transform(found, lambda x: F.struct(x.alias("header"), F.lit(False).alias("all"))), F.when(is_file | short, F.array(F.struct(F.col("text").alias("header"), F.lit(True).alias("all")))).otherwise(F.array())))).alias("h"))
     headers = stored(headers.select("key", "path", "h.header", "h.all").distinct(), "headers")  # read many times below; the texts once
-    different = headers.select("header").distinct()
-    terms = different.select("header", F.explode(_terms(F.col("header"))).alias("term")).groupBy("header", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    headers = headers.withColumn("hid", F.xxhash64("header"))  # term rows carry this number, not the text
+    different = headers.groupBy("hid").agg(F.min("header").alias("header"))
+    terms = different.select("hid", F.explode(_terms(F.col("header"))).alias("term")).groupBy("hid", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, name string, text string")
     known_terms = known.select("template", "name", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "name", "term").agg(F.count(F.lit(1)).cast("double").alias("ttf"))
     idf_in = terms.select("term", F.lit(1).alias("one")).unionByName(known_terms.select("term", F.lit(1).alias("one")))
     idf_in = idf_in.groupBy("term").agg(F.sum("one").cast("double").alias("df"))
     count = different.agg((F.count(F.lit(1)) + F.lit(len(templates))).cast("double").alias("n"))
     idf = idf_in.crossJoin(F.broadcast(count)).select("term", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = terms.join(idf, "term").select("header", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weighed.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighed = terms.join(idf, "term").select("hid", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weighed.groupBy("hid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     known_w = known_terms.join(idf, "term").select("template", "name", "term", (F.col("ttf") * F.col("idf")).alias("tw"))
     known_norm = known_w.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     # a handful of templates' terms: bounded by the templates' length
-    dots = weighed.join(F.broadcast(known_w), "term").groupBy("header", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    cosine = dots.join(norm, "header").join(F.broadcast(known_norm), "template").select("header", "name", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("cosine"))
-    best = cosine.groupBy("header").agg(F.max("cosine").alias("cosine"))
-    best = cosine.join(best, ["header", "cosine"]).groupBy("header", "cosine").agg(F.min("name").alias("name")).where(F.col("cosine") >= match)
+    dots = weighed.join(F.broadcast(known_w), "term").groupBy("hid", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    cosine = dots.join(norm, "hid").join(F.broadcast(known_norm), "template").select("hid", "name", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("cosine"))
+    best = cosine.groupBy("hid").agg(F.max("cosine").alias("cosine"))
+    best = cosine.join(best, ["hid", "cosine"]).groupBy("hid", "cosine").agg(F.min("name").alias("name")).where(F.col("cosine") >= match)
     best = stored(best, "best")
-    matched = headers.join(best, "header")
+    matched = headers.drop("header").join(best, "hid")
     per_row = matched.where(~F.col("all")).groupBy("key").agg(F.max("cosine").alias("cosine"), F.count(F.lit(1)).alias("headers"))
     top = matched.where(~F.col("all")).join(per_row, ["key", "cosine"]).groupBy("key", "cosine", "headers").agg(F.min("name").alias("name"))
     named = matched.where(F.col("all") & (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("cosine") >= whole)) & F.col("path").contains("/"))
