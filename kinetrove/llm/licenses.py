@@ -1,9 +1,9 @@
 """Licence scanning by sparse TF-IDF cosine, in DataFrame functions only.
 
-Headers are the lines around licence words in a text. Each different header is
-a sparse TF-IDF vector (document frequencies over all headers of the corpus
-and the templates) and is compared with licence templates by cosine; the best
-template at ``MATCH`` or above names it. A file that is itself a licence file (by
+Headers are the lines of a text, and the windows around licence words in long lines. Each different
+header, and each whole text, is a sparse TF-IDF vector and is compared with licence templates by cosine; the best
+template at ``MATCH`` or above names it. Document frequencies are those over the lines with licence words
+and the templates; a word that is in none of them has frequency 0. They weigh the words and leave no text out. A file that is itself a licence file (by
 its name, or a whole text near a template) licenses its directory, and a file
 without a header of its own takes the licence of its nearest such ancestor
 directory, found by equi-joins of paths with all their ancestors.
@@ -21,7 +21,7 @@ from .tables import stored
 
 MATCH = 0.5
 WHOLE = 0.8
-#: Words at which a header is looked for, and names of licence files (fixed values).
+#: Words whose lines give the document frequencies, windows around them, and names of licence files (fixed values).
 CUE = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved|creativecommons"
 HEADER = r"(?i)([^\n]{0,160}(?:licen[cs]e|copyright|spdx|public domain|all rights reserved|creativecommons)[^\n]{0,240})"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
@@ -55,6 +55,32 @@ def _terms(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
 
 
+def _candidates(rows: DataFrame, windows, weights: dict[str, float], unit_templates: dict[str, list[float]], low: float, match: float) -> DataFrame:
+    """key, path, header, all of the lines, windows and whole texts that can reach ``match`` with some template.
+
+    The dot product has template terms only and is exact here. Of the norm, the part of the template terms is
+    exact; the m other terms, d of them different, add m * m / d * low ** 2 to its square at least,
+    where ``low`` is the least weight of any other term. So no text that could match is left out.
+    """
+    lines = F.split("text", "\n", -1)
+    unit = lambda x, whole, terms: F.struct(x.alias("header"), F.lit(whole).alias("all"), terms.alias("terms"))
+    # no term spans lines, so the terms of a text are those of its lines, which are cut once
+    cut = rows.select("key", "path", "text", F.transform(lines, lambda x: unit(F.trim(x), False, _terms(x))).alias("lines"), windows(lines).alias("windows"))
+    parts = F.concat("lines", F.transform("windows", lambda x: unit(x, False, _terms(x))), F.array(unit(F.col("text"), True, F.flatten("lines.terms"))))
+    units = cut.select("key", "path", F.explode(parts).alias("u")).select("key", "path", "u.*")
+    own = F.filter("terms", lambda x: x.isin(list(weights)))
+    units = units.select("key", "path", "header", "all", own.alias("own"), F.array_except("terms", F.array(*map(F.lit, weights))).alias("rest"), F.size("terms").alias("size"))
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    tf = lambda x: F.size("own") - F.size(F.array_remove(F.col("own"), x))
+    square = F.aggregate(F.array_distinct("own"), F.lit(0.0), lambda total, x: total + F.pow(tf(x) * known[x], 2))
+    m = (F.col("size") - F.size("own")).cast("double")
+    other = F.lit(low * low) * m * m / F.greatest(F.size("rest"), F.lit(1))
+    least = (match - 1e-6) ** 2  # cosines are rounded to six places
+    shares = F.create_map(*[x for term, v in unit_templates.items() for x in (F.lit(term), F.array(*map(F.lit, v)))])
+    dots = F.aggregate("own", F.array(*[F.lit(0.0)] * len(next(iter(unit_templates.values())))), lambda total, x: F.zip_with(total, shares[x], lambda p, q: p + q))
+    return units.where((F.size("own") > 0) & (square * (1 - least) >= other * least) & (F.pow(F.array_max(dots), 2) >= (square + other) * least))
+
+
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match: float = MATCH, whole: float = WHOLE) -> DataFrame:
     """id, path, header_license, header_cosine, headers, license, basis, from_directory of every row of (id, path, text).
 
@@ -65,16 +91,11 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     spark = files.sparkSession
     # rows are met again by a key of all they hold, so null ids and paths and repeated ids do no harm
     rows = files.select("id", "path", "text", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("\x00")), F.coalesce("path", F.lit("\x00")), F.coalesce("text", F.lit("\x00"))).alias("key"))
-    cued = rows.where(F.col("text").rlike(CUE))
-    # the header pattern tries many starts, so it sees only lines with a licence word
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(CUE))
-    found = F.flatten(F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(HEADER), F.lit(1)), F.trim)))
     is_file = F.col("path").rlike(FILE_NAME)
-    short = F.length("text") <= 2000
-    headers = cued.select("key", "path", F.explode(F.array_distinct(F.concat(F.transform(found, lambda x: F.struct(x.alias("header"), F.lit(False).alias("all"))), F.when(is_file | short, F.array(F.struct(F.col("text").alias("header"), F.lit(True).alias("all")))).otherwise(F.array())))).alias("h"))
-    headers = stored(headers.select("key", "path", "h.header", "h.all").distinct(), "headers")  # read many times below; the texts once
-    headers = headers.withColumn("hid", F.xxhash64("header"))  # term rows carry this number, not the text
-    different = headers.groupBy("hid").agg(F.min("header").alias("header"))
+    windows = lambda lines: F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(CUE)), lambda x: F.transform(F.regexp_extract_all(x, F.lit(HEADER), F.lit(1)), F.trim)))
+    # document frequencies come from the cued headers; what is compared does not depend on cues
+    cued = rows.where(F.col("text").rlike(CUE)).select(F.explode(F.concat(windows(F.split("text", "\n", -1)), F.when(is_file | (F.length("text") <= 2000), F.array("text")).otherwise(F.array()))).alias("header"))
+    different = stored(cued.distinct().withColumn("hid", F.xxhash64("header")), "cued")
     terms = different.select("hid", F.explode(_terms(F.col("header"))).alias("term")).groupBy("hid", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, name string, text string")
     known_terms = known.select("template", "name", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "name", "term").agg(F.count(F.lit(1)).cast("double").alias("ttf"))
@@ -82,12 +103,23 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     idf_in = idf_in.groupBy("term").agg(F.sum("one").cast("double").alias("df"))
     count = different.agg((F.count(F.lit(1)) + F.lit(len(templates))).cast("double").alias("n"))
     idf = idf_in.crossJoin(F.broadcast(count)).select("term", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = terms.join(idf, "term").select("hid", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weighed.groupBy("hid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    known_w = known_terms.join(idf, "term").select("template", "name", "term", (F.col("ttf") * F.col("idf")).alias("tw"))
+    idf = stored(idf, "idf")
+    lowest = F.log((F.col("n") + 1) / (F.col("df") + 0.5))
+    low = idf_in.join(F.broadcast(known_terms.select("term").distinct()), "term", "left_anti").agg(F.coalesce(F.max("df"), F.lit(0.0)).alias("df")).crossJoin(count).select(lowest.alias("idf")).first()["idf"]
+    rare = count.select(F.log((F.col("n") + 1) / 0.5).alias("idf")).first()["idf"]  # of a term that no cued header has
+    known_w = known_terms.join(idf, "term").select("template", "name", "term", "idf", (F.col("ttf") * F.col("idf")).alias("tw"))
     known_norm = known_w.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
+    weights, shares = {}, {}
+    for r in known_w.join(known_norm, "template").collect():  # the templates' terms
+        weights[r["term"]] = r["idf"]
+        shares.setdefault(r["term"], [0.0] * len(templates))[r["template"]] = r["idf"] * r["tw"] / r["tnorm"]
+    units = _candidates(rows, windows, weights, shares, low, match).withColumn("hid", F.xxhash64("header"))
+    headers = stored(units.select("key", "path", "header", "all", "hid"), "headers").distinct()
+    terms = headers.groupBy("hid").agg(F.min("header").alias("header")).select("hid", F.explode(_terms(F.col("header"))).alias("term")).groupBy("hid", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    weighed = terms.join(idf, "term", "left").select("hid", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w"))
+    norm = weighed.groupBy("hid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # a handful of templates' terms: bounded by the templates' length
-    dots = weighed.join(F.broadcast(known_w), "term").groupBy("hid", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    dots = weighed.join(F.broadcast(known_w.drop("idf")), "term").groupBy("hid", "template", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = dots.join(norm, "hid").join(F.broadcast(known_norm), "template").select("hid", "name", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("cosine"))
     best = cosine.groupBy("hid").agg(F.max("cosine").alias("cosine"))
     best = cosine.join(best, ["hid", "cosine"]).groupBy("hid", "cosine").agg(F.min("name").alias("name")).where(F.col("cosine") >= match)

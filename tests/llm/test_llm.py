@@ -359,6 +359,18 @@ def test_licenses(spark):
     assert len(got) == 10 and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_without_licence_words_and_of_any_length(spark):
+    bsd, mit = "Redistribution and use in source and binary forms", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    rows = [
+        (1, "a/x.txt", f"some code\n{bsd}\nmore code"), (2, "b/x.txt", mit), (3, "c/LICENSE", mit), (4, "c/d/y.txt", "plain prose"),
+        (5, "e/z.txt", "Released under the MIT License.\n" * 100), (6, "e/w.txt", "plain prose"), (7, "f/v.txt", "to any person of the public, in this way and at no charge, a copy was sold"),
+    ]
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    got = {r["id"]: (r["license"], r["basis"], r["from_directory"]) for r in licenses.scan(df).collect()}
+    assert got[1][0].startswith("BSD-") and got[1][1] == "header" and got[2] == ("MIT", "header", None)
+    assert got[4] == ("MIT", "directory", "c") and got[6] == ("MIT", "directory", "e") and got[7] == (None, "none", None)
+
+
 def brute_cosine(files):
     """Best template of each file's headers, computed by dictionaries."""
     import math
