@@ -3,7 +3,7 @@
 A url's host and path are cut out, explicit rules are applied (longest first), and
 urls without a rule are judged by their template. Per host, path segments made of
 digits become ``{n}``; then, from the root down, a node with more than ``FAN``
-different children has them replaced by ``*``. A template is a host and such a path. Branches
+different children has them replaced by ``*``, down to the deepest segment of any path. A template is a host and such a path. Branches
 of one registered domain with the same path are merged where their labelled rates
 do not differ at the 5 % level (a branch without labels joins its siblings), and
 a template is rejected if its smoothed labelled purity is below one half. Labels are the
@@ -15,11 +15,14 @@ sums, so a hot host costs no more than others; the tree works on those sums.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 FAN = 20
-DEPTH = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the registered query (fixed values).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -64,15 +67,19 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, fan:
         F.count(F.when(F.col("said") == "allow", 1)).alias("good"),
         F.count(F.when(F.col("said") == "block", 1)).alias("bad"),
     )
-    tree = sums.withColumn("parts", F.split("general", "/", -1)).withColumn("node", F.lit(""))
-    for k in range(DEPTH):
-        part = F.get("parts", F.lit(k))
-        wide = tree.where(part.isNotNull()).select("host", "node", part.alias("part")).distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("children"))
+    # a level's nodes are stored, or each level would double the plan; rows whose path has ended are not read again
+    left = stored(sums.withColumn("parts", F.split("general", "/", -1)).withColumn("node", F.lit("")), "paths")
+    deepest = left.agg(F.max(F.size("parts"))).first()[0] or 0
+    ended = [left.limit(0)]
+    for k in range(deepest):
+        left = left.withColumn("part", F.get("parts", F.lit(k)))
+        wide = left.select("host", "node", "part").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("children"))
         wide = wide.where(F.col("children") > fan).select("host", "node", F.lit("*").alias("wild"))
-        tree = tree.join(wide, ["host", "node"], "left")
-        tree = tree.withColumn("node", F.when(part.isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/" if k else ""), F.coalesce("wild", part)))).drop("wild")
-    deep = F.size("parts") > DEPTH
-    tree = tree.select("host", "general", "good", "bad", F.when(deep, F.concat("node", F.lit("/**"))).otherwise(F.col("node")).alias("template"))
+        level = left.join(wide, ["host", "node"], "left").withColumn("node", F.concat("node", F.lit("/" if k else ""), F.coalesce("wild", "part")))
+        level = stored(level.drop("wild", "part"), "level")
+        ended.append(level.where(F.size("parts") == k + 1))
+        left = level.where(F.size("parts") > k + 1)
+    tree = reduce(DataFrame.unionByName, ended).select("host", "general", "good", "bad", F.col("node").alias("template"))
     domain = F.substring_index("host", ".", -2)
     own = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     pool = own.groupBy(domain.alias("domain"), "template").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))

@@ -346,6 +346,15 @@ def test_url_templates_block_what_their_labels_say(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_templates_go_down_to_the_last_segment(spark):
+    rules = [("block", "org", "/a/b/c/spam/"), ("allow", "org", "/a/b/c/d/e/f/g/ok")]
+    data = [f"http://w.org/a/b/c/spam/{'x' * (i + 1)}" for i in range(25)] + ["http://w.org/a/b/c/good/x", "http://w.org/a/b/c/d/e/f/g/ok/y", "http://w.org/a"]
+    df = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+    got = {data[r["page_id"]]: (r["template"], r["verdict"]) for r in urls.judge_urls(df, rules).collect()}
+    assert got[data[0]] == ("/a/b/c/spam/*", "block") and got[data[25]] == ("/a/b/c/good/x", "allow")
+    assert got[data[26]] == ("/a/b/c/d/e/f/g/ok/y", "allow") and got[data[27]] == ("/a", "allow") and len(got) == 28
+
+
 def test_licenses(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
