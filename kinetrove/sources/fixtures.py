@@ -49,5 +49,5 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(start, stop) in frames, stop exclusive."""
-    return events(spark, sf_dir).where("event_id % 97 = 0 and event_id < 500").select(F.col("event_id").cast("bigint").alias("start"), (F.col("event_id") + 20).cast("bigint").alias("stop"))
+    """(start, stop) in frames, stop exclusive: every 97th event stands for an annotation of 20 frames, over the whole table."""
+    return events(spark, sf_dir).where("event_id % 97 = 0").select(F.col("event_id").cast("bigint").alias("start"), (F.col("event_id") + 20).cast("bigint").alias("stop"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kinetrove.functions import geometry as G
 from kinetrove.operators import changepoint, events, features, intervals, kinematics, pairs, presence, refine, sequences, summaries
+from kinetrove.plans.queries import all_queries
+from kinetrove.sources import fixtures as X
 from kinetrove.sources import keys, schema, stores
 
 POSE = "clip string, frame long, individual string, bodypart string, x double, y double"
@@ -237,3 +239,10 @@ def test_entry_and_pruned_scan(spark):
     assert e.entry(spark).count() > 0
     plan = fixtures.roi(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<vec_id:bigint>" in plan
+
+
+def test_annotations_reach_every_clip(spark):
+    d = "/root/testdata/sf0.1"
+    events = X.events(spark, d).where("event_id % 97 = 0")
+    assert X.annotations(spark, d).count() == events.count()
+    assert all(r["quivering_fraction"] > 0 for r in all_queries()["quivering_fraction"](spark, d).collect())
