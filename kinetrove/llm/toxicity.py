@@ -158,13 +158,22 @@ class Grammar:
             w = Words(texts[a:b])
             if not len(w):
                 continue
-            quote = w.buf[w.start] == 34  # an opening quote is not part of the word
-            w.start = w.start + quote
+            mark = (w.buf == 34) | (w.buf == 39)  # quotes and apostrophes around it are not part of the word
+            w.start, w.end = w.start.copy(), w.end.copy()
+            at = np.flatnonzero(mark[w.start])
+            while len(at):
+                w.start[at] += 1
+                at = at[w.start[at] < w.end[at]]
+                at = at[mark[w.start[at]]]
+            at = np.flatnonzero((w.end > w.start) & mark[w.end - 1])
+            while len(at):
+                w.end[at] -= 1
+                at = at[mark[w.end[at] - 1]]  # a word that is all marks is empty by now
             doc, hit = w.doc_of(), np.zeros(b - a, bool)
             long = w.end - w.start
             for n, keys in self.tables.items():
                 at = np.flatnonzero(long >= n) if n else np.arange(len(w))
-                end = w.start[at] + n if n else w.end[at] - ((w.buf[w.end[at] - 1] == 34) | (w.buf[w.end[at] - 1] == 39)) * (long[at] > 1)
+                end = w.start[at] + n if n else w.end[at]
                 h = w.spans(w.start[at], end)
                 place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit[doc[at[keys[place] == h]]] = True

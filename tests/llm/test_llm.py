@@ -265,6 +265,14 @@ def test_toxicity_grammar_and_odd_rows(spark):
     assert sum(r["held_out"] for r in out) == sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(out)))
 
 
+def test_prefilter_passes_words_in_any_quotes():
+    g = toxicity.Grammar({b"zork": 4.0, b"abc$": 4.0})
+    for text in ("'idiot'", '"' + "'idiot'" + '"', "'" * 2 + "zorking", "'" * 3 + '"abc' + "'" * 2, '"' * 2 + "abc"):
+        score = sum(g.clause(x.split(), False)[0] for x in toxicity.plain(text).split(b"\n"))
+        assert score > 0 and g.evidence([toxicity.plain(text)])[0] > 0, text
+    assert g.evidence([toxicity.plain("'' ' abcd")])[0] == 0
+
+
 def test_quality_sampling(spark):
     root = "/root/testdata/sf0.1"
     labels = tables.table(spark, root, "labels")
