@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, as_bytes, chunks
+from .tables import stored
 
 MAX_ROWS = 20_000
-MAX_STEMS = 4_000
 PRIOR = 8
 SHORTEST, LONGEST = 3, 10
 NEAR = 4
@@ -92,12 +92,13 @@ def learn_stems(rows: DataFrame) -> dict[bytes, float]:
     found = total.where("length(stem) > 0 and bad >= 4")
     purity = F.col("bad") / (F.col("bad") + F.col("good") + F.lit(0.5))
     llr = F.col("bad") * F.log(purity / F.lit(rate)) + (F.col("good") + 0.5) * F.log((1 - purity) / F.lit(1 - rate))
-    found = found.where(purity >= max(0.7, min(0.95, 2 * rate))).where(llr >= 10)
+    found = stored(found.where(purity >= max(0.7, min(0.95, 2 * rate))).where(llr >= 10).select("stem", "bad", "good"), "stems")
+    # of stems that begin alike the shortest stands for all; the rest stay off the driver
+    longer = found.select("stem", F.explode(F.sequence(F.lit(SHORTEST), F.length("stem") - 1)).alias("n")).where("n < length(stem)")
+    longer = longer.select("stem", F.expr("substring(stem, 1, n)").alias("prefix")).join(found.select(F.col("stem").alias("prefix")), "prefix").select("stem").distinct()
     weights: dict[bytes, float] = {}
-    for r in sorted(found.orderBy(F.desc("bad"), "stem").limit(MAX_STEMS).collect(), key=lambda r: (len(r["stem"]), bytes(r["stem"]))):
-        stem = bytes(r["stem"])
-        if not any(stem[:k] in weights for k in range(SHORTEST, len(stem))):
-            weights[stem] = math.log((r["bad"] + 0.5) / (n["bad"] + 1)) - math.log((r["good"] + 0.5) / (n["good"] + 1))
+    for r in found.join(longer, "stem", "left_anti").orderBy(F.length("stem"), "stem").collect():
+        weights[bytes(r["stem"])] = math.log((r["bad"] + 0.5) / (n["bad"] + 1)) - math.log((r["good"] + 0.5) / (n["good"] + 1))
     return weights
 
 

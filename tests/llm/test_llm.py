@@ -273,6 +273,14 @@ def test_prefilter_passes_words_in_any_quotes():
     assert g.evidence([toxicity.plain("'' ' abcd")])[0] == 0
 
 
+def test_all_word_families_are_learned(spark):
+    name = lambda i: "".join("bcdfghjklm"[int(d)] for d in f"{i:04d}") + "abcdefgh"
+    bad = [(" ".join(name(i) for i in range(700)), 1)] * 12
+    stems = toxicity.learn_stems(spark.createDataFrame(bad + [("fine words only", 0)] * 40, "text string, toxic int"))
+    assert all(any(name(i).encode().startswith(s) for s in stems) for i in range(700))
+    assert not any(a != b and b.startswith(a) for a in stems for b in stems)
+
+
 def test_quality_sampling(spark):
     root = "/root/testdata/sf0.1"
     labels = tables.table(spark, root, "labels")
