@@ -93,7 +93,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     Ranges of doc_id go to one task each, so a hot source or group of copies is
     spread like any other rows. Null text is empty: the end id alone. Rows without
-    a doc_id have no place in the order and are left out. Rows that repeat a doc_id
+    a doc_id come first; ``n_null`` counts them in each segment. Rows that repeat a doc_id
     are all kept, in order of their text.
     """
 
@@ -103,8 +103,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         names, kept, size, serial = [], [], 0, 0
 
         def out() -> pa.RecordBatch:
-            cols = [[names[0]], [names[-1]], [serial], [len(kept)], [size], [encode_segment(names, kept, bits)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 5 + [pa.binary()])], ["first_doc", "last_doc", "segment", "n_docs", "n_ids", "segment_bytes"])
+            cols = [[names[0]], [names[-1]], [serial], [len(kept)], [size], [names.count(None)], [encode_segment([x or 0 for x in names], kept, bits)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 6 + [pa.binary()])], ["first_doc", "last_doc", "segment", "n_docs", "n_ids", "n_null", "segment_bytes"])
 
         for batch in batches:
             texts = as_bytes(batch.column(1))
@@ -119,9 +119,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if kept:
             yield out()
 
-    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInArrow(run, "first_doc long, last_doc long, segment long, n_docs long, n_ids long, segment_bytes binary")
+    written = ordered.mapInArrow(run, "first_doc long, last_doc long, segment long, n_docs long, n_ids long, n_null long, segment_bytes binary")
     written.withColumn("part", F.spark_partition_id()).write.parquet(path)
 
 
@@ -138,14 +138,14 @@ def read_tokens(spark, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, segment, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, segment, nulls, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 names, docs = decode_segment(raw)
                 lens = np.array([len(d) for d in docs], np.int64)
                 crc = [zlib.crc32(d.astype("<u4").tobytes()) for d in docs]
-                columns = [pa.array(np.full(len(docs), part)), pa.array(np.full(len(docs), segment)), pa.array(names, pa.int64()), pa.array(np.cumsum(lens) - lens), pa.array(lens), pa.array(crc, pa.int64())]
+                columns = [pa.array(np.full(len(docs), part)), pa.array(np.full(len(docs), segment)), pa.array([None] * nulls + list(names)[nulls:], pa.int64()), pa.array(np.cumsum(lens) - lens), pa.array(lens), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    docs = files.select(F.col("part").cast("long"), "segment", "segment_bytes").mapInArrow(run, "part long, segment long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = files.select(F.col("part").cast("long"), "segment", "n_null", "segment_bytes").mapInArrow(run, "part long, segment long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(index, ["part", "segment"]).select("doc_id", (F.col("first_id") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

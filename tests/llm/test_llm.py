@@ -212,6 +212,13 @@ def test_token_files(spark):
         at += len(x)
 
 
+def test_token_files_keep_null_ids(spark):
+    df = spark.createDataFrame([(None, "one two"), (5, "three"), (None, "four five six"), (0, "seven")], "doc_id long, text string")
+    got = sorted(token_io.round_trip(df, P.path("byte_bpe_50k.json"), segment_ids=3).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 0, 5]
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(4)]
+
+
 def test_leaks(spark):
     rng = random.Random(8)
     text = lambda n: " ".join("t%d" % rng.randrange(3000) for _ in range(n))
