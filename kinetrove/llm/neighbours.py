@@ -17,6 +17,7 @@ costs one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -202,16 +203,22 @@ def search(vectors: DataFrame, queries: F.Column | str, k: int = 5, curves: int
     """query_id, rank, vec_id, score: the k nearest by cosine of each row that ``queries`` selects, itself left out.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-    null ids; of vectors of unlike length those of the commonest length take part. Rows that repeat an id and a
+    null ids. Only vectors of equal length are compared; each length is searched by itself. Rows that repeat an id and a
     vector are one. Equal scores go by smaller vec_id. An empty table gives no rows.
     """
     v = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.where(sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None:
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == usual["n"])
+    mine = reduce(DataFrame.unionByName, [_near(rows.where(F.size("v") == n), queries, k, curves, window, exact, seed) for n in lengths])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _near(rows: DataFrame, queries: F.Column | str, k: int, curves: int, window: int, exact: bool, seed: int) -> DataFrame:
+    """query_id, vec_id, score of the nearest vectors of rows of one length; k of them at least where there are so many."""
     keep = k + 1
     same = Window.partitionBy("v").orderBy("vec_id")
     ranked = rows.distinct().withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= keep)
@@ -232,6 +239,4 @@ def search(vectors: DataFrame, queries: F.Column | str, k: int = 5, curves: int
     best = found.groupBy("qrep", "cid").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep)
     near = best.join(members, "cid").select("qrep", "vec_id", "score")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("qrep").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= keep).drop("r")
-    mine = near.join(asked, "qrep").where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.join(asked, "qrep").where("vec_id != query_id").select("query_id", "vec_id", "score")

@@ -334,6 +334,18 @@ def test_neighbours_and_recall_of_the_curves(spark):
     assert neighbours.search(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    r = np.random.default_rng(3)
+    data = [(i, [float(x) for x in r.normal(size=8 if i % 3 else 5)]) for i in range(90)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for x in neighbours.search(df, "vec_id < 12").orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["vec_id"])
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in data}
+    for q in range(12):
+        assert got[q] == sorted((i for i in unit if i != q and len(unit[i]) == len(unit[q])), key=lambda i: -unit[i] @ unit[q])[:5]
+
+
 def test_hilbert_visits_every_cell_once_by_unit_steps():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = np.argsort(neighbours.hilbert(cells, 3))
