@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import directed_mouthing, double_occupancy, mouthing, spawning
@@ -61,3 +61,12 @@ def window_features(pose: DataFrame, roi: DataFrame, length: int = 30, nothing:
         F.median("nfish_pipe").alias("med_nfish_pipe"), F.coalesce(F.min("sep"), F.lit(nothing)).alias("min_separation"),
     )
     return out.drop("window")
+
+
+def window_speed(pose: DataFrame, length: int = 30, bodypart: str = "stripe1") -> DataFrame:
+    """(clip, start, stop, mean_speed) of each whole fixed window: the mean step of all individuals' points from row to row inside it."""
+    rows = windowed(pose.where(F.col("bodypart") == bodypart), length)
+    step = Window.partitionBy("clip", "window", "individual").orderBy("frame")
+    dx, dy = (F.col(c) - F.lag(c).over(step) for c in ("x", "y"))
+    rows = rows.withColumn("speed", F.sqrt(dx * dx + dy * dy))
+    return rows.groupBy("clip", "window").agg(F.min("frame").alias("start"), F.max("frame").alias("stop"), F.avg("speed").alias("mean_speed")).drop("window")

@@ -194,6 +194,10 @@ QUERIES = {
     "window_features": """select clip, min(frame) as start, max(frame) as stop, median(nfish_frame) as med_nfish, median(nfish_pipe) as med_nfish_pipe, round(coalesce(min(sep), 1000), 6) as min_separation
       from (select *, frame // 30 as w, min(frame) over (partition by clip) as lo, max(frame) over (partition by clip) as hi from nfish join pipe using (clip, frame) left join stripes using (clip, frame))
       where w * 30 >= lo and w * 30 + 29 <= hi group by clip, w""",
+    "window_stripe1_speed": """select clip, min(frame) as start, max(frame) as stop, round(avg(sqrt(dx * dx + dy * dy)), 6) as mean_speed from (
+      select *, x - lag(x) over k as dx, y - lag(y) over k as dy
+      from (select *, frame // 30 as w, min(frame) over (partition by clip) as lo, max(frame) over (partition by clip) as hi from pose where bodypart = 'stripe1')
+      where w * 30 >= lo and w * 30 + 29 <= hi window k as (partition by clip, w, individual order by frame)) group by clip, w""",
     "per_trial_fractions": f"select clip, {', '.join(FRACTION.format(k + '_event_id >= 0') + f' as {k}_event_id_fraction' for k in KINDS)} from feat group by clip",
     "event_counts_max": f"select clip, {', '.join(f'max({k}_event_id) + 1 as n_{k}_event_id' for k in KINDS)} from feat group by clip",
     "event_booleans": f"select clip, frame, {', '.join(f'{k}_event_id >= 0 as {k}' for k in KINDS)} from feat",

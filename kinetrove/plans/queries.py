@@ -348,6 +348,11 @@ def window_features(s, d):
     return r6(features.window_features(X.pose(s, d), X.roi(s, d)), "min_separation")
 
 
+@query
+def window_stripe1_speed(s, d):
+    return r6(features.window_speed(X.pose(s, d)), "mean_speed")
+
+
 @query
 def per_trial_fractions(s, d):
     out = summaries.event_fractions(frame_features(s, d), features.EVENTS)

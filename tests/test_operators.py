@@ -246,3 +246,9 @@ def test_annotations_reach_every_clip(spark):
     events = X.events(spark, d).where("event_id % 97 = 0")
     assert X.annotations(spark, d).count() == events.count()
     assert all(r["quivering_fraction"] > 0 for r in all_queries()["quivering_fraction"](spark, d).collect())
+
+
+def test_window_speed_stays_inside_windows(spark):
+    rows = [("c", f, "a", "stripe1", 3.0 * f * f, 4.0 * f * f) for f in range(4)]
+    got = features.window_speed(spark.createDataFrame(rows, POSE), length=2).orderBy("start").collect()
+    assert [tuple(r) for r in got] == [("c", 0, 1, 5.0), ("c", 2, 3, 25.0)]
