@@ -11,7 +11,9 @@
 4. Grams that still hold different components are cut into tiles of bounded size:
    classes of one gram, in bands of set size, in blocks of ``TILE``. Inside a tile the bit count of two
    bitmaps' difference bounds the overlap from above; pairs below the bound,
-   of unequal band or of one component are dropped, the others verified exactly.
+   of unequal band or of one component are dropped. What the others tie together is a group.
+5. Each different group is met once: its sets are intersected exactly, and only links that join two
+   components leave the task, fewer than the group has classes.
 
 Links inside one component that the star has found need no check: the result is the
 components, and those are exact. Texts without words link with nothing.
@@ -33,7 +35,8 @@ from .tables import discard, loose, stored, sum_vectors, with_row_id
 
 SLOTS = 1 << 18
 LEAST_BITS, MOST_BITS = 512, 1 << 13
-TILE = 2048
+TILE, TILE_GRAMS = 2048, 1 << 21
+SHARE = 256
 SEEN = 1 << 20
 
 
@@ -179,8 +182,8 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that truly link. A hub's pairs go in shares of at most about ``TILE``."""
-    share = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / TILE) + 1).alias("shares"))
+    """The pairs (a, b) of classes that truly link. A hub's pairs go in shares of about ``SHARE``."""
+    share = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / SHARE) + 1).alias("shares"))
     dealt = pairs.join(loose(share, "a"), "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
     hubs = share.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     wanted = dealt.select("a", "share", "b").unionByName(hubs.select("a", "share", F.col("a").alias("b")))
@@ -210,68 +213,142 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percen
     return tiles.select("a", "share", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def _tiled(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) from tiles of (gram, sid, n, component, bits)."""
-    size = rows.groupBy("gram").agg((F.floor((F.count(F.lit(1)) - 1) / TILE) + 1).alias("blocks"))
+def _merge(label: np.ndarray, members: np.ndarray) -> None:
+    """Gives the least label of ``members`` to all that share a label with one of them."""
+    found = np.unique(label[members])
+    if len(found) > 1:
+        label[np.isin(label, found)] = found[0]
+
+
+def _stack(bitmaps: list[bytes], width: int) -> np.ndarray:
+    return np.concatenate([_folded(np.frombuffer(b, U)[None, :], width) for b in bitmaps])
+
+
+def _allowed(p: int, q: slice, x: np.ndarray, first: int, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the bitmaps allow row p, of the rows from ``first`` on in x, to link with each row of q."""
+    apart = np.bitwise_count(x[q.start - first : q.stop - first] ^ x[p - first]).sum(1, dtype=np.int64)
+    return (n[q] + n[p] - apart) // 2 >= _least_overlap(n[q], n[p], percent)
+
+
+def _by_width(n: np.ndarray, bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, int, slice, np.ndarray]]:
+    """(row, first row of x, larger rows of its size band, folded bitmaps x) for rows sorted by n."""
+    words = np.array([len(b) // 8 for b in bitmaps])
+    top = np.searchsorted(n, n * 100 // percent, "right")  # the band of sizes that can link, upwards
+    for width in np.unique(words).tolist():
+        first, own = int(np.searchsorted(words, width)), int(np.searchsorted(words, width, "right"))
+        x = _stack(bitmaps[first : int(top[first:own].max())], width)
+        for p in range(first, own):
+            if top[p] > p + 1:
+                yield p, first, slice(p + 1, int(top[p])), x
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows whose first ``keys`` columns are equal."""
+    tile: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if tile and row[:keys] != tile[0][:keys]:
+                yield tile
+                tile = []
+            tile.append(row)
+    if tile:
+        yield tile
+
+
+def _groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(group_id, sid, component) from tiles of (gram, sid, n, component, bits): classes that bitmaps let meet, in groups.
+
+    A group holds what candidate pairs of one tile tie together, so a tile gives a row for each of its classes
+    at most, however many pairs it has. Groups with the same classes have the same id and are one afterwards.
+    A tile holds about ``TILE`` classes and ``TILE_GRAMS`` grams of two blocks.
+    """
+    blocks = F.greatest((F.count(F.lit(1)) - 1) / TILE, F.sum("n") / TILE_GRAMS)
+    size = rows.groupBy("gram").agg((F.floor(blocks) + 1).alias("blocks"))
     dealt = rows.join(loose(size, "gram"), "gram").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("gram", "sid", "n", "index", "component", "bits", "block", other)
     dealt = dealt.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "component", "bits", "block", "index")
     dealt = dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j", "n")
 
-    def pairs(tile: list) -> set:
-        i, j = tile[0][1], tile[0][2]
-        n = np.array([r[3] for r in tile])
-        out: set = set()
+    def found(tile: list[tuple]) -> Iterator[tuple[int, int, int]]:
         if len(tile) < 2:
-            return out
-        sid = np.array([r[4] for r in tile], np.int64)
-        comp = np.array([r[5] for r in tile], np.int64)
-        block = np.array([r[7] for r in tile])
-        words = np.array([len(r[6]) // 8 for r in tile])
-        top = np.searchsorted(n, n * 100 // percent, "right")  # the band of sizes that can link, upwards
-        for width in np.unique(words).tolist():
-            first = int(np.searchsorted(words, width))
-            own = int(np.searchsorted(words, width, "right"))
-            last = int(top[first:own].max())
-            x = [np.frombuffer(b"".join(r[6] for r in tile[first:own]), U).reshape(-1, width)]
-            x += [_folded(np.frombuffer(r[6], U)[None, :], width) for r in tile[own:last]]
-            x = np.concatenate(x)
-            for p in range(first, own):
-                if not tile[p][8]:  # the smaller one must meet by a gram of its index
-                    continue
-                q = slice(p + 1, max(top[p], p + 1))
-                apart = np.bitwise_count(x[p + 1 - first : q.stop - first] ^ x[p - first]).sum(1, dtype=np.int64)
-                keep = ((n[q] + n[p] - apart) // 2 >= _least_overlap(n[q], n[p], percent)) & (comp[q] != comp[p])
-                if i != j:
-                    keep &= block[q] != block[p]
-                me = int(sid[p])
-                out.update((min(me, s), max(me, s)) for s in sid[q][keep].tolist() if s != me)
-        return out
+            return
+        _, i, j, n, sid, comp, bits, block, index = zip(*tile)
+        n, sid, comp, block = (np.array(c, np.int64) for c in (n, sid, comp, block))
+        label, met = np.arange(len(n)), np.zeros(len(n), bool)
+        for p, first, q, x in _by_width(n, list(bits), percent):
+            if not index[p]:  # the smaller one must meet by a gram of its index
+                continue
+            keep = (comp[q] != comp[p]) & (sid[q] != sid[p])
+            if i[0] != j[0]:
+                keep &= block[q] != block[p]
+            if keep.any():
+                keep &= _allowed(p, q, x, first, n, percent)
+                at = np.append(np.flatnonzero(keep) + q.start, p)
+                if len(at) > 1:
+                    met[at] = True
+                    _merge(label, at)
+        for one in np.unique(label[met]).tolist():
+            at = np.flatnonzero((label == one) & met)
+            ids = np.unique(sid[at], return_index=True)
+            for s, k in zip(ids[0].tolist(), at[ids[1]].tolist()):
+                yield _sid(ids[0].view(U)), s, int(comp[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile: list = []
-        found: set = set()
+        out: list[tuple[int, int, int]] = []
+        seen: set[int] = set()
+        for tile in _tiles(batches, 3):
+            rows = list(found(tile))
+            out += [r for r in rows if r[0] not in seen]  # a group that this task has given already is one
+            seen |= {r[0] for r in rows} if len(seen) < SEEN else set()
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["group_id", "sid", "component"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["group_id", "sid", "component"])
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-            found.clear()
-            return batch
+    return dealt.mapInArrow(run, "group_id long, sid long, component long").distinct()
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if tile and row[:3] != tile[0][:3]:
-                    found |= pairs(tile)
-                    tile = []
-                    if len(found) > 50_000:
-                        yield out()
-                tile.append(row)
-        if tile:
-            found |= pairs(tile)
-        if found:
-            yield out()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _forest(groups: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that join classes of different components, a spanning forest of each group's.
+
+    A group's sets are intersected exactly as sorted arrays; pairs that the links found so far, or the components
+    before, already join are not tried. So a group gives fewer links than it has classes.
+    """
+    need = groups.select("sid").distinct().join(reps.select("sid", "rid", "n"), "sid")
+    texts = docs.join(need, "rid").select("sid", "n", F.col("text").cast("binary").alias("text"))
+    rows = groups.join(texts, "sid").select("group_id", "n", "sid", "component", "text")
+    rows = rows.repartition("group_id").sortWithinPartitions("group_id", "n", "sid")
+
+    def links(tile: list[tuple]) -> Iterator[tuple[int, int]]:
+        _, n, sid, comp, text = zip(*tile)
+        n, sid = np.array(n, np.int64), np.array(sid, np.int64)
+        sets: list[np.ndarray] = []
+        for lo, hi in chunks(list(text)):
+            sets += gram_sets(list(text[lo:hi]), k)
+        label = np.unique(np.array(comp, np.int64), return_inverse=True)[1]
+        for p, first, q, x in _by_width(n, [_bitmap(s) for s in sets], percent):
+            keep = label[q] != label[p]
+            if not keep.any():
+                continue
+            keep &= _allowed(p, q, x, first, n, percent)
+            for b in (np.flatnonzero(keep) + q.start).tolist():
+                if label[b] == label[p]:
+                    continue
+                mine, other = sets[p], sets[b]
+                place = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+                both = int((other[place] == mine).sum())
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    _merge(label, np.array([p, b]))
+                    yield min(int(sid[p]), int(sid[b])), max(int(sid[p]), int(sid[b]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches, 1):
+            if out := list(links(tile)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -294,13 +371,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     facts = reps.select("sid", "n", "bits")
     star = star.join(facts.toDF("a", "na", "xa"), "a").join(facts.toDF("b", "nb", "xb"), "b")
     links = stored(_verified(stored(_bounded(star, percent), "star"), docs, reps, k, percent), "links")
-    groups = components(links)
-    rest = met.select("gram", "sid", "n", "index").distinct().join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    known = components(links)
+    rest = met.select("gram", "sid", "n", "index").distinct().join(known.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     kept = rest = stored(rest, "rest")
     mixed = rest.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("index").alias("index")).where("lo < hi and index = 1").select("gram")
     rest = rest.join(loose(mixed, "gram"), "gram").join(facts.select("sid", "bits"), "sid")
-    more = stored(_tiled(rest, percent), "pairs")
-    more = _verified(more, docs, reps, k, percent)
+    groups = stored(_groups(rest, percent), "groups")
+    more = stored(_forest(groups, docs, reps, k, percent), "forest")
     whole = components(links.unionByName(more))
     classes = reps.select("sid", "rid").join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = classes.groupBy("component").agg(F.min("rid").alias("component_rid"))
