@@ -14,15 +14,12 @@ from .sequences import windowed
 EVENTS = ["mouthing_event_id", "double_occupancy_event_id", "spawning_event_id"]
 
 
-def frame_features(pose: DataFrame, roi: DataFrame, quivering: DataFrame | None = None, persist: bool = False) -> DataFrame:
+def frame_features(pose: DataFrame, roi: DataFrame, quivering: DataFrame | None = None) -> DataFrame:
     """One row a frame: counts, event ids and the annotation flag.
 
-    Frames that only the annotations name are kept, with NULL features. The distances feed two event kinds; ``persist``
-    keeps them between.
+    Frames that only the annotations name are kept, with NULL features.
     """
     d, n = min_distance(pose), nfish_pipe(pose, roi)
-    if persist:
-        d = d.persist()
     on = ["clip", "frame"]
     out = nfish_frame(pose).join(n, on, "full_outer")
     for part in (mouthing(pose, distances=d), double_occupancy(pose, roi, counts=n), spawning(pose, distances=d)):
@@ -30,9 +27,13 @@ def frame_features(pose: DataFrame, roi: DataFrame, quivering: DataFrame | None
     return out.withColumn("quivering", F.lit(False)) if quivering is None else out.join(quivering, on, "full_outer")
 
 
-def clip_features(features: DataFrame, roi: DataFrame) -> DataFrame:
-    """One row a clip, by one aggregate over its frames."""
-    rows = F.count(F.lit(1))
+def clip_features(features: DataFrame, roi: DataFrame, trial_frames: int | None = None) -> DataFrame:
+    """One row a clip, by one aggregate over its frames.
+
+    Fractions of events and annotations are of the clip's frames, or of ``trial_frames`` where annotations cover
+    a whole trial (``schema.TRIAL_FRAMES``); occupancy is always of the frames that have a count.
+    """
+    rows = F.count(F.lit(1)) if trial_frames is None else F.lit(trial_frames)
     aggs = [F.try_divide(F.count_if("quivering").cast("double"), rows).alias("quivering_fraction")]
     for c in EVENTS:
         name = c.removesuffix("_event_id")

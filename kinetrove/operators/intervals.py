@@ -12,20 +12,26 @@ from ..functions.geometry import to_frames
 from ..sources.keys import frame_range, trial
 
 
-def covered(intervals: DataFrame, total: int, mode: str = "strict") -> DataFrame:
-    """(by..., frame) of the frames 0 .. total-1 that intervals (start, stop in frames) cover, each once.
+def covered(intervals: DataFrame, spans: int | DataFrame, mode: str = "strict") -> DataFrame:
+    """(by..., frame) of the frames that intervals (start, stop in frames) cover, each once.
 
-    strict: ends count where 0 < t < total - 1; stop is exclusive; an interval open at the right stops before
+    ``spans``: the number of frames, from 0 on, or (by..., first, last) with the range of each clip. Empty intervals cover nothing.
+    strict: ends count where first < t < last; stop is exclusive; an interval open at the right stops before
     the last frame, and one open at both sides covers nothing. inclusive: start .. stop, both included.
     """
     by = [c for c in intervals.columns if c not in ("start", "stop")]
-    last = total - 1
-    if mode == "strict":
-        begins, ends = [(F.col(c) > 0) & (F.col(c) < last) for c in ("start", "stop")]
-        lo = F.when(begins, F.col("start")).when(ends, F.lit(0))
-        hi = F.when(begins & ends, F.col("stop")).when(begins, F.lit(last)).when(ends, F.col("stop")) - 1
+    if isinstance(spans, int):
+        intervals = intervals.withColumns({"_first": F.lit(0), "_last": F.lit(spans - 1)})
     else:
-        lo, hi = F.greatest("start", F.lit(0)), F.least("stop", F.lit(last))
+        ends = spans.withColumnsRenamed({"first": "_first", "last": "_last"})
+        intervals = intervals.join(ends, [c for c in by if c in spans.columns])
+    first, last = F.col("_first"), F.col("_last")
+    if mode == "strict":
+        begins, ends = [(F.col(c) > first) & (F.col(c) < last) for c in ("start", "stop")]
+        lo = F.when(begins, F.col("start")).when(ends, first)
+        hi = F.when(begins & ends, F.col("stop")).when(begins, last).when(ends, F.col("stop")) - 1
+    else:  # a missing end leaves the comparison unknown, where greatest and least would skip it
+        lo, hi = F.when(F.col("start").isNotNull(), F.greatest("start", first)), F.when(F.col("stop").isNotNull(), F.least("stop", last))
     rows = intervals.withColumns({"_lo": lo.cast("bigint"), "_hi": hi.cast("bigint")}).where("_lo <= _hi")
     return rows.select(*by, F.explode(F.sequence("_lo", "_hi")).alias("frame")).distinct()
 

@@ -40,9 +40,10 @@ def nfish_pipe(pose: DataFrame, roi: DataFrame, inclusive: bool = True, bodypart
 
 def in_roi(pose: DataFrame, roi: DataFrame, inclusive: bool = False, bodypart: str = "stripe1") -> DataFrame:
     """(clip, frame, individual, in_roi) for every individual of every frame."""
-    at = pose.where(F.col("bodypart") == bodypart).join(roi.select("clip", "roi_x", "roi_y", "roi_r"), "clip", "left")
+    at = pose.join(roi.select("clip", "roi_x", "roi_y", "roi_r"), "clip", "left")
     dist = distance(F.col("x") - F.col("roi_x"), F.col("y") - F.col("roi_y"))
-    return at.select("clip", "frame", "individual", F.coalesce(inside(dist, "roi_r", inclusive), F.lit(False)).alias("in_roi"))
+    held = F.bool_or((F.col("bodypart") == bodypart) & inside(dist, "roi_r", inclusive))
+    return at.groupBy("clip", "frame", "individual").agg(F.coalesce(held, F.lit(False)).alias("in_roi"))
 
 
 def occupancy_fractions(counts: DataFrame, most: int = 3) -> DataFrame:

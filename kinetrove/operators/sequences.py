@@ -29,12 +29,14 @@ def dbscan1d(hits: DataFrame, by: list[str], eps: int, min_samples: int, order:
     apart share a cluster; other rows take the cluster of the nearest core within eps, the earlier of two.
     """
     base = Window.partitionBy(*by).orderBy(order)
-    until, since = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
+    until = base.rowsBetween(Window.unboundedPreceding, 0)
+    # frames that start at the window's first row grow row by row; ones that end at its last would be summed up anew for each row
+    since = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     here = F.col(order)
     rows = hits.withColumn("_n", F.count(F.lit(1)).over(base.rangeBetween(-eps, eps)))
     rows = rows.withColumn("_core", F.when(F.col("_n") >= min_samples, here))
     before = F.last("_core", ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", before).withColumn("_after", F.first("_core", ignorenulls=True).over(since))
+    rows = rows.withColumn("_before", before).withColumn("_after", F.last("_core", ignorenulls=True).over(since))
     opens = F.col("_core").isNotNull() & (F.col("_before").isNull() | (here - F.col("_before") > eps))
     rows = rows.withColumn("_opened", F.sum(opens.cast("bigint")).over(until))
     left, right = here - F.col("_before"), F.col("_after") - here
@@ -50,10 +52,9 @@ def dbscan1d(hits: DataFrame, by: list[str], eps: int, min_samples: int, order:
 
 def fill(frames: DataFrame, by: list[str], label: str, order: str = "frame") -> DataFrame:
     """Frames between an event's first and last frame take its label; others have -1. Events do not overlap."""
-    w = Window.partitionBy(*by).orderBy(order)
+    w = Window.partitionBy(*by)
     own = F.when(F.col(label) >= 0, F.col(label))
-    back = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = (F.last(own, ignorenulls=True).over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (order, F.desc(order)))
     return frames.withColumn("_b", back).withColumn("_a", ahead).withColumn(label, F.when(F.col("_b") == F.col("_a"), F.col("_b")).otherwise(F.lit(-1).cast("bigint"))).drop("_b", "_a")
 
 

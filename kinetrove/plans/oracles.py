@@ -21,7 +21,6 @@ def _dbscan(name: str, hits: str, by: str, eps: int, least: int) -> str:
 
 GONE = "((vec_id // 20 + j // 9 + 1) % 5 = 0 or (vec_id // 20 + 2 * (j // 9 + 1)) % 7 = 0 or (vec_id + 3 * (j % 9) + 5 * (j // 9 + 1)) % 61 = 0)"
 ANGLE = "(case when degrees(atan2({0}, {1})) < 0 then degrees(atan2({0}, {1})) + 360 else degrees(atan2({0}, {1})) end)"
-TOTAL = "(select max(frame) + 1 from pose)"
 BASE = f"""
 with pose as (
   select 'clip' || (vec_id // 250) as clip, vec_id as frame, 'individual' || (j // 9 + 1) as individual,
@@ -67,20 +66,21 @@ duohit as (select clip, individual_a, individual_b, frame from duo where dist <
 {_dbscan("dp", "pipehit", "clip", 30, 30)},
 {_dbscan("dm", "duohit", "clip, individual_a, individual_b", 15, 6)},
 annotated as (
-  select 'BHVE_group' || (event_id // 97 % 4) as trial, event_id / 30 as temporal_segment_start,
-    case when event_id % 5 <> 0 then (event_id + 20 + event_id % 7) / 30 end as temporal_segment_end from events where event_id % 97 = 0),
-anno as (select event_id as start, event_id + 20 as stop from events where event_id % 97 = 0 and event_id < 500),
+  select 'BHVE_group' || (event_id // 97 % 4) as trial, case when value < 1 then event_id / 30 end as temporal_segment_start,
+    case when value < 1 and event_id % 5 <> 0 then (event_id + 20 + event_id % 7) / 30 end as temporal_segment_end from events),
+anno as (select 'clip' || (event_id // 250) as clip, event_id as start, event_id + 20 as stop from events where value < 1),
+span as (select clip, min(frame) as lo, max(frame) as hi from frames group by clip),
 strict as (
-  select distinct frame from frames, anno, (select {TOTAL} - 1 as last) where
-    (0 < start and start < last and 0 < stop and stop < last and frame >= start and frame < stop)
-    or (0 < start and start < last and not (0 < stop and stop < last) and frame >= start and frame < last)
-    or (not (0 < start and start < last) and 0 < stop and stop < last and frame < stop)),
-inclusive as (select distinct frame from frames, anno where frame between start and stop),
+  select distinct f.clip, f.frame from frames f join anno a on f.clip = a.clip join span s on f.clip = s.clip where
+    (lo < start and start < hi and lo < stop and stop < hi and frame >= start and frame < stop)
+    or (lo < start and start < hi and not (lo < stop and stop < hi) and frame >= start and frame < hi)
+    or (not (lo < start and start < hi) and lo < stop and stop < hi and frame < stop)),
+inclusive as (select distinct f.clip, f.frame from frames f join anno a on f.clip = a.clip and f.frame between start and stop),
 mfill as (select f.clip, f.frame, coalesce(event_id, -1) as mouthing_event_id from frames f left join md_span s on f.clip = s.clip and f.frame between s.start and s.stop),
 dfill as (select f.clip, f.frame, coalesce(event_id, -1) as double_occupancy_event_id from frames f left join dp_span s on f.clip = s.clip and f.frame between s.start and s.stop),
 sfill as (select f.clip, f.frame, coalesce(event_id, -1) as spawning_event_id from frames f left join sp_span s on f.clip = s.clip and f.frame between s.start and s.stop),
 feat as (
-  select f.clip, f.frame, nfish_frame, nfish_pipe, mouthing_event_id, double_occupancy_event_id, spawning_event_id, f.frame in (select frame from strict) as quivering
+  select f.clip, f.frame, nfish_frame, nfish_pipe, mouthing_event_id, double_occupancy_event_id, spawning_event_id, (f.clip, f.frame) in (select (clip, frame) from strict) as quivering
   from frames f join nfish using (clip, frame) join pipe using (clip, frame) join mfill using (clip, frame) join dfill using (clip, frame) join sfill using (clip, frame)),
 cent as (select clip, frame, individual, avg(x) as cx, avg(y) as cy from pose group by all),
 d1 as (select *, cx - lag(cx) over w as dx, cy - lag(cy) over w as dy from cent where cx is not null and cy is not null window w as (partition by clip, individual order by frame)),
@@ -92,6 +92,15 @@ mask as (
   having count(x) >= 9 and not coalesce(bool_or(x < 280 or y < 280 or x > 440 or y > 620), false) and coalesce(bool_or(x <> 0), false)),
 maskrun as (select *, frame - row_number() over (partition by clip, individual order by frame) as run from mask),
 kept as (select clip, frame, individual from (select *, count(*) over (partition by clip, individual, run) as len from maskrun) where len >= 10),
+rkept as (select clip, frame, individual from (select *, count(*) over (partition by clip, individual, run) as len from maskrun) where len >= 5),
+rpose as (select p.* from pose p semi join rkept using (clip, frame, individual)),
+rfish as (select clip, frame, count(*) as nfish from (select clip, frame, individual from rpose group by all having bool_or(coalesce(x <> 0, false) or coalesce(y <> 0, false))) group by all),
+rlong as (select *, count(*) over (partition by clip, run) as len from (select *, frame - row_number() over (partition by clip order by frame) as run from rfish)),
+rpart as (select *, sum(r) over (partition by clip, run order by frame) as p from (
+  select *, case when nfish > lag(nfish) over (partition by clip, run order by frame) and nfish <> 3 then 1 else 0 end as r from rlong where len >= 5)),
+rseg as (
+  select clip, row_number() over (partition by clip order by start) - 1 as segment_id, start, stop, n
+  from (select clip, min(frame) as start, max(frame) as stop, count(*) as n from rpart group by clip, run, p having count(*) >= 5)),
 excl as (
   select clip, n_original, coalesce(n_kept, 0)::bigint as n_kept, (n_original - coalesce(n_kept, 0))::double / nullif(n_original, 0) as p
   from (select clip, count(*) filter (where nfish_frame > 0) as n_original from nfish group by clip) left join (select clip, sum(n) as n_kept from gseg group by clip) using (clip)),
@@ -142,9 +151,9 @@ QUERIES = {
     "event_length_stats": f"select clip, {STATS.format('((stop - start) / 30)', 'events')} from sc_span group by clip",
     "mouther_mouthee": """select clip, frame, individual, (clip, frame, individual) in (select (clip, frame, individual_a) from roles) as mouther,
       (clip, frame, individual) in (select (clip, frame, individual_b) from roles) as mouthee, (clip, frame) in (select (clip, frame) from roles) as mouthing from (select distinct clip, frame, individual from pose)""",
-    "quivering_strict": "select clip, frame, frame in (select frame from strict) as quivering from frames",
-    "quivering_inclusive": "select clip, frame, frame in (select frame from inclusive) as quivering from frames",
-    "quivering_fraction": "select clip, round(avg(case when frame in (select frame from strict) then 1.0::double else 0 end), 6) as quivering_fraction from frames group by clip",
+    "quivering_strict": "select clip, frame, (clip, frame) in (select (clip, frame) from strict) as quivering from frames",
+    "quivering_inclusive": "select clip, frame, (clip, frame) in (select (clip, frame) from inclusive) as quivering from frames",
+    "quivering_fraction": "select clip, round(avg(case when (clip, frame) in (select (clip, frame) from strict) then 1.0::double else 0 end), 6) as quivering_fraction from frames group by clip",
     "segmented_pose": "select p.clip, p.individual, frame, bodypart, round(x, 6) as x, round(y, 6) as y, start, stop from pose p join segment s on p.clip = s.clip and p.individual = s.individual and frame between start and stop",
     "segmented_features": """select h.clip, h.frame, h.individual, in_roi, start, stop, roi_occupancy from held h join segment s on h.clip = s.clip and h.individual = s.individual and h.frame between start and stop
       join (select clip, frame, count(*) filter (where in_roi) as roi_occupancy from held group by all) g on h.clip = g.clip and h.frame = g.frame""",
@@ -190,7 +199,7 @@ QUERIES = {
       max(nfish_frame) as nfish_frame_max, max(nfish_pipe) as nfish_pipe_max, {OCCUPANCY}, 360.0::double as roi_x, 450.0::double as roi_y, 60.0::double as roi_r from feat group by clip""",
     "individual_features": """select h.clip, h.frame, h.individual, in_roi, (h.clip, h.frame, h.individual) in (select (clip, frame, individual_a) from roles) as mouther,
       (h.clip, h.frame, h.individual) in (select (clip, frame, individual_b) from roles) as mouthee, (h.clip, h.frame) in (select (clip, frame) from roles) as mouthing,
-      count(*) filter (where in_roi) over (partition by h.clip, h.frame) as roi_occupancy, h.frame in (select frame from inclusive) as quivering from held h""",
+      count(*) filter (where in_roi) over (partition by h.clip, h.frame) as roi_occupancy, (h.clip, h.frame) in (select (clip, frame) from inclusive) as quivering from held h""",
     "window_features": """select clip, min(frame) as start, max(frame) as stop, median(nfish_frame) as med_nfish, median(nfish_pipe) as med_nfish_pipe, round(coalesce(min(sep), 1000), 6) as min_separation
       from (select *, frame // 30 as w, min(frame) over (partition by clip) as lo, max(frame) over (partition by clip) as hi from nfish join pipe using (clip, frame) left join stripes using (clip, frame))
       where w * 30 >= lo and w * 30 + 29 <= hi group by clip, w""",
@@ -210,6 +219,33 @@ QUERIES = {
     "roi_shift": "select clip, frame, individual, bodypart, round(x - 360, 6) as x, round(y - 450, 6) as y from pose where x is not null",
     "clip_split": """select 'signal' as clip, event_id // 180 as window, min(event_id) as start, max(event_id) as stop, count(*) as n from events
       where (event_id // 180) * 180 + 179 <= (select max(event_id) from events) group by event_id // 180""",
+    "refined_group_segments": "select * from rseg",
+    "refined_exclusion": """select clip, n_original, coalesce(n_kept, 0)::bigint as n_kept, round((n_original - coalesce(n_kept, 0))::double / nullif(n_original, 0), 6) as excluded_proportion
+      from (select clip, count(*) filter (where nfish_frame > 0) as n_original from nfish group by clip) left join (select clip, sum(n) as n_kept from rseg group by clip) using (clip)""",
+    "refined_collation": """select p.clip, segment_id, frame, individual, bodypart, round(x - 360, 6) as x, round(y - 450, 6) as y
+      from rpose p join rseg s on p.clip = s.clip and frame between start and stop where x is not null""",
+    "clip_features_of_trial": f"""select clip, round(count(*) filter (where quivering) / 378000, 9) as quivering_fraction,
+      {", ".join(f"round(count(*) filter (where {k}_event_id >= 0) / 378000, 9) as {k}_event_fraction" for k in KINDS)} from feat group by clip""",
+    "clip_split_reference": """select 'signal' as clip, event_id // 1800 as window, min(event_id) as start, max(event_id) as stop, count(*) as n from events
+      where (event_id // 1800) * 1800 + 1799 < (select max(event_id) from events) group by event_id // 1800""",
+    "centroid_speed_by_differences": "select clip, frame, individual, round(sqrt(ax * ax + ay * ay), 6) as speed from d2",
+    "store_pose_key": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null and clip = 'clip1'",
+    "store_keys": "select distinct clip from pose",
+    "pose_csv": "select clip, individual, bodypart, count(*) as n, count(x) as n_x, round(sum(x), 4) as sum_x, round(sum(y), 4) as sum_y from pose group by all",
+    "wide_pose": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null and clip = 'clip0'",
+    "collated_pose": """select case when frame < 125 then 'a' else 'b' end as clip, frame, count(x) as n from pose
+      where frame < 250 and (frame < 20 or frame >= 40) group by frame having count(x) > 0 or count(y) > 0""",
+    "roi_csv": "select distinct clip, 360.0::double as roi_x, 450.0::double as roi_y, 60.0::double as roi_r, 720 as frame_w, 900 as frame_h from pose",
+    "annotation_csv": "select trial, count(*) as n, count(temporal_segment_start) as n_start, count(temporal_segment_end) as n_end, round(sum(temporal_segment_start), 3) as sum_start from annotated group by trial",
+    "feature_csvs": "select clip, count(*) as n_frames, case when clip <> 'clip1' then max(nfish_frame) end as nfish_frame_max, round(avg(nfish_frame), 6) as share from nfish group by clip",
+    "headerless_csv": "select clip, individual, start, stop from track",
+    "empty_event_csv": "select unnest(['clip', 'event_id', 'start', 'stop']) as name, 0::bigint as n_rows",
+    "kp_error_csv": "select bodypart, count(x) as n, round(avg(x - 360), 6) as mean_rmse from pose group by bodypart",
+    "discovered_files": "select unnest(['a_1.data', 'a_3.data', 'b_2.data']) as folder, unnest([true, false, false]) as first",
+    "hit_session_windows": """select user_id, min(t) as start, max(t) + interval 5 minutes as stop, count(*) as n from (
+      select *, sum(opens) over (partition by user_id order by t rows unbounded preceding) as run from (
+        select user_id, ts as t, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 5 minutes then 0 else 1 end as opens from events where value < 25))
+      group by user_id, run""",
     "rounded_frames": f"select event_id, round_even(event_id / 60 * 30, 0)::bigint as frame, round(event_id / 30, 6) as seconds, {CLOCK.format('event_id // 30')} as clock from events",
 }
 

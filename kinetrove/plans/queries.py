@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..operators import changepoint, events, features, intervals, kinematics, pairs, presence, refine, sequences, summaries
 from ..sources import fixtures as X
-from ..sources import keys, stores
+from ..sources import keys, schema, stores
 from ..streaming.sessions import hit_sessions
 
 SKELETON = [("nose", "leftEye"), ("nose", "rightEye"), ("stripe1", "stripe2"), ("stripe2", "stripe3"), ("stripe3", "stripe4"), ("stripe4", "tailBase"), ("tailBase", "tailTip")]
@@ -183,13 +184,13 @@ def mouther_mouthee(s, d):
     return events.directed_mouthing(X.pose(s, d), min_samples=6)
 
 
-def _total(s, d) -> int:
-    return X.pose(s, d).agg(F.max("frame")).first()[0] + 1
+def _covered(s, d, mode):
+    spans = X.pose(s, d).groupBy("clip").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    return intervals.covered(X.annotations(s, d), spans, mode)
 
 
 def _quivering(s, d, mode):
-    frames = presence.frames(X.pose(s, d))
-    return intervals.marked(frames, intervals.covered(X.annotations(s, d), _total(s, d), mode), ["frame"])
+    return intervals.marked(presence.frames(X.pose(s, d)), _covered(s, d, mode), ["clip", "frame"])
 
 
 @query
@@ -222,26 +223,20 @@ def segmented_features(s, d):
     return intervals.segmented_features(held, whole, refine.segments(p))
 
 
-def _annotated(s, d):
-    trial = F.concat(F.lit("BHVE_group"), F.expr("event_id div 97 % 4").cast("string"))
-    e = X.events(s, d).where("event_id % 97 = 0")
-    return e.select(trial.alias("trial"), (F.col("event_id") / 30).alias("temporal_segment_start"), F.when(F.col("event_id") % 5 != 0, (F.col("event_id") + 20 + F.col("event_id") % 7) / 30).alias("temporal_segment_end"))
-
-
 @query
 def annotation_counts(s, d):
-    return summaries.annotation_counts(_annotated(s, d), [f"BHVE_group{i}" for i in (0, 1, 2, 3, 5)])
+    return summaries.annotation_counts(X.annotation_sheet(s, d), [f"BHVE_group{i}" for i in (0, 1, 2, 3, 5)])
 
 
 @query
 def annotation_length_quartiles(s, d):
-    return r6(summaries.annotation_quartiles(_annotated(s, d)), "q25", "q50", "q75")
+    return r6(summaries.annotation_quartiles(X.annotation_sheet(s, d)), "q25", "q50", "q75")
 
 
 @query
 def clip_annotations(s, d):
     clips = s.createDataFrame([("BHVE_group0_000000-000399",), ("BHVE_group1_000100-000499",), ("BHVE_group2_000300-000899.mp4",)], "clip string")
-    return intervals.of_clips(_annotated(s, d), clips)
+    return intervals.of_clips(X.annotation_sheet(s, d), clips)
 
 
 @query
@@ -339,8 +334,7 @@ def clip_features(s, d):
 
 @query
 def individual_features(s, d):
-    cover = intervals.covered(X.annotations(s, d), _total(s, d), "inclusive")
-    return features.individual_features(X.pose(s, d), X.roi(s, d), cover, min_samples=6)
+    return features.individual_features(X.pose(s, d), X.roi(s, d), _covered(s, d, "inclusive"), min_samples=6)
 
 
 @query
@@ -418,5 +412,163 @@ def hit_session_windows(s, d):
     return hit_sessions(X.events(s, d), "value", 25.0, "5 minutes", by=["user_id"])
 
 
+# composed paths: refinement feeds segments, shift and exclusion
+
+
+def _refined_segments(s, d):
+    p = refine.refine(X.pose(s, d), **REFINE, min_track_len=5)
+    return p, refine.group_segments(p, min_len=5)
+
+
+@query
+def refined_group_segments(s, d):
+    return _refined_segments(s, d)[1]
+
+
+@query
+def refined_exclusion(s, d):
+    _, found = _refined_segments(s, d)
+    return r6(refine.excluded(X.pose(s, d), found), "excluded_proportion")
+
+
+@query
+def refined_collation(s, d):
+    """The saved table of the whole path: refined points of frames in segments, shifted to the region's centre."""
+    p, found = _refined_segments(s, d)
+    ids = refine.with_segment_id(presence.frames(p), found).where("segment_id >= 0")
+    return r6(presence.to_roi(p, X.roi(s, d)).join(ids, ["clip", "frame"]).where("x is not null"), "x", "y").select("clip", "segment_id", "frame", "individual", "bodypart", "x", "y")
+
+
+@query
+def clip_features_of_trial(s, d):
+    """Fractions of events and annotations over the frames of a whole trial."""
+    out = features.clip_features(frame_features(s, d), X.roi(s, d), trial_frames=schema.TRIAL_FRAMES).select("clip", "quivering_fraction", "mouthing_event_fraction", "double_occupancy_event_fraction", "spawning_event_fraction")
+    return out.withColumns({c: F.round(c, 9) for c in out.columns[1:]})
+
+
+@query
+def clip_split_reference(s, d):
+    """Clips of 1,800 frames, without the last whole one."""
+    return sequences.windowed(X.signal(s, d), 1800, drop_last_full=True).groupBy("clip", "window").agg(F.min("frame").alias("start"), F.max("frame").alias("stop"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def centroid_speed_by_differences(s, d):
+    """The second differences of the centroid along its rows."""
+    at = Window.partitionBy("clip", "individual").orderBy("frame")
+    rows = kinematics.centroids(X.pose(s, d), keep_empty=False)
+    for _ in range(2):
+        rows = rows.withColumns({c: F.col(c) - F.lag(c).over(at) for c in ("centroid_x", "centroid_y")})
+    return r6(rows.select("clip", "frame", "individual", F.sqrt(F.col("centroid_x") * F.col("centroid_x") + F.col("centroid_y") * F.col("centroid_y")).alias("speed")), "speed")
+
+
+# sources and sinks: each query writes its table in the format and gives what is read back
+
+
+def _written(s, name, write):
+    path = stores.work_folder(s, name)
+    write(path)
+    return path
+
+
+@query
+def store_pose_key(s, d):
+    """Keyed append and keyed read; a clip that is appended twice is there once."""
+    p = X.pose(s, d)
+    path = _written(s, "pose", lambda to: (stores.append(p, to), stores.append(p.where("clip = 'clip1'"), to)))
+    return r6(stores.of_key(stores.read_pose(s, path), "/clip1").where("x is not null"), "x", "y").select("clip", "frame", "individual", "bodypart", "x", "y")
+
+
+@query
+def store_keys(s, d):
+    path = _written(s, "pose", lambda to: stores.append(X.pose(s, d), to))
+    return stores.keys(s.read.parquet(path))
+
+
+@query
+def pose_csv(s, d):
+    """Pose with a likelihood column, NaN for missing, read without it."""
+    nan = F.lit(float("nan"))
+    rows = X.pose(s, d).withColumns({"x": F.coalesce("x", nan), "y": F.coalesce("y", nan)}).withColumn("likelihood", F.lit(0.5))
+    path = _written(s, "pose-csv", lambda to: stores.write_csv(rows.select("clip", "frame", "individual", "bodypart", "x", "y", "likelihood"), to))
+    out = stores.read_pose(s, path, form="csv")
+    return out.groupBy("clip", "individual", "bodypart").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("n_x"), F.round(F.sum("x"), 4).alias("sum_x"), F.round(F.sum("y"), 4).alias("sum_y"))
+
+
+@query
+def wide_pose(s, d):
+    """A flat table of one clip, as long pose."""
+    flat = stores.to_flat(X.pose(s, d).where("clip = 'clip0'")).drop("clip")
+    path = _written(s, "flat", lambda to: flat.write.parquet(to))
+    return r6(stores.read_wide_pose(s, path, "clip0").where("x is not null"), "x", "y")
+
+
+@query
+def collated_pose(s, d):
+    """All clips in one table, named by the file before its model suffix, without frames that hold nothing."""
+    p = X.pose(s, d).drop("clip").where("frame < 250 and (frame < 20 or frame >= 40)")
+    late = p.where("frame >= 125")
+    out = stores.collate([p.where("frame < 125").withColumn("clip", F.lit("aDLC_dlcrnet")), late.withColumn("clip", F.lit("b")), late.withColumns({"x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")}).withColumn("clip", F.lit("c"))])
+    return out.groupBy("clip", "frame").agg(F.count("x").alias("n"))
+
+
+@query
+def roi_csv(s, d):
+    rows = X.roi(s, d).select(F.concat(F.lit("/"), "clip", F.lit(".mp4")).alias("video_key"), "roi_x", "roi_y", "roi_r", F.lit(X.FRAME_W).alias("frame_w"), F.lit(X.FRAME_H).alias("frame_h"))
+    return stores.read_roi(s, _written(s, "roi", lambda to: stores.write_csv(rows, to, single=True)))
+
+
+@query
+def annotation_csv(s, d):
+    """The annotation sheet, empty cells as NULL."""
+    path = _written(s, "sheet", lambda to: stores.write_csv(X.annotation_sheet(s, d), to))
+    return stores.read_annotations(s, path).groupBy("trial").agg(F.count(F.lit(1)).alias("n"), F.count("temporal_segment_start").alias("n_start"), F.count("temporal_segment_end").alias("n_end"), F.round(F.sum("temporal_segment_start"), 3).alias("sum_start"))
+
+
+@query
+def feature_csvs(s, d):
+    """Feature files of several clips; some lack a column or have another order."""
+    rows = presence.nfish_frame(X.pose(s, d)).groupBy("clip").agg(F.max("nfish_frame").alias("nfish_frame_max"), F.count(F.lit(1)).alias("n_frames"), F.round(F.avg("nfish_frame"), 6).alias("share"))
+    path = stores.work_folder(s, "features")
+    stores.write_csv(rows.where("clip = 'clip0'"), f"{path}/a")
+    stores.write_csv(rows.where("clip = 'clip1'").select("share", "n_frames", "clip"), f"{path}/b")
+    stores.write_csv(rows.where("clip not in ('clip0', 'clip1')").select("n_frames", "clip", "share", "nfish_frame_max"), f"{path}/c")
+    return stores.read_features(s, path, T.StructType([T.StructField("clip", T.StringType()), T.StructField("n_frames", T.LongType()), T.StructField("nfish_frame_max", T.LongType()), T.StructField("share", T.DoubleType())]))
+
+
+@query
+def headerless_csv(s, d):
+    path = _written(s, "plain", lambda to: stores.write_csv(tracks(s, d).select("clip", "individual", "start", "stop"), to, header=False))
+    return s.read.schema(schema.SEGMENTS).csv(path)
+
+
+@query
+def empty_event_csv(s, d):
+    """A table without events keeps its header: the columns that are read back, and no rows."""
+    none = events.clip_bounds(sequences.labelled(X.signal(s, d), F.col("dist") < -1, ["clip"], 15, 18, "event_id"), "event_id")
+    path = _written(s, "events", lambda to: stores.write_csv(none, to, single=True))
+    back = s.read.csv(path, header=True)
+    return s.createDataFrame([(c,) for c in back.columns], "name string").withColumn("n_rows", F.lit(back.count()))
+
+
+@query
+def kp_error_csv(s, d):
+    rows = X.pose(s, d).select("individual", "bodypart", (F.col("x") - 360).alias("rmse"))
+    path = _written(s, "errors", lambda to: stores.write_csv(rows, to))
+    return r6(summaries.rmse_per_bodypart(stores.read_kp_error(s, path)), "mean_rmse")
+
+
+@query
+def discovered_files(s, d):
+    """Files of a tree by a pattern of their names, and the first that fits a stem and suffix."""
+    path = stores.work_folder(s, "tree")
+    for name in ("b_2", "a_1", "a_3"):
+        stores.write_csv(s.createDataFrame([(1,)], "x int"), f"{path}/deep/{name}.data", single=True)
+    files = stores.discover(s, path, r"part-.*\.csv")
+    found = files.withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    first = stores.first_match(files, "part-", ".csv").select("path", F.lit(True).alias("first"))
+    return found.join(first, "path", "left").select("folder", F.coalesce("first", F.lit(False)).alias("first"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Found)

@@ -9,6 +9,7 @@ from .schema import BODYPARTS
 
 ROI_X, ROI_Y, ROI_R = 360.0, 450.0, 60.0
 FRAME_W, FRAME_H = 720, 900
+ANNOTATED = 1.0
 
 
 def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +50,15 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(start, stop) in frames, stop exclusive: every 97th event stands for an annotation of 20 frames, over the whole table."""
-    return events(spark, sf_dir).where("event_id % 97 = 0").select(F.col("event_id").cast("bigint").alias("start"), (F.col("event_id") + 20).cast("bigint").alias("stop"))
+    """(clip, start, stop) in frames, stop exclusive. Every event is a row of the annotation sheet; low values are annotations of 20 frames, other rows are empty."""
+    low = F.col("value") < ANNOTATED
+    clip = F.concat(F.lit("clip"), F.expr("event_id div 250").cast("string")).alias("clip")
+    return events(spark, sf_dir).select(clip, F.when(low, F.col("event_id").cast("bigint")).alias("start"), F.when(low, (F.col("event_id") + 20).cast("bigint")).alias("stop"))
+
+
+def annotation_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trial, temporal_segment_start, temporal_segment_end) in seconds, with empty rows and annotations that lack an end."""
+    low, frame = F.col("value") < ANNOTATED, F.col("event_id")
+    trial = F.concat(F.lit("BHVE_group"), F.expr("event_id div 97 % 4").cast("string"))
+    end = F.when(low & (frame % 5 != 0), (frame + 20 + frame % 7) / 30)
+    return events(spark, sf_dir).select(trial.alias("trial"), F.when(low, frame / 30).alias("temporal_segment_start"), end.alias("temporal_segment_end"))

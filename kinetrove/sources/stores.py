@@ -6,7 +6,10 @@ pruning, a keyed append overwrites that clip's partition alone.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,17 @@ from . import schema
 from .keys import bare
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="kinetrove-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_pose(spark: SparkSession, path: str, likelihood: bool = False, form: str = "parquet") -> DataFrame:
     """The long pose table, with its declared schema; only the columns asked for are read."""
     reader = spark.read.schema(schema.POSE)
@@ -78,9 +92,19 @@ def read_annotations(spark: SparkSession, path: str, form: str = "csv") -> DataF
 
 
 def read_features(spark: SparkSession, paths: str | list[str], fields: T.StructType) -> DataFrame:
-    """Feature CSVs of many clips as one table, by column name, missing columns NULL."""
-    files = spark.read.csv(paths, header=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    return files.select(*[(F.col(f.name) if f.name in files.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields.fields])
+    """Feature CSVs of many clips as one table, by column name, missing columns NULL.
+
+    Files may differ in their columns and in the order of them: those with the same first line are read together.
+    What reaches the driver are the first lines and the names of the files, which Spark lists there anyway.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")).where(F.col("_metadata.file_block_start") == 0)
+    heads = first.groupBy("path").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head")
+    out = spark.createDataFrame([], fields)
+    for row in heads.collect():
+        files = spark.read.csv([unquote(p) for p in row["paths"]], header=True)
+        out = out.unionByName(files.select(*[(F.col(f"`{f.name}`") if f.name in files.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields.fields]))
+    return out
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, single: bool = False) -> None:

@@ -243,8 +243,9 @@ def test_entry_and_pruned_scan(spark):
 
 def test_annotations_reach_every_clip(spark):
     d = "/root/testdata/sf0.1"
-    events = X.events(spark, d).where("event_id % 97 = 0")
+    events = X.events(spark, d)
     assert X.annotations(spark, d).count() == events.count()
+    assert X.annotations(spark, d).where("start is not null").count() == events.where("value < 1").count()
     assert all(r["quivering_fraction"] > 0 for r in all_queries()["quivering_fraction"](spark, d).collect())
 
 
@@ -252,3 +253,59 @@ def test_window_speed_stays_inside_windows(spark):
     rows = [("c", f, "a", "stripe1", 3.0 * f * f, 4.0 * f * f) for f in range(4)]
     got = features.window_speed(spark.createDataFrame(rows, POSE), length=2).orderBy("start").collect()
     assert [tuple(r) for r in got] == [("c", 0, 1, 5.0), ("c", 2, 3, 25.0)]
+
+
+def test_annotations_count_within_each_clip_s_own_frames(spark):
+    a = spark.createDataFrame([("c", 12, 14), ("c", 18, 40), ("d", 12, 14), ("e", 0, 9), ("c", None, None), ("c", 5, None)], "clip string, start long, stop long")
+    spans = spark.createDataFrame([("c", 10, 19), ("d", 0, 9)], "clip string, first long, last long")
+    got = lambda mode: sorted((r["clip"], r["frame"]) for r in intervals.covered(a, spans, mode).collect())
+    assert got("strict") == [("c", 12), ("c", 13), ("c", 18)]
+    assert got("inclusive") == [("c", n) for n in (12, 13, 14, 18, 19)]
+
+
+def test_long_clips_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(n).select(F.lit("c").alias("clip"), F.col("id").alias("frame"), (F.col("id") * 7 % 11 < 4).alias("hit"))
+        began = time.perf_counter()
+        out = sequences.labelled(rows, F.col("hit"), ["clip"], 15, 15, "e").agg(F.sum("e")).collect()
+        return time.perf_counter() - began, out
+
+    took(20_000)
+    assert took(378_000)[0] < 30  # frames that end at the window's last row took half an hour
+
+
+def test_feature_files_with_other_columns_and_orders(spark, tmp_path):
+    for name, text in (("a", "clip,n,share\nx,1,0.5\n"), ("b", "share,clip\n0.9,y\n"), ("c", "n,extra,clip\n7,q,\"z,z\"\n"), ("d", "clip,n,share\nw,2,\n")):
+        (tmp_path / f"{name}_clipfeatures.csv").write_text(text)
+    (tmp_path / "notes.txt").write_text("clip\nno\n")
+    fields = schema.T.StructType([schema.T.StructField("clip", schema.T.StringType()), schema.T.StructField("n", schema.T.LongType()), schema.T.StructField("share", schema.T.DoubleType())])
+    got = sorted(tuple(r) for r in stores.read_features(spark, str(tmp_path), fields).collect())
+    assert got == [("w", 2, None), ("x", 1, 0.5), ("y", None, 0.9), ("z,z", 7, None)]
+
+
+def test_individuals_without_the_body_part_stay(spark):
+    rows = [("c", 0, "a", "stripe1", 1.0, 1.0), ("c", 0, "a", "nose", 1.0, 1.0), ("c", 0, "b", "nose", 2.0, 2.0)]
+    roi = spark.createDataFrame([("c", 0.0, 0.0, 5.0)], "clip string, roi_x double, roi_y double, roi_r double")
+    got = {r["individual"]: (r["in_roi"], r["roi_occupancy"]) for r in features.individual_features(spark.createDataFrame(rows, POSE), roi).collect()}
+    assert got == {"a": (True, 1), "b": (False, 1)}
+
+
+def test_fractions_of_a_whole_trial(spark):
+    rows = [("c", f, 1, 0, -1, 0 if f < 4 else -1, 0, f < 5) for f in range(10)]
+    names = "clip string, frame long, nfish_frame long, nfish_pipe long, mouthing_event_id long, double_occupancy_event_id long, spawning_event_id long, quivering boolean"
+    roi = spark.createDataFrame([("c", 0.0, 0.0, 5.0)], "clip string, roi_x double, roi_y double, roi_r double")
+    table = spark.createDataFrame(rows, names)
+    own, trial = (features.clip_features(table, roi, trial_frames=n).first() for n in (None, 100))
+    assert (own["quivering_fraction"], own["double_occupancy_event_fraction"]) == (0.5, 0.4)
+    assert (trial["quivering_fraction"], trial["double_occupancy_event_fraction"], trial["raw_zero_occupancy_fraction"]) == (0.05, 0.04, 1.0)
+
+
+def test_a_shared_folder_is_asked_for_off_local_masters():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        stores.work_folder(Session(), "x")
