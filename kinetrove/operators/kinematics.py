@@ -94,9 +94,15 @@ def ego_frame(pose: DataFrame, roi: DataFrame, tail: list[str], origin: str = "s
 
 
 def standard_scale(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """(x - mean) / population standard deviation; a constant column becomes 0. Statistics come by one aggregate and a join."""
+    """(x - mean) / population standard deviation; a constant column becomes 0.
+
+    Statistics come by one aggregate: of all rows as scalar subqueries, of groups by a join.
+    """
     stats = [s for c in columns for s in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))]
-    found = rows.groupBy(*(by or [])).agg(*stats)
-    joined = rows.join(found, by) if by else rows.crossJoin(F.broadcast(found))  # one row
+    if by:
+        rows = rows.join(rows.groupBy(*by).agg(*stats), by)
+    else:
+        found = rows.agg(*stats)
+        rows = rows.withColumns({c: found.select(c).scalar() for c in found.columns})
     scale: dict[str, Column] = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}
-    return joined.withColumns(scale).drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
+    return rows.withColumns(scale).drop(*[f"_{k}_{c}" for c in columns for k in "ms"])

@@ -45,11 +45,17 @@ def same_part_distances(pose: DataFrame, least_fish: int = 2) -> DataFrame:
 
 
 def all_distances(pose: DataFrame) -> DataFrame:
-    """(clip, frame, point_a, point_b, dist) of all unordered point pairs, 351 a frame with 27 points."""
-    point = F.concat_ws(":", "individual", "bodypart")
-    a = pose.select("clip", "frame", point.alias("point_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"))
-    b = pose.select("clip", "frame", point.alias("point_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"))
-    return a.join(b, ["clip", "frame"]).where("point_a < point_b").select("clip", "frame", "point_a", "point_b", between().alias("dist"))
+    """(clip, frame, point_a, point_b, dist) of all unordered point pairs, 351 a frame with 27 points.
+
+    A frame's points, a fixed number, are gathered by one aggregate and paired in place: no join, and no pair is formed twice.
+    """
+    point = F.struct(F.concat_ws(":", "individual", "bodypart").alias("point"), "x", "y")
+    points = pose.groupBy("clip", "frame").agg(F.sort_array(F.collect_list(point)).alias("p"))
+    first = points.select("clip", "frame", F.posexplode("p").alias("i", "a"), "p")
+    later = F.explode(F.slice("p", F.col("i") + 2, F.greatest(F.size("p") - F.col("i") - 1, F.lit(0)))).alias("b")
+    pairs = first.select("clip", "frame", "a", later)
+    pairs = pairs.select("clip", "frame", F.col("a.point").alias("point_a"), F.col("b.point").alias("point_b"), *[F.col(f"{k}.{c}").alias(f"{c}_{k}") for k in "ab" for c in "xy"])
+    return pairs.select("clip", "frame", "point_a", "point_b", between().alias("dist"))
 
 
 def skeleton_angles(pose: DataFrame, skeleton: list[tuple[str, str]]) -> DataFrame:

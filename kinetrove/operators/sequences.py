@@ -1,7 +1,7 @@
 """Runs of frames, one-dimensional density clusters, fills and fixed windows: all window functions.
 
-Every window is partitioned by clip (and individual or pair), so the largest task is the
-longest clip; a full trial has 378,000 frames.
+Runs and fixed windows are partitioned by clip (and individual or pair). Density clusters also by ranges of ``CHUNK``
+frames that overlap by what a frame's label can depend on, and fills are equi-joins on frames, so a clip of any length is many tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CHUNK = 1 << 16
+
 
 def islands(rows: DataFrame, by: list[str], order: str = "frame", name: str = "run") -> DataFrame:
     """Adds ``name``: equal for rows of consecutive ``order``, different across gaps."""
@@ -22,40 +24,54 @@ def runs(rows: DataFrame, by: list[str], least: int = 1, order: str = "frame") -
     return found.where(F.col("n") >= least).select(*by, "start", "stop", "n")
 
 
-def dbscan1d(hits: DataFrame, by: list[str], eps: int, min_samples: int, order: str = "frame") -> DataFrame:
-    """Adds ``label``: the density cluster of each row along ``order``, -1 for noise, from 0 in order.
+def dbscan1d(hits: DataFrame, by: list[str], eps: int, min_samples: int, order: str = "frame", chunk: int = CHUNK) -> DataFrame:
+    """Adds ``label``: the density cluster of each row along ``order`` (whole numbers), -1 for noise, from 0 in order.
 
     A row is a core if at least ``min_samples`` rows, itself included, lie within eps of it; cores at most eps
     apart share a cluster; other rows take the cluster of the nearest core within eps, the earlier of two.
+
+    Whether a row is a core, opens a cluster or has one near depends on rows up to 2 eps away. So ranges of ``chunk`` are labelled
+    with copies of the rows around them, and a range's clusters are numbered on from those of the ranges before it.
     """
-    base = Window.partitionBy(*by).orderBy(order)
+    chunk = max(chunk, 2 * eps + 1)
+    here, own = F.col(order), F.col("_own")
+    near = F.sequence(F.floor((here - 2 * eps) / chunk), F.floor((here + 2 * eps) / chunk))
+    rows = hits.withColumn("_chunk", F.explode(near)).withColumn("_own", F.floor(here / chunk) == F.col("_chunk"))
+    each = Window.partitionBy(*by, "_chunk")
+    base = each.orderBy(order)
     until = base.rowsBetween(Window.unboundedPreceding, 0)
     # frames that start at the window's first row grow row by row; ones that end at its last would be summed up anew for each row
-    since = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    here = F.col(order)
-    rows = hits.withColumn("_n", F.count(F.lit(1)).over(base.rangeBetween(-eps, eps)))
+    since = each.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(base.rangeBetween(-eps, eps)))
     rows = rows.withColumn("_core", F.when(F.col("_n") >= min_samples, here))
     before = F.last("_core", ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_before", before).withColumn("_after", F.last("_core", ignorenulls=True).over(since))
     opens = F.col("_core").isNotNull() & (F.col("_before").isNull() | (here - F.col("_before") > eps))
-    rows = rows.withColumn("_opened", F.sum(opens.cast("bigint")).over(until))
+    rows = rows.withColumn("_opened", F.sum((opens & own).cast("bigint")).over(until))
+    rows = rows.where(own)
+    # one row a range
+    opened = rows.groupBy(*by, "_chunk").agg(F.max("_opened").alias("_new"))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    opened = opened.select(*by, "_chunk", F.coalesce(F.sum("_new").over(earlier), F.lit(0)).alias("_earlier"))
+    rows = rows.join(opened, [*by, "_chunk"])
     left, right = here - F.col("_before"), F.col("_after") - here
     next_opens = (F.col("_before").isNull() | (F.col("_after") - F.col("_before") > eps)).cast("bigint")
+    so_far = F.col("_earlier") + F.col("_opened")
     label = (
-        F.when(F.col("_core").isNotNull(), F.col("_opened") - 1)
-        .when((left <= eps) & (right.isNull() | (right > eps) | (left <= right)), F.col("_opened") - 1)
-        .when(right <= eps, F.col("_opened") + next_opens - 1)
+        F.when(F.col("_core").isNotNull(), so_far - 1)
+        .when((left <= eps) & (right.isNull() | (right > eps) | (left <= right)), so_far - 1)
+        .when(right <= eps, so_far + next_opens - 1)
         .otherwise(F.lit(-1).cast("bigint"))
     )
-    return rows.withColumn("label", label).drop("_n", "_core", "_before", "_after", "_opened")
+    return rows.withColumn("label", label).select(*hits.columns, "label")
 
 
 def fill(frames: DataFrame, by: list[str], label: str, order: str = "frame") -> DataFrame:
     """Frames between an event's first and last frame take its label; others have -1. Events do not overlap."""
-    w = Window.partitionBy(*by)
-    own = F.when(F.col(label) >= 0, F.col(label))
-    back, ahead = (F.last(own, ignorenulls=True).over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (order, F.desc(order)))
-    return frames.withColumn("_b", back).withColumn("_a", ahead).withColumn(label, F.when(F.col("_b") == F.col("_a"), F.col("_b")).otherwise(F.lit(-1).cast("bigint"))).drop("_b", "_a")
+    spans = frames.where(F.col(label) >= 0).groupBy(*by, F.col(label).alias("_e")).agg(F.min(order).alias("_a"), F.max(order).alias("_b"))
+    inside = spans.select(*by, "_e", F.explode(F.sequence("_a", "_b")).alias(order))
+    out = frames.join(inside, [*by, order], "left").withColumn(label, F.coalesce("_e", F.lit(-1).cast("bigint")))
+    return out.select(*frames.columns)
 
 
 def labelled(frames: DataFrame, hit: Column, by: list[str], eps: int, min_samples: int, name: str, filled: bool = True) -> DataFrame:

@@ -40,6 +40,16 @@ def test_dbscan_against_brute_force(spark, seed, eps, least):
     assert {r["frame"]: r["label"] for r in got} == brute_dbscan(points, eps, least)
 
 
+@pytest.mark.parametrize("seed,eps,least,chunk", [(1, 3, 3, 7), (2, 5, 4, 40), (3, 1, 1, 3), (4, 10, 6, 21), (5, 2, 3, 1)])
+def test_dbscan_over_ranges_against_brute_force(spark, seed, eps, least, chunk):
+    rng = random.Random(seed)
+    clips = {c: sorted(rng.sample(range(-50, 350), 90)) for c in ("a", "b")}
+    rows = spark.createDataFrame([(c, n, "kept") for c, p in clips.items() for n in p], "clip string, frame long, other string")
+    got = sequences.dbscan1d(rows, ["clip"], eps, least, chunk=chunk).collect()
+    assert {(r["clip"], r["frame"]): r["label"] for r in got} == {(c, n): x for c, p in clips.items() for n, x in brute_dbscan(p, eps, least).items()}
+    assert len(got) == 180 and {r["other"] for r in got} == {"kept"}
+
+
 def test_no_hits_gives_minus_one_everywhere(spark):
     out = sequences.labelled(frames(spark, range(5)), F.lit(False), ["clip"], 3, 2, "id").collect()
     assert [r["id"] for r in out] == [-1] * 5
