@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..operators import changepoint, events, features, intervals, kinematics, pairs, presence, refine, sequences, summaries
+from ..operators import changepoint, events, features, intervals, kinematics, pairs, presence, projection, refine, sequences, summaries
 from ..sources import fixtures as X
 from ..sources import keys, schema, stores
 from ..streaming.sessions import hit_sessions
@@ -380,6 +380,14 @@ def standard_scale(s, d):
     return r6(kinematics.standard_scale(rows, ["centroid_x", "centroid_y"]), "centroid_x", "centroid_y")
 
 
+@query
+def principal_plane(s, d):
+    """Individual kinematics on their two principal axes, a labelled stand-in for the neighbour-graph embedding."""
+    rows = kinematics.individual_kinematics(X.pose(s, d), X.roi(s, d)).select("clip", "frame", "individual", "centroid_x", "centroid_y", "centroid_speed", "dist_from_roi_center")
+    scaled = kinematics.standard_scale(rows, rows.columns[3:])
+    return r6(projection.principal_plane(scaled, rows.columns[3:]), "axis_1", "axis_2").select("clip", "frame", "individual", "axis_1", "axis_2")
+
+
 @query
 def key_parse(s, d):
     e = X.events(s, d).select(F.format_string("/%s_group%d_%06d-%06d%s", F.when(F.col("event_id") % 2 == 0, "BHVE").otherwise("CTRL"), F.col("user_id") % 10, F.col("event_id"), F.col("event_id") + 1799, F.when(F.col("event_id") % 3 == 0, ".mp4").otherwise("")).alias("key"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetrove.functions import geometry as G
-from kinetrove.operators import changepoint, events, features, intervals, kinematics, pairs, presence, refine, sequences, summaries
+from kinetrove.operators import changepoint, events, features, intervals, kinematics, pairs, presence, projection, refine, sequences, summaries
 from kinetrove.plans.queries import all_queries
 from kinetrove.sources import fixtures as X
 from kinetrove.sources import keys, schema, stores
@@ -319,3 +319,14 @@ def test_a_shared_folder_is_asked_for_off_local_masters():
 
     with pytest.raises(RuntimeError):
         stores.work_folder(Session(), "x")
+
+
+def test_principal_plane_against_singular_values(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((80, 4)) @ rng.standard_normal((4, 4))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(80, None, 1.0, 1.0, 1.0)], "id long, a double, b double, c double, d double")
+    got = projection.principal_plane(df, list("abcd")).orderBy("id").collect()
+    _, _, v = np.linalg.svd(x - x.mean(0))
+    v = v * np.sign(v[np.arange(4), np.abs(v).argmax(1)])[:, None]
+    assert np.allclose([(r["axis_1"], r["axis_2"]) for r in got[:80]], (x - x.mean(0)) @ v[:2].T) and got[80]["axis_1"] is None
+    assert projection.principal_plane(df.where("id = 80"), list("abcd")).first()["axis_2"] is None
