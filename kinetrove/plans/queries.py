@@ -556,7 +556,7 @@ def empty_event_csv(s, d):
     none = events.clip_bounds(sequences.labelled(X.signal(s, d), F.col("dist") < -1, ["clip"], 15, 18, "event_id"), "event_id")
     path = _written(s, "events", lambda to: stores.write_csv(none, to, single=True))
     back = s.read.csv(path, header=True)
-    return s.createDataFrame([(c,) for c in back.columns], "name string").withColumn("n_rows", F.lit(back.count()))
+    return s.createDataFrame([(c,) for c in back.columns], "name string").withColumn("n_rows", F.lit(back.count()).cast("bigint"))
 
 
 @query
