@@ -8,6 +8,9 @@ have equal hashes and different ones collide with a probability near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -72,6 +75,24 @@ def chunks(texts: list[bytes], limit: int = 1 << 20):
         yield first, len(texts)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on after a task, several to an executor, and keep what it used most."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """Record batches in parts of at most ``rows`` rows, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+        del batch
+        release()
+
+
 class Words:
     """The words of some texts. ``doc`` is the text of each word, ``bounds[i]:bounds[i+1]`` the words of text i."""
 
