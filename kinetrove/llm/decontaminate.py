@@ -1,13 +1,16 @@
 """Benchmark decontamination by pigeonhole edit matching over words.
 
 A test item of W words may differ by e word edits. It is cut into e + 1 pieces;
-an occurrence within e edits leaves one piece whole. Piece hits are found by the
-hash of a piece's first words, then the surroundings are verified with Myers'
+an occurrence within e edits leaves one piece whole. Each piece is looked up by one of its runs of ``PROBE`` words, the one
+that the fewest items of the benchmark share; where it occurs, the surroundings are verified with Myers'
 bit-parallel edit distance (one bit a word, any item length), the item against
 the best place of the text. Words are compared in lower case without signs.
 
-Test items go to the executors in blocks of ``block`` items, a bound that does not
-grow with the benchmark; documents are read once a block and never shuffled.
+Neither side is gathered anywhere. Items with the same words are one. The executors get a
+bit filter of the probes, of ``MOST_BITS`` bits at most, however large the benchmark. A first reading of the documents gives the places
+where the filter lets a probe through; probes and places meet by an equi-join on the probe, whose hot keys Spark splits,
+and give an item's possible places, those within the item's budget of each other as one. A second reading, of documents with
+such places, cuts the words there, and each place is verified by itself.
 """
 
 from __future__ import annotations
@@ -17,13 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .kernel import U, Words, chunks, gram_owner, grams
+from .kernel import U, Words, chunks, gram_owner, grams, slices
+from .tables import BitFilter, discard, loose, stored, with_row_id
 
 PROBE = 4
 #: Signs become spaces, so that words are letters and digits.
 SIGNS = bytes(b if chr(b).isalnum() or b >= 128 or b in (9, 10, 11, 12, 13) else 32 for b in range(256))
-HIT = "item_id long, distance long, error_budget long, start_word long"
+#: Bits of the filter of probes: about this many a probe, from the least to the most.
+BITS_A_PROBE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
+CACHED = 2_000
 
 
 def plain(text: str | None) -> bytes:
@@ -57,128 +64,153 @@ def distance(masks: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
     return best
 
 
-class Probes:
-    """The pieces of a block of items, to be looked up by the hash of their first words."""
-
-    def __init__(self, items: list[tuple[int, str]], percent: int):
-        self.items = []
-        by_size: dict[int, list[tuple[int, int, int]]] = {}
-        for item_id, text in items:
-            h = Words([plain(text)]).hashes()
-            w = len(h)
-            if not w:
-                continue
-            e = budget(w, percent)
-            masks: dict[int, int] = {}
-            for i, c in enumerate(h.tolist()):
-                masks[c] = masks.get(c, 0) | 1 << i
-            size = min(PROBE, w)
-            g = grams(h, size)
-            for p in range(e + 1):
-                first = p * w // (e + 1)
-                by_size.setdefault(size, []).append((int(g[first]), len(self.items), first))
-            self.items.append((item_id, w, e, masks))
-        self.tables = {}
-        for size, rows in by_size.items():
-            rows.sort()
-            self.tables[size] = np.array([r[0] for r in rows], U), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-
-    def hits(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item_id, distance, budget, first word) of the best place of each item in each text."""
-        w = Words(texts)
-        h = w.hashes()
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for size, (keys, items, offsets) in self.tables.items():
-            g = grams(h, size)
-            first, doc = gram_owner(w.bounds, len(g), size)
-            if not len(first):
-                continue
-            g = g[first]
-            found = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g)
-            for at, d, key in zip(first[found].tolist(), doc[found].tolist(), g[found]):
-                for row in range(np.searchsorted(keys, key), np.searchsorted(keys, key, "right")):
-                    item, start = int(items[row]), at - int(offsets[row])
-                    if (d, item, start) in tried or best.get((d, item), (1,))[0] == 0:
-                        continue
-                    tried.add((d, item, start))
-                    _, n, e, masks = self.items[item]
-                    lo, hi = max(int(w.bounds[d]), start - e), min(int(w.bounds[d + 1]), start + n + e)
-                    score, end = distance(masks, n, h[lo:hi].tolist())
-                    if score <= e and score < best.get((d, item), (n + 1,))[0]:
-                        best[d, item] = score, max(lo + end - n, int(w.bounds[d])) - int(w.bounds[d])
-        for (d, item), (score, start) in best.items():
-            yield d, self.items[item][0], score, self.items[item][2], start
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, block: int = 20_000, key: str = "doc_id") -> DataFrame:
+
+def _batch(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
+
+
+def _items(benchmark: DataFrame, percent: int) -> DataFrame:
+    """(item_id, item, n, e, words): an item's words as hashes, ``item`` a hash of them. Items without words are left out."""
+    kinds = {"item_id": pa.int64(), "item": pa.int64(), "n": pa.int64(), "e": pa.int64(), "words": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = Words([plain(text)]).hashes()
+                if n := len(h):
+                    rows.append((item_id, int(grams(h, n).view(np.int64)[0]), n, budget(n, percent), h.tobytes()))
+            if rows:
+                yield _batch(kinds, rows)
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, item long, n long, e long, words binary")
+
+
+def _probes(items: DataFrame) -> DataFrame:
+    """(probe, size, item, n, e, at): the run of words at word ``at`` of the item by which a piece is looked up."""
+    kinds = dict.fromkeys(("probe", "size", "item", "n", "e", "piece", "at"), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, e, words in zip(*(c.to_pylist() for c in batch.columns)):
+                size = min(PROBE, n)
+                keys = grams(np.frombuffer(words, U), size).view(np.int64).tolist()
+                yield _batch(kinds, [(keys[at], size, item, n, e, p, at) for p in range(e + 1) for at in range(p * n // (e + 1), (p + 1) * n // (e + 1) - size + 1)])
+
+    runs = items.mapInArrow(run, "probe long, size long, item long, n long, e long, piece long, at long")
+    common = runs.groupBy("probe").agg(F.count(F.lit(1)).alias("common"))
+    rare = runs.join(loose(common, "probe"), "probe").groupBy("item", "n", "e", "piece").agg(F.min(F.struct("common", "probe", "at", "size")).alias("best"))
+    return rare.select("best.probe", "best.size", "item", "n", "e", "best.at")
+
+
+def _hits(rows: DataFrame, sizes: list[int], probes: BitFilter) -> DataFrame:
+    """(rid, probe, place): words from which on the filter lets a probe of one of the sizes through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds = probes.holds()
+        for batch in slices(batches):
+            texts = [plain(t) for t in batch.column(1).to_pylist()]
+            rid = np.array(batch.column(0).to_pylist(), np.int64)
+            for a, b in chunks(texts):
+                w = Words(texts[a:b])
+                h = w.hashes()
+                for size in sizes:
+                    g = grams(h, size)
+                    first, doc = gram_owner(w.bounds, len(g), size)
+                    found = np.flatnonzero(holds(g[first])) if len(first) else first
+                    if len(found):
+                        cols = [rid[a:b][doc[found]], g[first[found]].view(np.int64), first[found] - w.bounds[doc[found]]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "probe", "place"])
+
+    return rows.select("rid", "text").mapInArrow(run, "rid long, probe long, place long")
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """(rid, item, first, around): of rows (rid, text, item, n, e, near), the words where items may lie, from word ``first`` on."""
+    kinds = {"rid": pa.int64(), "item": pa.int64(), "first": pa.int64(), "around": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, h = None, np.zeros(0, U)
+        for batch in batches:
+            out, size = [], 0
+            for rid, text, item, n, e, near in zip(*(c.to_pylist() for c in batch.columns)):
+                if rid != last:  # the rows of a text come one after the other
+                    last, h = rid, Words([plain(text)]).hashes()
+                first = max(0, near * (e + 1) - e)
+                out.append((rid, item, first, h[first : near * (e + 1) + n + 2 * e].tobytes()))
+                size += len(out[-1][3])
+                if size > 1 << 24:
+                    yield _batch(kinds, out)
+                    out, size = [], 0
+            if out:
+                yield _batch(kinds, out)
+
+    return rows.select("rid", "text", "item", "n", "e", "near").mapInArrow(run, "rid long, item long, first long, around binary")
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """(rid, item, distance, start) of the places (rid, item, n, e, words, first, around) within the budget."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict[int, dict[int, int]] = {}
+        for batch in batches:
+            rows = []
+            for rid, item, n, e, words, first, around in zip(*(c.to_pylist() for c in batch.columns)):
+                text, own = np.frombuffer(around, U), np.frombuffer(words, U)
+                if len(whole := [at for at in np.flatnonzero(text[: max(0, len(text) - n + 1)] == own[0]).tolist() if np.array_equal(text[at : at + n], own)]):
+                    rows.append((rid, item, 0, first + whole[0]))
+                    continue
+                if item not in masks:
+                    if len(masks) >= CACHED:
+                        masks.clear()
+                    masks[item] = {}
+                    for i, c in enumerate(own.tolist()):
+                        masks[item][c] = masks[item].get(c, 0) | 1 << i
+                score, end = distance(masks[item], n, text.tolist())
+                if score <= e:
+                    rows.append((rid, item, score, max(first + end - n, 0)))
+            if rows:
+                yield _batch(dict.fromkeys(("rid", "item", "distance", "start"), pa.int64()), rows)
+
+    return met.select("rid", "item", "n", "e", "words", "first", "around").mapInArrow(run, "rid long, item long, distance long, start long")
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, item, distance, start) of the best place of each item in each row, and the items (item_id, item, n, e, words)."""
+    items = stored(_items(benchmark, percent), "items")
+    each = items.groupBy("item").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.first("words").alias("words"))
+    probes = stored(_probes(each), "probes")
+    sizes = sorted(r["size"] for r in probes.select("size").distinct().collect())  # up to ``PROBE`` of them
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_PROBE * probes.count() - 1).bit_length()))
+    hits = _hits(rows, sizes, BitFilter(probes, "probe", bits))
+    near = F.floor((F.col("place") - F.col("at")) / (F.col("e") + 1)).cast("long")  # places within the budget of each other are one
+    places = stored(hits.join(probes, "probe").select("rid", "item", "n", "e", near.alias("near")).distinct(), "places")
+    met = _around(rows.select("rid", "text").join(places, "rid")).join(each, "item")
+    best = _verified(met).groupBy("rid", "item").agg(F.min(F.struct("distance", "start")).alias("best"))
+    best = stored(best.select("rid", "item", "best.distance", "best.start"), "leaks")
+    discard(probes, places)
+    return best, items
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 15, key: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, distance, error_budget, start_word): each item found in each document.
 
     Null and empty texts, on either side, match nothing; repeated documents or items give
-    a row each. With no items, or no documents, the result is empty.
+    a row each. A null id of a document or item stays null. Of places with the same distance the first counts. Other
+    columns are not read. With no items, or no documents, the result is empty.
     """
-    kind = dict(docs.dtypes)[key]
-
-    def search(items: list[tuple[int, str]]) -> DataFrame:
-        probes = _lazy(items, percent)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [plain(t) for t in batch.column(1).to_pylist()]
-                for a, b in chunks(texts):
-                    if rows := list(probes().hits(texts[a:b])):
-                        cols = list(zip(*rows))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + i for i in cols[0]])), *(pa.array(c, pa.int64()) for c in cols[1:])], [key, "item_id", "distance", "error_budget", "start_word"])
-
-        return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, {HIT}")
-
-    found = [search(items) for items in _blocks(benchmark, block)] or [search([])]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 15, block: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item, all columns kept. No shuffle."""
-    names, place = docs.columns, docs.columns.index("text")
-
-    def drop(items: list[tuple[int, str]]):
-        probes = _lazy(items, percent)
+    rows = with_row_id(docs, [*dict.fromkeys([key, "text"])], key)
+    found, items = _found(rows, benchmark, percent)
+    out = found.join(items.select("item_id", "item", "e"), "item").join(rows.select("rid", key), "rid")
+    return out.select(key, "item_id", "distance", F.col("e").alias("error_budget"), F.col("start").alias("start_word"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [plain(t) for t in batch.column(place).to_pylist()]
-                keep = np.ones(len(texts), bool)
-                for a, b in chunks(texts):
-                    keep[[a + hit[0] for hit in probes().hits(texts[a:b])]] = False
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names)
 
-        return run
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, all columns kept.
 
-    for items in _blocks(benchmark, block):
-        docs = docs.mapInArrow(drop(items), docs.schema)
-    return docs
-
-
-def _lazy(items: list[tuple[int, str]], percent: int):
-    """Builds the look-up tables once a task, on the executor."""
-    state: list[Probes] = []
-
-    def get() -> Probes:
-        if not state:
-            state.append(Probes(items, percent))
-        return state[0]
-
-    return get
-
-
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    items = []
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        items.append((row["item_id"], row["text"]))
-        if len(items) == block:
-            yield items
-            items = []
-    if items:
-        yield items
+    Null and empty texts hold none, rows that repeat an id or have none are judged by themselves, and without items all rows stay.
+    """
+    names = docs.columns
+    rows = with_row_id(docs.toDF(*(f"c{i}" for i in range(len(names)))), [f"c{i}" for i in range(len(names))], f"c{names.index('doc_id')}")
+    found, _ = _found(rows.withColumn("text", F.col(f"c{names.index('text')}")), benchmark, percent)
+    return rows.join(found.select("rid").distinct(), "rid", "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

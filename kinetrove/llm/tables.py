@@ -15,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a session with a local master, as in tests, gets a folder of this machine; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         root = "file://" + tempfile.mkdtemp(prefix="kinetrove-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -54,15 +60,16 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
-def with_row_id(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``rid`` and the named columns. rid is doc_id where that tells all rows apart, else a stored row number."""
+def with_row_id(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+    """``rid`` and the named columns. rid is the key where that is a whole number that tells all rows apart, else a stored row number."""
     from pyspark.sql import functions as F
 
-    ids = docs.agg(F.count("doc_id").alias("some"), F.count(F.lit(1)).alias("all")).first()
-    repeated = ids["some"] == ids["all"] and docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    ids = docs.agg(F.count(key).alias("some"), F.count(F.lit(1)).alias("all")).first()
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    repeated = ids["some"] == ids["all"] and docs.groupBy(key).count().where("count > 1").limit(1).count()
     kept = docs.select(*columns)
-    if ids["some"] == ids["all"] and not repeated:
-        return kept.withColumn("rid", F.col("doc_id").cast("long"))
+    if whole and ids["some"] == ids["all"] and not repeated:
+        return kept.withColumn("rid", F.col(key).cast("long"))
     return stored(kept.withColumn("rid", F.monotonically_increasing_id()), "rows")
 
 
@@ -100,3 +107,50 @@ def loose(df: DataFrame, *columns: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return df.withColumns({c: F.bitwise_not(F.bitwise_not(c)) for c in columns})
+
+
+class BitFilter:
+    """Which of a table's 64-bit hashes a value may be among: two bits a hash in a broadcast of ``bits`` bits, whatever the table's size.
+
+    It never misses one; how many others it lets through depends on how full it is. Executors set the bits, and what
+    reaches the driver are the filter's own words.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int):
+        import numpy as np
+        from pyspark.sql import functions as F
+
+        self.bits = bits
+        places = self._places
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(bits, bool)
+            for batch in batches:
+                for at in places(batch.column(0).to_numpy().view(np.uint64), bits):
+                    own[at] = True
+            words = np.packbits(own, bitorder="little").view("<i8")
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], ["at", "word"])
+
+        words = hashes.select(column).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        out = np.zeros(bits // 64, "<i8")
+        out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+        self.sent = hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+    @staticmethod
+    def _places(hashes, bits: int) -> list:
+        return [(hashes >> hashes.dtype.type(shift)) & hashes.dtype.type(bits - 1) for shift in (0, 32)]
+
+    def holds(self):
+        """A function on arrays of unsigned hashes, made once a task."""
+        import numpy as np
+
+        words = np.frombuffer(self.sent.value, np.uint8)
+
+        def test(hashes):
+            found = np.ones(len(hashes), bool)
+            for at in self._places(hashes, self.bits):
+                found &= (words[(at >> at.dtype.type(3)).astype(np.int64)] >> (at & at.dtype.type(7)).astype(np.uint8)) & 1 > 0
+            return found
+
+        return test

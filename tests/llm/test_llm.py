@@ -229,9 +229,9 @@ def test_leaks(spark):
     half = " ".join(items[5].split()[:20])
     table = docs(spark, [*bad, half, text(300), *ODD])
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(table, bench, block=7).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(table, bench).collect()}
     assert got == {(0, 0): 0, (1, 1): 0, (2, 4): 4}
-    kept = decontaminate.clean(table, bench, block=7)
+    kept = decontaminate.clean(table, bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(3, 5 + len(ODD))) and kept.columns == table.columns
     assert decontaminate.find_leaks(table, bench.limit(0)).count() == 0 and decontaminate.find_leaks(table.limit(0), bench).count() == 0
 
