@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are mapped to classes by prefix look-up (insult, threat, target, negation,
-reporting verb). Small transducers then read a clause and are composed:
+A lexicon maps words to symbols by prefix look-up: insult or threat (with a weight), target, negation, reporting verb,
+each with the quotes around it, and the end of a clause. Small weighted transducers (``Machine``: tables of next states
+and of weights, by state and symbol) read the symbols and are composed to one by the product of their states:
 
-* insult / threat emit a weight for each match;
-* target: a person word within ``NEAR`` words raises the weight; a threat without one is weak;
-* negation within the ``NEAR`` words before lowers it;
-* reported speech (a reporting verb earlier in the clause, or open quotes) lowers it.
+* negation lowers a match within the ``NEAR`` words after it;
+* reported speech (a reporting verb earlier in the clause) and open quotes lower it;
+* target raises a match with a person word within ``NEAR`` words; a threat without one is weak. It needs words on
+  either side, so it is a pair of machines, one read from the left, composed with the others, and one from the right.
 
-A clause's score is the sum of its matches' weights; a document's evidence is a
-saturating sum over matched clauses, made a probability by a logistic curve.
+A match weighs its lexicon weight times the composed machine's weight. A clause's score is the sum of its matches' weights;
+a document's evidence is a saturating sum over matched clauses, made a probability by a logistic curve.
 Insult stems and their weights (log odds) are learned from labelled documents, with
 published English words as seeds; the curve is fitted on the same rows. Training
 reads at most ``MAX_ROWS`` labelled rows, chosen by hash; all documents are scored whole.
@@ -22,14 +23,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, Words, as_bytes, chunks
-from .tables import stored
+from .kernel import Words, chunks, slices
+from .tables import discard, stored
 
 MAX_ROWS = 20_000
 PRIOR = 8
@@ -49,15 +51,6 @@ def plain(text: str | None) -> bytes:
     return b"" if text is None else text.lower().encode("utf-8", "replace").translate(SIGNS)
 
 
-def _prefix_features(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, word index, hash) of every word's prefix of each length in bytes; length 0 is the whole word."""
-    long = w.end - w.start
-    yield 0, np.arange(len(w)), w.hashes()
-    for n in range(SHORTEST, LONGEST + 1):
-        at = np.flatnonzero(long >= n)
-        yield n, at, w.spans(w.start[at], w.start[at] + n)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(text, toxic) of at most ``max_rows`` labelled documents that are not held out."""
     some = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 != 2")
@@ -73,7 +66,7 @@ def learn_stems(rows: DataFrame) -> dict[bytes, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in slices(batches):
             for raw, toxic in zip(map(plain, batch.column(0).to_pylist()), batch.column(1).to_pylist()):
                 words = {x.strip(b"\x22'") for x in raw.split()}
                 stems = {x[:n] for x in words for n in range(SHORTEST, LONGEST + 1) if len(x) >= n} | {x + b"$" for x in words if len(x) >= SHORTEST}
@@ -102,8 +95,60 @@ def learn_stems(rows: DataFrame) -> dict[bytes, float]:
     return weights
 
 
+#: Symbols: kind of word, whether it names a person, quotes that open or close before (1) or after (2) it; the last ends a clause.
+OTHER, NEGATION, REPORT, INSULT, THREAT = range(5)
+END = 30
+KIND, PERSON, QUOTE = (np.array([*(f(x) for x in range(END)), -1]) for f in (lambda x: x // 6, lambda x: x // 3 % 2, lambda x: x % 3))
+CACHED = 50_000
+
+
+class Machine(NamedTuple):
+    """A weighted transducer: next state and weight by (state, symbol). It starts in state 0."""
+
+    step: np.ndarray
+    weight: np.ndarray
+
+    def compose(self, other: Machine) -> Machine:
+        """Both machines reading the same symbols: states are pairs, weights multiply."""
+        n, m = len(self.step), len(other.step)
+        step = self.step[:, None, :] * m + other.step[None, :, :]
+        weight = self.weight[:, None, :] * other.weight[None, :, :]
+        return Machine(step.reshape(n * m, -1), weight.reshape(n * m, -1))
+
+    def read(self, symbols: list[int], state: int = 0) -> tuple[np.ndarray, int]:
+        """The state before each symbol, and the one after the last."""
+        table, states = self.step.tolist(), []
+        for x in symbols:
+            states.append(state)
+            state = table[state][x]
+        return np.array(states, np.int64), state
+
+
+def _since(hits: np.ndarray, factor: float) -> Machine:
+    """State k > 0: a hit lies at most ``NEAR`` words back. Weighs what is read there with ``factor``."""
+    step = np.tile(np.maximum(np.arange(NEAR + 1) - 1, 0)[:, None], (1, END + 1))
+    step[:, :END][:, hits[:END]] = NEAR
+    step[:, END] = 0
+    weight = np.ones(step.shape)
+    weight[1:] = factor
+    return Machine(step, weight)
+
+
+def _reported() -> Machine:
+    """State 2 r + q: a reporting verb earlier in the clause, open quotes (which clauses do not close)."""
+    step, weight = np.zeros((4, END + 1), np.int64), np.ones((4, END + 1))
+    for state in range(4):
+        r, q = divmod(state, 2)
+        step[state, END] = q
+        for x in range(END):
+            inside = q ^ (QUOTE[x] == 1)
+            step[state, x] = 2 * (r or KIND[x] == REPORT) + (inside ^ (QUOTE[x] == 2))
+            weight[state, x] = 0.6 if r or inside else 1.0
+    return Machine(step, weight)
+
+
 class Grammar:
-    """The composed transducers. ``stems``: learned insult stems; a final ``$`` marks a whole word."""
+    """The lexicon and the composed transducers. ``stems``: learned insult stems; a final ``$`` marks a whole word."""
 
     def __init__(self, stems: dict[bytes, float]):
         weights = {s.encode(): 3.0 for s in INSULTS} | {k: max(0.5, v) for k, v in stems.items()}
@@ -117,6 +162,10 @@ class Grammar:
             tables.setdefault(0 if s.endswith(b"$") else len(s), []).append(s)
         self.tables = {n: np.unique(Words([x.rstrip(b"$") for x in xs]).hashes()) for n, xs in tables.items()}
         self.longest = max(map(len, self.weight))
+        person = _since(PERSON == 1, 1.0)
+        self.left = _since(KIND == NEGATION, 0.4).compose(_reported()).compose(person)
+        self.right, self.persons = person, len(person.step)
+        self.symbols: dict[bytes, tuple[int, float]] = {}
 
     def _match(self, word: bytes) -> tuple[float, bool]:
         """(weight, is a threat) of a word; 0 if it matches nothing."""
@@ -128,29 +177,34 @@ class Grammar:
                 best, threat = self.weight[key], True
         return best, threat
 
+    def _symbol(self, raw: bytes) -> tuple[int, float]:
+        """The symbol of a word with the quotes around it, and its lexicon weight."""
+        if (found := self.symbols.get(raw)) is None:
+            word, marks = raw.strip(b"\x22'"), raw.count(b"\x22")
+            text = word.decode("utf-8", "replace")
+            weight, threat = (0.0, False) if text in NEGATIONS or text in REPORTING else self._match(word)
+            kind = NEGATION if text in NEGATIONS else REPORT if text in REPORTING else OTHER if not weight else THREAT if threat else INSULT
+            person = raw.strip(b"\x22").decode("utf-8", "replace") in TARGETS
+            quote = 1 if marks and not raw.endswith(b"\x22") else 2 if marks % 2 else 0
+            if len(self.symbols) >= CACHED:
+                self.symbols.clear()
+            found = self.symbols[raw] = kind * 6 + person * 3 + quote, weight
+        return found
+
+    def read(self, symbols: list[int], weights: list[float], state: int = 0) -> tuple[float, int]:
+        """The matches' summed weight, and the left machine's state after the last symbol."""
+        x = np.array(symbols, np.int64)
+        before, state = self.left.read(symbols, state)
+        after = self.right.read(symbols[::-1])[0][::-1]
+        aimed = (before % self.persons > 0) | (after > 0) | (PERSON[x] == 1)
+        aim = np.where(aimed, 1.5, np.where(KIND[x] == THREAT, 0.25, 1.0))
+        return float((np.array(weights) * self.left.weight[before, x] * aim).sum()), state
+
     def clause(self, words: list[bytes], quoted: bool) -> tuple[float, bool]:
         """The clause's score, and whether quotes stay open after it."""
-        score, negated, reported, target = 0.0, -99, False, [i for i, w in enumerate(words) if w.strip(b"\x22").decode("utf-8", "replace") in TARGETS]
-        for i, raw in enumerate(words):
-            if raw.count(b"\x22") and not raw.endswith(b"\x22"):
-                quoted = not quoted
-            word = raw.strip(b"\x22'")
-            text = word.decode("utf-8", "replace")
-            if text in NEGATIONS:
-                negated = i
-            elif text in REPORTING:
-                reported = True
-            else:
-                weight, threat = self._match(word)
-                if weight:
-                    aimed = any(abs(i - t) <= NEAR for t in target)
-                    weight *= (1.5 if aimed else 1.0) if not threat else (1.5 if aimed else 0.25)
-                    weight *= 0.4 if i - negated <= NEAR else 1.0
-                    weight *= 0.6 if reported or quoted else 1.0
-                    score += weight
-            if raw.endswith(b"\x22") and raw.count(b"\x22") % 2:
-                quoted = not quoted
-        return score, quoted
+        found = [self._symbol(w) for w in words] + [(END, 0.0)]
+        score, state = self.read(*map(list, zip(*found)), state=int(quoted) * self.persons)
+        return score, bool(state // self.persons % 2)
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """The evidence of plain texts: 0 where no word matches."""
@@ -179,28 +233,29 @@ class Grammar:
                 place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit[doc[at[keys[place] == h]]] = True
             for i in np.flatnonzero(hit).tolist():
-                total, quoted = 0.0, False
+                found: list[tuple[int, float]] = []
                 for line in texts[a + i].split(b"\n"):
                     if line:
-                        score, quoted = self.clause(line.split(), quoted)
-                        total += score
-                out[a + i] = total
+                        found += map(self._symbol, line.split())
+                        found.append((END, 0.0))
+                out[a + i] = self.read(*map(list, zip(*found)))[0]
         return 4.0 * np.tanh(out / 16.0) + 0.5 * np.log1p(out)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """(intercept, slope >= 0) of a ridge logistic regression, by Newton's method.
+def fit_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, steps: int = 50) -> tuple[float, float]:
+    """(intercept, slope >= 0) of a ridge logistic regression, by Newton's method; a row counts ``times`` as often.
 
     ``PRIOR`` invented documents of either kind (two insults, none) keep it sensible where labels are few.
     """
     two = float(4.0 * np.tanh(6.0 / 16.0) + 0.5 * np.log1p(6.0))
     x = np.concatenate([x, np.full(PRIOR, two), np.zeros(PRIOR)])
     y = np.concatenate([y, np.ones(PRIOR), np.zeros(PRIOR)])
-    a, b = math.log(y.sum() / (len(y) - y.sum())), 0.0
+    t = np.concatenate([np.ones(len(y) - 2 * PRIOR) if times is None else times, np.ones(2 * PRIOR)])
+    a, b = math.log((t * y).sum() / (t * (1 - y)).sum()), 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(a + b * x)))
-        s = p * (1 - p) + 1e-9
-        g = np.array([(y - p).sum(), ((y - p) * x).sum() - 0.05 * b])
+        s = t * (p * (1 - p) + 1e-9)
+        g = np.array([(t * (y - p)).sum(), (t * (y - p) * x).sum() - 0.05 * b])
         h = np.array([[s.sum(), (s * x).sum()], [(s * x).sum(), (s * x * x).sum() + 0.05]])
         step = np.linalg.solve(h, g)
         a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
@@ -209,16 +264,19 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
     """A function from plain texts to scores, fitted on the labelled rows that are not held out."""
-    rows = training_rows(docs, labels, max_rows)
+    rows = stored(training_rows(docs, labels, max_rows), "training")  # read by two steps; rows that repeat an id are all in it
     grammar = Grammar(learn_stems(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = grammar.evidence([plain(t) for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(x), batch.column(1)], ["x", "toxic"])
 
-    sample = rows.select("text", F.col("toxic").cast("long")).mapInArrow(run, "x double, toxic long").collect()  # at most max_rows rows
-    a, b = fit_curve(np.array([r["x"] for r in sample]), np.array([float(r["toxic"] == 1) for r in sample]))
+    # evidence in steps of a thousandth, so that the table has a bounded size however often ids repeat
+    sample = rows.select("text", (F.col("toxic") == 1).cast("long").alias("toxic")).mapInArrow(run, "x double, toxic long")
+    sample = sample.groupBy(F.round("x", 3).alias("x"), "toxic").agg(F.count(F.lit(1)).alias("times")).orderBy("x", "toxic").collect()
+    discard(rows)
+    a, b = fit_curve(*(np.array([r[c] for r in sample], float) for c in ("x", "toxic", "times")))
 
     def score(texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-(a + b * grammar.evidence(texts))))
@@ -234,7 +292,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     score = train(docs, labels, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p = score([plain(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -248,7 +306,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thr
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = pa.array(score([plain(t) for t in batch.column(place).to_pylist()]) < threshold)
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns], names)
 
