@@ -2,12 +2,16 @@
 
 A partial partition holds m window loads. Two partial partitions are merged by
 adding the largest loads of one to the smallest of the other, always taking the
-two with the widest spread, until one is left: near-equal windows. m is the
-least count whose capacity holds the total. With ``cut`` the overhang of a
-window beyond its capacity is cut off and fills windows with room; without it m
-rises until every window fits.
+two with the widest spread, until one is left: near-equal windows. m begins with the
+least count whose capacity holds the total and rises, by the windows that the excess
+would fill, whenever a window exceeds its capacity.
 
-Each task packs its own documents in groups of at most ``group`` pieces, so no
+Documents are cut into pieces of at most ``piece`` ids first, since near-equal windows of few
+large pieces would leave a share of each window empty. Whole windows of a long document are windows by
+themselves. ``cut`` is another way to the same end, not used by the query: m stays, and what a window
+holds beyond its capacity is cut off and fills windows with room.
+
+Each task packs its own documents in groups of about ``group`` pieces, so no
 shuffle is needed, memory is bounded and a lost task is simply run again. The
 price is at most one partly filled window a group.
 """
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .kernel import as_bytes
+from .kernel import as_bytes, slices
 from .tokencache import cache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
@@ -73,8 +77,8 @@ def pack(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[i
         return []
     m = -(-sum(sizes) // capacity)
     windows = difference(sizes, m)
-    while not cut and max(sum(sizes[i] for i in w) for w in windows) > capacity:
-        m += 1
+    while not cut and (excess := sum(max(0, sum(sizes[i] for i in w) - capacity) for w in windows)):
+        m += -(-excess // capacity)
         windows = difference(sizes, m)
     out, spare = [], []
     for w in windows:
@@ -101,7 +105,7 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, group: int = 2048, cut: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, group: int = 2048, piece: int = 512, cut: bool = False) -> DataFrame:
     """One row a piece: which ids of which document lie where in which sequence.
 
     A null or empty text has the end id alone. Every row is packed by itself, so
@@ -139,7 +143,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
             return batch
 
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(1))
             for first in range(0, len(texts), 512):
                 for doc_id, ids in zip(batch.column(0).slice(first, 512).to_pylist(), tokens.encode(texts[first : first + 512])):
@@ -147,8 +151,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
                     whole = len(ids) // capacity * capacity
                     for at in range(0, whole, capacity):
                         place([(doc_id, len(ids), at, capacity, ids[at : at + capacity])])
-                    if whole < len(ids):
-                        waiting.append((doc_id, len(ids), whole, ids[whole:]))
+                    for at in range(whole, len(ids), piece):
+                        waiting.append((doc_id, len(ids), at, ids[at : at + piece]))
                     if len(waiting) >= group:
                         flush()
                 if len(rows) >= 20_000:
