@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import U, Words, as_bytes, chunks, grams, mix
+from .kernel import U, Words, as_bytes, chunks, grams, mix, release, slices
 from .tables import discard, loose, stored, sum_vectors, with_row_id
 
 SLOTS = 1 << 18
@@ -98,7 +98,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
         slots = np.zeros(SLOTS, np.int64)
         seen: set[int] = set()
         names = ["kind", "rid", "n", "sid", "bits"]
-        for batch in batches:
+        for batch in slices(batches):
             texts, rid = as_bytes(batch.column(1)), batch.column(0)
             for a, b in chunks(texts):
                 sets = gram_sets(texts[a:b], k)
@@ -136,7 +136,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, levels: bytes) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels, np.uint8)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(0))
             for a, b in chunks(texts):
                 keys, sids, sizes, index = [], [], [], []
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, np.zeros(0, U)
-        for batch in batches:
+        for batch in slices(batches):
             a, share, b = (batch.column(i).to_pylist() for i in range(3))
             out = []
             texts = as_bytes(batch.column(3))
@@ -253,6 +253,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]
             tile.append(row)
     if tile:
         yield tile
+    release()
 
 
 def _groups(rows: DataFrame, percent: int) -> DataFrame:
@@ -370,21 +371,23 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = met.select(F.explode(ends).alias("hub"), "sid").where("sid != hub").select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct()
     facts = reps.select("sid", "n", "bits")
     star = star.join(facts.toDF("a", "na", "xa"), "a").join(facts.toDF("b", "nb", "xb"), "b")
-    links = stored(_verified(stored(_bounded(star, percent), "star"), docs, reps, k, percent), "links")
+    near = stored(_bounded(star, percent), "star")
+    links = stored(_verified(near, docs, reps, k, percent), "links")
     known = components(links)
     rest = met.select("gram", "sid", "n", "index").distinct().join(known.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     kept = rest = stored(rest, "rest")
+    discard(near, met, known)
     mixed = rest.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("index").alias("index")).where("lo < hi and index = 1").select("gram")
     rest = rest.join(loose(mixed, "gram"), "gram").join(facts.select("sid", "bits"), "sid")
     groups = stored(_groups(rest, percent), "groups")
     more = stored(_forest(groups, docs, reps, k, percent), "forest")
     whole = components(links.unionByName(more))
+    discard(kept, groups, links, more)
     classes = reps.select("sid", "rid").join(whole.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = classes.groupBy("component").agg(F.min("rid").alias("component_rid"))
     classes = classes.join(loose(least, "component"), "component").select("sid", "component_rid")
     out = rows.select("rid", "sid", "n").join(classes, "sid", "left")
     out = out.select("rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_rid")).otherwise(F.col("rid")).alias("component_rid"))
-    discard(met, kept)
     return out
 
 
