@@ -8,7 +8,7 @@ of one anchor are compared whole first: a context met twice makes all its window
 repeats. Only where an anchor has contexts that differ are single windows
 compared, by their hashes; one occurrence stands for all equal contexts there.
 The union of repeated windows is the union of the maximal repeats of at least
-``window`` words.
+``window`` words; its maximal stretches come back as ``repeats``.
 
 No step forms pairs: hot anchors and contexts are counted with map-side partial
 sums and met by joins whose large partitions Spark splits.
@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, Words, as_bytes, chunks, grams, mix
+from .kernel import U, Words, as_bytes, chunks, grams, mix, slices
 from .tables import loose, stored, with_row_id
 
 SEED_WORDS = 12
+REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
 
 
 def _runs(texts: list[bytes], window: int, k: int):
@@ -81,7 +82,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, context, rid, at, n): windows at .. at+n-1 of the row chose the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, rid = as_bytes(batch.column(1)), np.asarray(batch.column(0).to_pylist(), np.int64)
             for a, b in chunks(texts):
                 if found := _runs(texts[a:b], window, SEED_WORDS):
@@ -97,7 +98,7 @@ def _window_hashes(rows: DataFrame, window: int) -> DataFrame:
     """(hash, rid, at, weight) of the single windows that ``runs`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, rid, runs = as_bytes(batch.column(1)), batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 w = Words(texts[a:b])
@@ -139,9 +140,10 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns and text with all repeated windows' words removed, n_words, n_removed, kept_sha256.
+    """``keep`` columns and text with all repeated windows' words removed, n_words, n_removed, kept_sha256, repeats.
 
-    Kept words are joined by one space; a text that loses nothing keeps its bytes in ``text``.
+    Kept words are joined by one space; a text that loses nothing keeps its bytes in ``text``. ``repeats`` are the
+    maximal stretches of the row that repeats of at least ``window`` words cover: first word and number of words.
     """
     keep = keep or ["doc_id"]
     rows = with_row_id(docs, [*dict.fromkeys([*keep, "doc_id", "text"])])
@@ -151,29 +153,31 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: list[str] | None = N
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     joined = rows.join(spans, "rid", "left")
     kinds = dict(joined.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "text string", "n_words long", "n_removed long", "kept_sha256 string"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "text string", "n_words long", "n_removed long", "kept_sha256 string", "repeats array<struct<start:bigint,n_words:bigint>>"])
     kept_type = pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, column = as_bytes(batch.column(0)), batch.column(1).to_pylist()
             null = [x is None for x in batch.column(0).to_pylist()]
-            out, total, gone, sha = [], [], [], []
+            out, total, gone, sha, repeats = [], [], [], [], []
             for i, (raw, found) in enumerate(zip(texts, column)):
                 words = raw.split()
                 total.append(len(words))
-                lost = 0
+                lost, edges = 0, np.zeros((0, 2), np.int64)
                 if found:
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, [s["at"] for s in found], 1)
                     np.add.at(edge, [s["at"] + s["n"] + window - 1 for s in found], -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     lost = int(covered.sum())
+                    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
                     words = [x for x, c in zip(words, covered.tolist()) if not c]
                 kept = b" ".join(words)
                 gone.append(lost)
+                repeats.append([{"start": a, "n_words": b - a} for a, b in edges.tolist()])
                 sha.append(hashlib.sha256(kept).hexdigest())
                 out.append(None if null[i] else (kept if lost else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, kept_type), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], [*extra, "text", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, kept_type), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(repeats, REPEATS)], [*extra, "text", "n_words", "n_removed", "kept_sha256", "repeats"])
 
     return joined.select("text", "spans", *extra).mapInArrow(run, schema)
