@@ -3,11 +3,12 @@
 A segment holds whole documents: their ids and lengths, and the ids in blocks of
 ``BLOCK``. A block is transposed into byte planes (``bits=False``) or bit planes,
 each compressed with zstandard by itself; the planes of high bits are mostly
-zeros and cost little. The chunk index of a segment gives each block's place, its
-id count and the place of its first id in the corpus-wide order of its file.
+zeros and cost little. The chunk index of a segment gives each block's place in the segment, the
+number of its first id there, its id count and its planes' sizes, so a range of ids is read
+from the blocks that hold it alone (``read_range``).
 
 Segment, little-endian: magic, flags, blocks, ids, documents; doc_id and length of
-every document; then for each block its id count and plane sizes; then planes.
+every document; then the index, an entry a block; then planes.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import as_bytes
+from .kernel import as_bytes, slices
 from .tables import scratch
 from .tokencache import cache
 
-MAGIC = b"KTPL"
+MAGIC = b"KTP2"
 BLOCK = 1 << 16
 HEAD = struct.Struct("<4sBIQQ")
 
@@ -52,39 +53,49 @@ def encode_segment(doc_ids: list[int], docs: list[np.ndarray], bits: bool = Fals
     pack = zstandard.ZstdCompressor(level=level)
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    entry = _entry(bits)
+    place = HEAD.size + 16 * len(docs) + entry.size * len(blocks)
     index, body = [], []
-    for block in blocks:
+    for k, block in enumerate(blocks):
         planes = [pack.compress(p) for p in _planes(block, bits)]
-        index.append(struct.pack(f"<I{len(planes)}I", len(block), *map(len, planes)))
+        index.append(entry.pack(place, k * BLOCK, len(block), *map(len, planes)))
+        place += sum(map(len, planes))
         body += planes
     table = np.array(doc_ids, "<i8").tobytes() + np.array([len(d) for d in docs], "<u8").tobytes()
     return b"".join([HEAD.pack(MAGIC, bits, len(blocks), len(ids), len(docs)), table, *index, *body])
 
 
-def decode_segment(raw: bytes) -> tuple[list[int], list[np.ndarray]]:
+def _entry(bits: bool) -> struct.Struct:
+    """Place in the segment, first id, ids, plane sizes of a block."""
+    return struct.Struct(f"<QQI{32 if bits else 4}I")
+
+
+def read_range(raw: bytes, first: int, last: int) -> np.ndarray:
+    """Ids number ``first`` to ``last`` - 1 of a segment; only blocks that hold some of them are decompressed."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
     magic, bits, n_blocks, n_ids, n_docs = HEAD.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a token segment")
-    at = HEAD.size
-    doc_ids = np.frombuffer(raw, "<i8", n_docs, at).tolist()
-    lens = np.frombuffer(raw, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
-    at += 16 * n_docs
-    planes = 32 if bits else 4
-    entry = struct.Struct(f"<I{planes}I")
-    place = at + entry.size * n_blocks
-    ids = np.empty(n_ids, np.uint32)
-    done = 0
-    for k in range(n_blocks):
-        n, *sizes = entry.unpack_from(raw, at + k * entry.size)
-        parts = []
+    first, last = max(first, 0), min(last, n_ids)
+    entry, at, parts = _entry(bool(bits)), HEAD.size + 16 * n_docs, [np.zeros(0, np.uint32)]
+    for k in range(first // BLOCK, -(-last // BLOCK) if first < last else 0):
+        place, start, n, *sizes = entry.unpack_from(raw, at + k * entry.size)
+        planes = []
         for s in sizes:
-            parts.append(unpack.decompress(raw[place : place + s]))
+            planes.append(unpack.decompress(raw[place : place + s]))
             place += s
-        ids[done : done + n] = _join(parts, n, bool(bits))
-        done += n
+        parts.append(_join(planes, n, bool(bits))[max(first - start, 0) : last - start])
+    return np.concatenate(parts)
+
+
+def decode_segment(raw: bytes) -> tuple[list[int], list[np.ndarray]]:
+    """doc_ids and ids of all documents of a segment."""
+    _, _, _, n_ids, n_docs = HEAD.unpack_from(raw)
+    ids = read_range(raw, 0, n_ids)
+    doc_ids = np.frombuffer(raw, "<i8", n_docs, HEAD.size).tolist()
+    lens = np.frombuffer(raw, "<u8", n_docs, HEAD.size + 8 * n_docs).astype(np.int64)
     return doc_ids, np.split(ids, np.cumsum(lens)[:-1]) if n_docs else []
 
 
@@ -106,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             cols = [[names[0]], [names[-1]], [serial], [len(kept)], [size], [names.count(None)], [encode_segment([x or 0 for x in names], kept, bits)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 6 + [pa.binary()])], ["first_doc", "last_doc", "segment", "n_docs", "n_ids", "n_null", "segment_bytes"])
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(1))
             for first in range(0, len(texts), 512):
                 for doc_id, ids in zip(batch.column(0).slice(first, 512).to_pylist(), tokens.encode(texts[first : first + 512])):
