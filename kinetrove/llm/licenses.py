@@ -14,10 +14,12 @@ are a fixed list and are the only data sent to all executors.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import discard, stored
 
 MATCH = 0.5
 WHOLE = 0.8
@@ -55,6 +57,21 @@ def _terms(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
 
 
+def _key_pattern(weights: dict[str, float], unit_templates: dict[str, list[float]], match: float) -> str:
+    """A pattern of words of which a text must hold one to reach ``match`` with any template.
+
+    A text whose terms in common with a template carry the share s of its squared norm has a cosine of at most
+    sqrt(s) with it. The words are each template's heaviest ones, so many that the others' share is too small.
+    """
+    words: set[str] = set()
+    for template in range(len(next(iter(unit_templates.values())))):
+        others = sorted(((v[template] / weights[term], term) for term, v in unit_templates.items() if v[template]), reverse=True)
+        while sum(v * v for v, _ in others) >= (match - 1e-6) ** 2:
+            words.add(others.pop(0)[1])
+    numbers = [w.replace(".", r"\.") for w in sorted(words) if w[0].isdigit()]
+    return "|".join(["(?<![a-z])(?:" + "|".join(sorted(w for w in words if not w[0].isdigit())) + ")(?![a-z])", *numbers])
+
+
 def _candidates(rows: DataFrame, windows, weights: dict[str, float], unit_templates: dict[str, list[float]], low: float, match: float) -> DataFrame:
     """key, path, header, all of the lines, windows and whole texts that can reach ``match`` with some template.
 
@@ -62,23 +79,31 @@ def _candidates(rows: DataFrame, windows, weights: dict[str, float], unit_templa
     exact; the m other terms, d of them different, add m * m / d * low ** 2 to its square at least,
     where ``low`` is the least weight of any other term. So no text that could match is left out.
     """
-    lines = F.split("text", "\n", -1)
+    # each step's arrays are made once: a predicate on a plain column would be moved below and work its expressions out
+    # again for each mention, and an inner explode would test its array's size first
+    once = lambda **columns: F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("o")
+    has_key = lambda x: F.lower(x).rlike(_key_pattern(weights, unit_templates, match))
     unit = lambda x, whole, terms: F.struct(x.alias("header"), F.lit(whole).alias("all"), terms.alias("terms"))
-    # no term spans lines, so the terms of a text are those of its lines, which are cut once
-    cut = rows.select("key", "path", "text", F.transform(lines, lambda x: unit(F.trim(x), False, _terms(x))).alias("lines"), windows(lines).alias("windows"))
-    parts = F.concat("lines", F.transform("windows", lambda x: unit(x, False, _terms(x))), F.array(unit(F.col("text"), True, F.flatten("lines.terms"))))
-    units = cut.select("key", "path", F.explode(parts).alias("u")).select("key", "path", "u.*")
-    own = F.filter("terms", lambda x: x.isin(list(weights)))
-    units = units.select("key", "path", "header", "all", own.alias("own"), F.array_except("terms", F.array(*map(F.lit, weights))).alias("rest"), F.size("terms").alias("size"))
-    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    tf = lambda x: F.size("own") - F.size(F.array_remove(F.col("own"), x))
-    square = F.aggregate(F.array_distinct("own"), F.lit(0.0), lambda total, x: total + F.pow(tf(x) * known[x], 2))
+    cut = rows.where(has_key(F.col("text"))).select("key", "path", "text", once(lines=F.filter(F.split("text", "\n", -1), has_key)))
+    line_units = F.transform("o.lines", lambda x: unit(F.trim(x), False, _terms(x)))
+    window_units = F.transform(windows(F.col("o.lines")), lambda x: unit(x, False, _terms(x)))
+    parts = F.concat(line_units, window_units, F.array(unit(F.col("text"), True, _terms(F.col("text")))))
+    units = cut.select("key", "path", F.explode_outer(parts).alias("u"))
+    own = F.filter("u.terms", lambda x: x.isin(list(weights)))
+    others = F.size(F.array_except("u.terms", F.array(*map(F.lit, weights))))
+    units = units.select("key", "path", "u.header", "u.all", once(own=own, rest=others, size=F.size("u.terms"))).select("key", "path", "header", "all", "o.*").where(F.size("own") > 0)
+    count = lambda x: F.struct(x.alias("term"), (F.size("own") - F.size(F.array_remove(F.col("own"), x))).cast("double").alias("tf"))
     m = (F.col("size") - F.size("own")).cast("double")
-    other = F.lit(low * low) * m * m / F.greatest(F.size("rest"), F.lit(1))
+    other = F.lit(low * low) * m * m / F.greatest("rest", F.lit(1))
+    units = units.select("key", "path", "header", "all", once(counts=F.transform(F.array_distinct("own"), count), other=other)).select("key", "path", "header", "all", "o.*")
+    known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    square = F.aggregate("counts", F.lit(0.0), lambda total, x: total + F.pow(x["tf"] * known[x["term"]], 2))
+    units = units.select("key", "path", "header", "all", once(counts=F.col("counts"), other=F.col("other"), square=square)).select("key", "path", "header", "all", "o.*")
     least = (match - 1e-6) ** 2  # cosines are rounded to six places
     shares = F.create_map(*[x for term, v in unit_templates.items() for x in (F.lit(term), F.array(*map(F.lit, v)))])
-    dots = F.aggregate("own", F.array(*[F.lit(0.0)] * len(next(iter(unit_templates.values())))), lambda total, x: F.zip_with(total, shares[x], lambda p, q: p + q))
-    return units.where((F.size("own") > 0) & (square * (1 - least) >= other * least) & (F.pow(F.array_max(dots), 2) >= (square + other) * least))
+    zeros = F.array(*[F.lit(0.0)] * len(next(iter(unit_templates.values()))))
+    dots = F.aggregate("counts", zeros, lambda total, x: F.zip_with(total, shares[x["term"]], lambda p, q: p + x["tf"] * q))
+    return units.where((F.col("square") * (1 - least) >= F.col("other") * least) & (F.pow(F.array_max(dots), 2) >= (F.col("square") + F.col("other")) * least))
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match: float = MATCH, whole: float = WHOLE) -> DataFrame:
@@ -101,12 +126,10 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     known_terms = known.select("template", "name", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "name", "term").agg(F.count(F.lit(1)).cast("double").alias("ttf"))
     idf_in = terms.select("term", F.lit(1).alias("one")).unionByName(known_terms.select("term", F.lit(1).alias("one")))
     idf_in = idf_in.groupBy("term").agg(F.sum("one").cast("double").alias("df"))
-    count = different.agg((F.count(F.lit(1)) + F.lit(len(templates))).cast("double").alias("n"))
-    idf = idf_in.crossJoin(F.broadcast(count)).select("term", F.log((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    idf = stored(idf, "idf")
-    lowest = F.log((F.col("n") + 1) / (F.col("df") + 0.5))
-    low = idf_in.join(F.broadcast(known_terms.select("term").distinct()), "term", "left_anti").agg(F.coalesce(F.max("df"), F.lit(0.0)).alias("df")).crossJoin(count).select(lowest.alias("idf")).first()["idf"]
-    rare = count.select(F.log((F.col("n") + 1) / 0.5).alias("idf")).first()["idf"]  # of a term that no cued header has
+    n = float(different.count() + len(templates))
+    idf = stored(idf_in.select("term", F.log((F.lit(n) + 1) / (F.col("df") + 0.5)).alias("idf")), "idf")
+    low = idf_in.join(F.broadcast(known_terms.select("term").distinct()), "term", "left_anti").agg(F.log((F.lit(n) + 1) / (F.coalesce(F.max("df"), F.lit(0.0)) + 0.5)).alias("idf")).first()["idf"]
+    rare = math.log((n + 1) / 0.5)  # of a term that no cued header has
     known_w = known_terms.join(idf, "term").select("template", "name", "term", "idf", (F.col("ttf") * F.col("idf")).alias("tw"))
     known_norm = known_w.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     weights, shares = {}, {}
@@ -124,6 +147,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     best = cosine.groupBy("hid").agg(F.max("cosine").alias("cosine"))
     best = cosine.join(best, ["hid", "cosine"]).groupBy("hid", "cosine").agg(F.min("name").alias("name")).where(F.col("cosine") >= match)
     best = stored(best, "best")
+    discard(different, idf)
     matched = headers.drop("header").join(best, "hid")
     per_row = matched.where(~F.col("all")).groupBy("key").agg(F.max("cosine").alias("cosine"), F.count(F.lit(1)).alias("headers"))
     top = matched.where(~F.col("all")).join(per_row, ["key", "cosine"]).groupBy("key", "cosine", "headers").agg(F.min("name").alias("name"))

@@ -54,21 +54,29 @@ with files as (
   select doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(doc_id::varchar, 'unknown') || '.txt' as path, text from documents
 ), cued as (
   select * from files where regexp_matches(text, '{CUE}')
-), headers as (
-  select distinct doc_id, path, trim(unnest(regexp_extract_all(text, '{HEADER}', 1))) as header, false as entire from cued
-  union all select distinct doc_id, path, text, true from cued where length(text) <= 2000
 ), heads as (
+  select trim(unnest(regexp_extract_all(text, '{HEADER}', 1))) as header from cued
+  union select text from cued where length(text) <= 2000
+), units as (
+  select doc_id, path, trim(unnest(string_split(text, chr(10)))) as header, false as entire from files
+  union select doc_id, path, trim(unnest(regexp_extract_all(text, '{HEADER}', 1))), false from cued
+  union select doc_id, path, text, true from files
+), headers as (
+  select * from units where header is not null
+), different as (
   select distinct header from headers
 ), known as (
   select * from (values {values}) t(template, name, text)
+), cterm as (
+  select distinct header, unnest({terms.format("header")}) as term from heads
 ), hterm as (
-  select header, term, count(*)::double as tf from (select header, unnest({terms.format("header")}) as term from heads) group by all
+  select header, term, count(*)::double as tf from (select header, unnest({terms.format("header")}) as term from different) group by all
 ), kterm as (
   select template, name, term, count(*)::double as tf from (select template, name, unnest({terms.format("text")}) as term from known) group by all
 ), idf as (
-  select term, ln(((select count(*) from heads) + {len(TEMPLATES)} + 1)::double / (count(*)::double + 0.5::double)) as idf from (select term from hterm union all select term from kterm) group by term
+  select term, ln(((select count(*) from heads) + {len(TEMPLATES)} + 1)::double / (count(*)::double + 0.5::double)) as idf from (select term from cterm union all select term from kterm) group by term
 ), hw as (
-  select header, term, tf * idf as w from hterm join idf using (term)
+  select header, term, tf * coalesce(idf, ln(((select count(*) from heads) + {len(TEMPLATES)} + 1)::double / 0.5::double)) as w from hterm left join idf using (term)
 ), kw as (
   select template, name, term, tf * idf as w from kterm join idf using (term)
 ), cosine as (
