@@ -2,12 +2,16 @@
 
 A url's host and path are cut out, explicit rules are applied (longest first), and
 urls without a rule are judged by their template. Per host, path segments made of
-digits become ``{n}``; then, from the root down, a node with more than ``FAN``
-different children has them replaced by ``*``, down to the deepest segment of any path. A template is a host and such a path. Branches
+digits become ``{n}``; then, from the root down to the deepest segment of any path, a node whose segment
+is variable has its children replaced by ``*``. A segment is variable if more than the share ``NEW`` of the node's pages
+show a child that no page before them had, at the 5 % level (Wilson's lower bound). A template is a host and such a path. Branches
 of one registered domain with the same path are merged where their labelled rates
-do not differ at the 5 % level (a branch without labels joins its siblings), and
-a template is rejected if its smoothed labelled purity is below one half. Labels are the
-verdicts of the rules; a template without any is allowed.
+do not differ at the 5 % level (a branch without labels joins its siblings).
+
+Labels are the verdicts of the rules. A template's purity is its share of good labels, smoothed by ``SMOOTH`` labels of
+the purity of the same path in its registered domain, that by as many of the path's purity on all hosts, and that by as many of one half.
+So a template without labels is judged by the same path elsewhere, and one whose path has none anywhere keeps
+one half. Below one half it is rejected.
 
 Pages are first summed up per host and digit-free path, with map-side partial
 sums, so a hot host costs no more than others; the tree works on those sums.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .tables import stored
 
-FAN = 20
+NEW, SMOOTH = 0.25, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the registered query (fixed values).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -51,7 +55,7 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return cases
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, fan: int = FAN) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, new: float = NEW, smooth: float = SMOOTH) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row.
 
     A null url, or one without ``://``, has empty host and path, and then no rule;
@@ -66,37 +70,45 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, fan:
     sums = rows.groupBy("host", "general").agg(
         F.count(F.when(F.col("said") == "allow", 1)).alias("good"),
         F.count(F.when(F.col("said") == "block", 1)).alias("bad"),
+        F.count(F.lit(1)).alias("pages"),
     )
-    # a level's nodes are stored, or each level would double the plan; rows whose path has ended are not read again
+    # a level's nodes are stored, or each level would double the plan; rows whose path has ended are not read again, nor are
+    # rows alone at their node, since nothing below it can vary
     left = stored(sums.withColumn("parts", F.split("general", "/", -1)).withColumn("node", F.lit("")), "paths")
-    deepest = left.agg(F.max(F.size("parts"))).first()[0] or 0
-    ended = [left.limit(0)]
-    for k in range(deepest):
+    ended, k = [left.limit(0).withColumn("done", F.lit(True))], 0
+    while not left.isEmpty():
         left = left.withColumn("part", F.get("parts", F.lit(k)))
-        wide = left.select("host", "node", "part").distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("children"))
-        wide = wide.where(F.col("children") > fan).select("host", "node", F.lit("*").alias("wild"))
-        level = left.join(wide, ["host", "node"], "left").withColumn("node", F.concat("node", F.lit("/" if k else ""), F.coalesce("wild", "part")))
-        level = stored(level.drop("wild", "part"), "level")
-        ended.append(level.where(F.size("parts") == k + 1))
-        left = level.where(F.size("parts") > k + 1)
+        child = left.groupBy("host", "node", "part").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("rows"))
+        nodes = child.groupBy("host", "node").agg(F.sum("pages").cast("double").alias("n"), (F.count(F.lit(1)) - 1).cast("double").alias("fresh"), (F.sum("rows") == 1).alias("alone"))
+        share, n = F.col("fresh") / F.col("n"), F.col("n")
+        least = (share + 1.92 / n - 1.96 * F.sqrt(share * (1 - share) / n + 0.96 / (n * n))) / (1 + 3.84 / n)
+        nodes = nodes.select("host", "node", "alone", (least > new).alias("wild"))
+        rest = F.array_join(F.slice("parts", F.lit(k + 1), F.size("parts")), "/")
+        level = left.join(nodes, ["host", "node"])
+        level = level.withColumn("node", F.concat("node", F.lit("/" if k else ""), F.when(F.col("alone"), rest).when(F.col("wild"), "*").otherwise(F.col("part"))))
+        level = stored(level.withColumn("done", F.col("alone") | (F.size("parts") == k + 1)).drop("wild", "alone", "part"), "level")
+        ended.append(level.where("done"))
+        left, k = level.where("not done").drop("done"), k + 1
     tree = reduce(DataFrame.unionByName, ended).select("host", "general", "good", "bad", F.col("node").alias("template"))
     domain = F.substring_index("host", ".", -2)
     own = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     pool = own.groupBy(domain.alias("domain"), "template").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))
-    joined = own.withColumn("domain", domain).join(pool, ["domain", "template"])
-    g, b, pg, pb = (F.col(c).cast("double") for c in ("g", "b", "pg", "pb"))
+    everywhere = pool.groupBy("template").agg(F.sum("pg").alias("ag"), F.sum("pb").alias("ab"))
+    joined = own.withColumn("domain", domain).join(pool.join(everywhere, "template"), ["domain", "template"])
+    g, b, pg, pb, ag, ab = (F.col(c).cast("double") for c in ("g", "b", "pg", "pb", "ag", "ab"))
     gap = g * (pg + pb) - pg * (g + b)
     alike = gap * gap <= F.lit(3.84) * pg * pb * (g + b)
-    good, bad = F.when(alike, pg).otherwise(g), F.when(alike, pb).otherwise(b)
-    pure = joined.select("host", "template", ((good + 1) / (good + bad + 2)).alias("purity"))
+    purity = lambda good, bad, prior: (good + smooth * prior) / (good + bad + smooth)
+    near = purity(pg, pb, purity(ag, ab, F.lit(0.5)))
+    pure = joined.select("host", "template", F.when(alike, near).otherwise(purity(g, b, near)).alias("purity"))
     judged = tree.select("host", "general", "template").join(pure, ["host", "template"]).select("host", "general", "template", "purity")
     out = rows.join(judged, ["host", "general"])
-    verdict = F.coalesce("said", F.when(F.col("purity") < 0.5, "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when(F.round("purity", 9) < 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
 
 ORACLE = """
-with cut as (
+with recursive cut as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
 ), parts as (
   select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -111,27 +123,32 @@ with cut as (
 ), said as (
   select *, case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block' end as said from ruled
 ), sums as (
-  select host, general, count(*) filter (where said = 'allow') as good, count(*) filter (where said = 'block') as bad,
-    string_split(general, '/') as parts, '' as node from said group by host, general
-), t1 as (
-  select s.* exclude (node), s.node || coalesce(case when (select count(distinct x.parts[1]) from sums x where x.host = s.host and x.node = s.node) > 20 then '*' end, parts[1]) as node from sums s
-), t2 as (
-  select s.* exclude (node), case when parts[2] is null then node else s.node || '/' || coalesce(case when (select count(distinct x.parts[2]) from t1 x where x.host = s.host and x.node = s.node) > 20 then '*' end, parts[2]) end as node from t1 s
-), t3 as (
-  select s.* exclude (node), case when parts[3] is null then node else s.node || '/' || coalesce(case when (select count(distinct x.parts[3]) from t2 x where x.host = s.host and x.node = s.node) > 20 then '*' end, parts[3]) end as node from t2 s
-), t4 as (
-  select s.* exclude (node), case when parts[4] is null then node else s.node || '/' || coalesce(case when (select count(distinct x.parts[4]) from t3 x where x.host = s.host and x.node = s.node) > 20 then '*' end, parts[4]) end as node from t3 s
+  select host, general, count(*) filter (where said = 'allow') as good, count(*) filter (where said = 'block') as bad, count(*) as pages,
+    string_split(general, '/') as parts from said group by host, general
+), level(host, general, good, bad, pages, parts, node, k) as (
+  select *, '', 0 from sums
+  union all
+  select host, general, good, bad, pages, parts, node || case when k > 0 then '/' else '' end ||
+    case when (share + 1.92 / n - 1.96 * sqrt(share * (1 - share) / n + 0.96 / (n * n))) / (1 + 3.84 / n) > 0.25 then '*' else parts[k + 1] end, k + 1 from (
+    select *, fresh / n as share from (
+      select *, (sum(pages) over node_w)::double as n, round(sum(1.0::double / rows_of_child) over node_w) - 1 as fresh from (
+        select *, count(*) over (partition by host, node, parts[k + 1]) as rows_of_child from level where k < len(parts))
+      window node_w as (partition by host, node)))
 ), tree as (
-  select host, general, good, bad, case when len(parts) > 4 then node || '/**' else node end as template from t4
+  select host, general, good, bad, node as template from level where k = len(parts)
 ), own as (
   select host, template, sum(good)::double as g, sum(bad)::double as b, array_to_string(string_split(host, '.')[-2:], '.') as domain from tree group by host, template
 ), pool as (
   select domain, template, sum(g) as pg, sum(b) as pb from own group by domain, template
-), alike as (
-  select host, template, g, b, pg, pb, (g * (pg + pb) - pg * (g + b)) * (g * (pg + pb) - pg * (g + b)) <= 3.84::double * pg * pb * (g + b) as same from own join pool using (domain, template)
+), everywhere as (
+  select template, sum(pg) as ag, sum(pb) as ab from pool group by template
+), near as (
+  select host, template, g, b, (pg + 2 * ((ag + 1) / (ag + ab + 2))) / (pg + pb + 2) as near,
+    (g * (pg + pb) - pg * (g + b)) * (g * (pg + pb) - pg * (g + b)) <= 3.84::double * pg * pb * (g + b) as same
+  from own join pool using (domain, template) join everywhere using (template)
 ), pure as (
-  select host, template, (case when same then pg else g end + 1) / (case when same then pg + pb else g + b end + 2) as purity from alike
+  select host, template, case when same then near else (g + 2 * near) / (g + b + 2) end as purity from near
 )
-select page_id, host, path, rule, coalesce(said, case when purity < 0.5 then 'block' else 'allow' end) as verdict, template, round(purity, 9) as purity
+select page_id, host, path, rule, coalesce(said, case when round(purity, 9) < 0.5 then 'block' else 'allow' end) as verdict, template, round(purity, 9) as purity
 from said join tree using (host, general) join pure using (host, template)
 """
