@@ -74,12 +74,19 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: angles stay to the last bit, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of rows with one vector, in one order of summation."""
+    x, y = _scaled(x), _scaled(y)
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum()))
 
 
@@ -141,8 +148,11 @@ def _along_curves(classes: DataFrame, queries: DataFrame, curves: int, window: i
     return ordered.mapInArrow(search, HITS)
 
 
-def _check(classes: DataFrame, bounds: DataFrame, keep: int, seed: int) -> list[DataFrame]:
-    """Classes that reach the bound of a query, by runs of vectors along the first curve."""
+def _check(classes: DataFrame, bounds: DataFrame, keep: int, seed: int) -> Iterator[DataFrame]:
+    """Classes that reach the bound of a query, by runs of vectors along the first curve.
+
+    The driver holds one block of queries at a time; each block's hits are written before the next is read.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,15 +198,14 @@ def _check(classes: DataFrame, bounds: DataFrame, keep: int, seed: int) -> list[
 
         return ordered.select("place", "cid", "v").mapInArrow(run, HITS)
 
-    out, asked = [], []
+    asked: list = []
     for row in bounds.select("qrep", "v", "bound").toLocalIterator():
         asked.append(row)
         if len(asked) == QUERY_BLOCK:
-            out.append(block(asked))
+            yield stored(block(asked), "checked")
             asked = []
     if asked:
-        out.append(block(asked))
-    return out
+        yield stored(block(asked), "checked")
 
 
 def search(vectors: DataFrame, queries: F.Column | str, k: int = 5, curves: int = CURVES, window: int = WINDOW, exact: bool = True, seed: int = 11) -> DataFrame:
@@ -233,7 +242,7 @@ def _near(rows: DataFrame, queries: F.Column | str, k: int, curves: int, window:
     if exact:
         best = found.groupBy("qrep", "cid").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep)
         bound = best.groupBy("qrep").agg(F.when(F.count(F.lit(1)) == keep, F.min("score")).otherwise(F.lit(-2.0)).alias("bound"))
-        bounds = heads.join(bound, "qrep", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
+        bounds = stored(heads.join(bound, "qrep", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0))), "bounds")
         for more in _check(classes, bounds, keep, seed):
             found = found.unionByName(more)
     best = found.groupBy("qrep", "cid").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= keep)
