@@ -2,8 +2,7 @@
 
 Words, sign runs and their bigrams are hashed into ``BUCKETS``. The target model counts
 labelled good documents (at most ``MAX_ROWS`` of them), the raw model all documents. A
-document's log weight is the sum of log(target / raw) over its n-grams, tempered
-to at most ``SPAN`` n-grams' worth so that length alone decides nothing. Adding Gumbel
+document's log weight is the sum of log(target / raw) over all its n-grams: the importance ratio. Adding Gumbel
 noise and keeping the k largest draws k documents without replacement with
 probabilities in proportion to the weights. k is a share of all documents.
 """
@@ -18,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, Words, as_bytes, chunks, grams, mix
+from .kernel import U, Words, as_bytes, chunks, grams, mix, slices
 from .tables import stored, sum_vectors, with_row_id
 
 BUCKETS = 1 << 15
 MAX_ROWS = 20_000
-SPAN = 256.0
 KIND = np.array([1 if chr(b).isalpha() or b >= 128 else 2 if chr(b).isdigit() else 0 if b in (9, 10, 11, 12, 13, 32) else 3 for b in range(256)], np.uint8)
 
 
@@ -51,7 +49,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(1))
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             target = (good[np.minimum(np.searchsorted(good, ids), len(good) - 1)] == ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -70,18 +68,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     return np.log((target + rate * (raw + 1) / (raw.sum() + BUCKETS) * BUCKETS) / (target.sum() + rate * BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)), share
 
 
-def weigh(rows: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """(rid, doc_id, n_grams, log_weight, gumbel_key). The noise depends on the row id and the seed alone."""
+def weigh(rows: DataFrame, ratio: np.ndarray, seed: int, span: float | None = None) -> DataFrame:
+    """(rid, doc_id, n_grams, log_weight, gumbel_key). The noise depends on the row id and the seed alone.
+
+    ``span`` tempers weights to at most so many n-grams' worth, for corpora whose long texts should not be surer than short ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(2))
             total, count = np.zeros(len(texts)), np.zeros(len(texts))
             for a, b in chunks(texts):
                 bucket, doc = _buckets(texts[a:b])
                 total[a:b] = np.bincount(doc, ratio[bucket], b - a)
                 count[a:b] = np.bincount(doc, minlength=b - a)
-            weight = total * np.minimum(1.0, SPAN / np.maximum(count, 1))
+            weight = total if span is None else total * np.minimum(1.0, span / np.maximum(count, 1))
             rid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             uniform = ((mix(rid * U(0x9E3779B97F4A7C15) + U(seed)) >> U(11)).astype(float) + 0.5) / 2.0**53
             key = weight - np.log(-np.log(uniform))
@@ -122,7 +123,7 @@ def largest(df: DataFrame, key: str, tie: str, k: int, bins: int = 4096, few: in
     return df.where(F.col(key) > high).unionByName(edge)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1, max_rows: int = MAX_ROWS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1, max_rows: int = MAX_ROWS, span: float | None = None) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key of the documents drawn: round(share * rows) of them.
 
     ``share`` None: the share of good documents among the labelled ones. Null and empty texts have no
@@ -130,6 +131,6 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     """
     ratio, good = fit(docs, labels, max_rows)
     rows = with_row_id(docs, ["doc_id", "text"])
-    scored = stored(weigh(rows, ratio, seed), "weights")
+    scored = stored(weigh(rows, ratio, seed, span), "weights")
     k = round((good if share is None else share) * scored.count())
     return largest(scored, "gumbel_key", "rid", k).select("doc_id", "n_grams", "log_weight", "gumbel_key")
