@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hard_negatives import ORACLE as NEGATIVES
 from .urls import ORACLE as URLS
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -41,7 +42,7 @@ with recursive w as (
 select w.doc_id, coalesce(n, 0)::bigint as n_shingles, min(b) as component_id from w join reach on reach.a = w.doc_id left join sizes on sizes.doc_id = w.doc_id group by all
 """
 
-ORACLES = {"op3_url_templates": URLS, "op6_jaccard_join": JACCARD, "op9_substrings": SUBSTRINGS}
+ORACLES = {"op3_url_templates": URLS, "op6_jaccard_join": JACCARD, "op9_substrings": SUBSTRINGS, "op11_hard_negatives": NEGATIVES}
 
 
 def _licenses() -> str:
