@@ -213,6 +213,12 @@ QUERIES = {
     "rmse_per_bodypart": "select bodypart, count(x) as n, round(avg(x - 360), 6) as mean_rmse from pose group by bodypart",
     "avg_heading": "select user_id::varchar as clip, round(degrees(atan2(sum(sin(radians(value * 7 % 360))), sum(cos(radians(value * 7 % 360))))), 6) as avg_heading from events group by user_id",
     "standard_scale": "select clip, frame, individual, round((cx - avg(cx) over ()) / stddev_pop(cx) over (), 6) as centroid_x, round((cy - avg(cy) over ()) / stddev_pop(cy) over (), 6) as centroid_y from cent where cx is not null and cy is not null",
+    "nearest_kinematics": """select * from (with n as materialized (select clip, frame, individual, (cx - avg(cx) over ()) / stddev_pop(cx) over () as a, (cy - avg(cy) over ()) / stddev_pop(cy) over () as b, (sp - avg(sp) over ()) / stddev_pop(sp) over () as c, (ds - avg(ds) over ()) / stddev_pop(ds) over () as d
+      from (select clip, frame, individual, cx, cy, sqrt(dx * dx + dy * dy) as sp, sqrt((cx - 360) * (cx - 360) + (cy - 450) * (cy - 450)) as ds from d2 where dx is not null))
+      select clip, frame, individual, rank::int as rank, round(distance, 6) as distance from (
+        select *, row_number() over (partition by clip, frame, individual order by distance) as rank from (
+          select p.clip, p.frame, p.individual, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) + (p.d - q.d) * (p.d - q.d)) as distance
+          from n p join n q on (p.clip, p.frame, p.individual) <> (q.clip, q.frame, q.individual))) where rank <= 10)""",
     "key_parse": """select key, stem, split_part(stem, '_', 1) || '_' || split_part(stem, '_', 2) as trial, split_part(split_part(stem, '_', 3), '-', 1)::bigint as first, split_part(split_part(stem, '_', 3), '-', 2)::bigint as last,
       regexp_full_match(stem, '(CTRL|BHVE)_group\\d_\\d{6}-\\d{6}') as is_clip, not contains(key, 'BHVE_group8') as kept from (select key, replace(ltrim(key, '/'), '.mp4', '') as stem from (
       select '/' || case when event_id % 2 = 0 then 'BHVE' else 'CTRL' end || '_group' || (user_id % 10) || '_' || lpad(event_id::varchar, 6, '0') || '-' || lpad((event_id + 1799)::varchar, 6, '0') || case when event_id % 3 = 0 then '.mp4' else '' end as key from events))""",
@@ -250,5 +256,73 @@ QUERIES = {
 }
 
 
+def _areas(name: str, cells: str) -> str:
+    """A recursive CTE: the least cell of the 4-connected area of each of ``cells`` (clip, cx, cy), spread from cell to cell."""
+    return f"""
+{name}(clip, cx, cy, l) using key (clip, cx, cy) as (
+  select clip, cx, cy, cy * 144 + cx from {cells}
+  union
+  select c.clip, c.cx, c.cy, min(p.l) from {name} p, (values (0, 1), (0, -1), (1, 0), (-1, 0)) o(dx, dy), recurring.{name} c
+  where c.clip = p.clip and c.cx = p.cx + dx and c.cy = p.cy + dy and p.l < c.l group by c.clip, c.cx, c.cy)"""
+
+
+RING = "4 * (x * x + y * y) > (2 * r - 1) * (2 * r - 1) and 4 * (x * x + y * y) < (2 * r + 1) * (2 * r + 1)"
+REGION = f"""{BASE.replace("with pose", "with recursive pose", 1)},
+roccu as (
+  select clip, floor(x / 5)::int as cx, floor(y / 5)::int as cy from pose where x >= 0 and x < 720 and y >= 0 and y < 900 group by all having count(*) >= 4),
+rfree as (select clip, a.cx::int as cx, b.cy::int as cy from (select distinct clip from roccu), range(144) a(cx), range(180) b(cy) where (clip, a.cx, b.cy) not in (select (clip, cx, cy) from roccu)),
+{_areas("rback", "rfree")},
+rfill as (select * from roccu union all select clip, cx, cy from (select *, count(*) over (partition by clip, l) as n from rback) where n < 60),
+{_areas("rfore", "rfill")},
+rmask as (select clip, cx, cy from (select *, count(*) over (partition by clip, l) as n from rfore) where n >= 20),
+kern as (select u - 3 as u, [1, 4, 6, 4, 1][u] as s, [-1, -2, 0, 2, 1][u] as d from range(1, 6) t(u)),
+rslope as (
+  select *, gx * gx + gy * gy as m from (
+    select clip, (c.cx - a.u)::int as cx, (c.cy - b.u)::int as cy, sum(a.d * b.s)::bigint as gx, sum(a.s * b.d)::bigint as gy from rmask c, kern a, kern b group by all)
+  where cx between 0 and 143 and cy between 0 and 179 and gx * gx + gy * gy > 0),
+rturn as (
+  select *, case when 5 * abs(gx) <= 2 * abs(gy) then 0 else 1 end as dx,
+    case when 5 * abs(gy) <= 2 * abs(gx) then 0 when 5 * abs(gx) <= 2 * abs(gy) then 1 when sign(gx) = sign(gy) then 1 else -1 end as dy from rslope where m >= 4.8 * 4.8),
+rthin as (
+  select t.*, t.m >= 9.6 * 9.6 as strong from rturn t left join rslope p on p.clip = t.clip and p.cx = t.cx - dx and p.cy = t.cy - dy
+  left join rslope q on q.clip = t.clip and q.cx = t.cx + dx and q.cy = t.cy + dy where t.m >= coalesce(p.m, 0) and t.m > coalesce(q.m, 0)),
+rfirm(clip, cx, cy) as (
+  select clip, cx, cy from rthin where strong
+  union
+  select t.clip, t.cx, t.cy from rfirm f join rthin t on t.clip = f.clip and abs(t.cx - f.cx) <= 1 and abs(t.cy - f.cy) <= 1),
+redge as (select clip, cx, cy, gx, gy from rthin semi join rfirm using (clip, cx, cy)),
+ring as (select r, x, y, count(*) over (partition by r) as whole from range(6, 18) a(r), range(-18, 19) b(x), range(-18, 19) c(y) where {RING}),
+rvote as (select clip, r::int as r, (cx + x)::int as cx, (cy + y)::int as cy, count(*) as votes, count(*) / any_value(whole) as score from redge, ring where cx + x between 0 and 143 and cy + y between 0 and 179 group by all),
+rbest as (select * from (select *, row_number() over (partition by clip order by score desc, r, cy, cx) as k from rvote) where k = 1),
+rhigh as (select * from (select *, max(score) over (partition by clip) as top from rvote) where score >= 0.5 * top),
+rpeak as (
+  select * from rhigh h where not exists (select 1 from rhigh o where o.clip = h.clip and abs(o.r - h.r) <= 1 and abs(o.cx - h.cx) <= 2 and abs(o.cy - h.cy) <= 2
+    and (o.score > h.score or o.score = h.score and (o.r, o.cy, o.cx) < (h.r, h.cy, h.cx)))),
+rheld as (
+  select clip, frame, count(*) filter (where bodypart = 'stripe1' and sqrt((x - (cx + 0.5) * 5) * (x - (cx + 0.5) * 5) + (y - (cy + 0.5) * 5) * (y - (cy + 0.5) * 5)) <= r * 5) as nfish_pipe
+  from pose join (select clip, r, cx::double as cx, cy::double as cy from rbest) using (clip) group by clip, frame)
+"""
+
+REGIONS = {
+    "region_mask": "select * from rmask",
+    "region_edges": "select * from redge",
+    "region_votes": "select clip, r, cx, cy, votes, round(score, 9) as score from rvote",
+    "region_peaks": "select * from (select clip, (row_number() over (partition by clip order by score desc, r, cy, cx))::int as rank, r, cx, cy, round(score, 9) as score from rpeak) where rank <= 3",
+    "region_of_clip": "select clip, (cx + 0.5::double) * 5 as roi_x, (cy + 0.5::double) * 5 as roi_y, r::double * 5 as roi_r from rbest",
+    "nfish_pipe_found_region": "select * from rheld",
+    "occupancy_found_region": f"select clip, {OCCUPANCY} from rheld group by clip",
+}
+HUE = """
+with colours as (
+  select 'clip' || (vec_id // 250) as clip, (vec_id % 250)::int as cx, j::int as cy, floor(128 + 400 * embedding[3 * j + 1]::double) as r, floor(128 + 400 * embedding[3 * j + 2]::double) as g, floor(128 + 400 * embedding[3 * j + 3]::double) as b
+  from embeddings, range(21) t(j)
+), hues as (
+  select clip, cx, cy, case when r >= g and r >= b then (g - b) / (greatest(r, g, b) - least(r, g, b)) when g >= b then 2 + (b - r) / (greatest(r, g, b) - least(r, g, b)) else 4 + (r - g) / (greatest(r, g, b) - least(r, g, b)) end / 6 as h
+  from colours where greatest(r, g, b) > least(r, g, b)
+)
+select clip, cx, cy from hues where (case when h < 0 then h + 1 else h end) > 0.4 and (case when h < 0 then h + 1 else h end) < 0.5
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {name: BASE + sql for name, sql in QUERIES.items()}
+    return {name: BASE + sql for name, sql in QUERIES.items()} | {name: REGION + sql for name, sql in REGIONS.items()} | {"hue_mask": HUE}

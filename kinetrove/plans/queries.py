@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..operators import changepoint, events, features, intervals, kinematics, pairs, presence, projection, refine, sequences, summaries
+from ..operators import changepoint, events, features, intervals, kinematics, neighbour_graph, pairs, presence, projection, refine, region, sequences, summaries
 from ..sources import fixtures as X
 from ..sources import keys, schema, stores
 from ..streaming.sessions import hit_sessions
@@ -388,6 +388,25 @@ def principal_plane(s, d):
     return r6(projection.principal_plane(scaled, rows.columns[3:]), "axis_1", "axis_2").select("clip", "frame", "individual", "axis_1", "axis_2")
 
 
+def _kinematics(s, d):
+    rows = kinematics.individual_kinematics(X.pose(s, d), X.roi(s, d)).select("clip", "frame", "individual", "centroid_x", "centroid_y", "centroid_speed", "dist_from_roi_center").where("centroid_speed is not null")
+    return kinematics.standard_scale(rows, rows.columns[3:]), rows.columns[3:]
+
+
+@query
+def nearest_kinematics(s, d):
+    """Distances of the 10 nearest rows of each row of scaled kinematics."""
+    rows, columns = _kinematics(s, d)
+    return r6(neighbour_graph.neighbour_distances(rows, columns, 10), "distance").select("clip", "frame", "individual", "rank", "distance")
+
+
+@query
+def neighbour_plane(s, d):
+    """Scaled kinematics in a plane by their weighted neighbour graph."""
+    rows, columns = _kinematics(s, d)
+    return neighbour_graph.neighbour_plane(rows, columns).select("clip", "frame", "individual", "plane_1", "plane_2")
+
+
 @query
 def key_parse(s, d):
     e = X.events(s, d).select(F.format_string("/%s_group%d_%06d-%06d%s", F.when(F.col("event_id") % 2 == 0, "BHVE").otherwise("CTRL"), F.col("user_id") % 10, F.col("event_id"), F.col("event_id") + 1799, F.when(F.col("event_id") % 3 == 0, ".mp4").otherwise("")).alias("key"))
@@ -470,6 +489,68 @@ def centroid_speed_by_differences(s, d):
     return r6(rows.select("clip", "frame", "individual", F.sqrt(F.col("centroid_x") * F.col("centroid_x") + F.col("centroid_y") * F.col("centroid_y")).alias("speed")), "speed")
 
 
+# the region of each clip from an image mask: occupancy of the pose in cells of 5 pixels
+
+GRID = {"width": X.FRAME_W // 5, "height": X.FRAME_H // 5}
+RADII = range(6, 18)
+
+
+def _mask(s, d):
+    return region.clean_mask(region.occupancy(X.pose(s, d), 5, 4, **GRID), **GRID, hole=60, speck=20)
+
+
+def _votes(s, d):
+    return region.circle_votes(region.edges(_mask(s, d), **GRID), RADII, **GRID)
+
+
+def _region(s, d):
+    found = region.estimate(region.occupancy(X.pose(s, d), 5, 4, **GRID), **GRID, radii=RADII, hole=60, speck=20)
+    return region.region_table(found, 5)
+
+
+@query
+def hue_mask(s, d):
+    return region.hue_mask(X.pixels(s, d))
+
+
+@query
+def region_mask(s, d):
+    """Cells of the occupancy mask, holes filled and specks dropped."""
+    return _mask(s, d)
+
+
+@query
+def region_edges(s, d):
+    return region.edges(_mask(s, d), **GRID)
+
+
+@query
+def region_votes(s, d):
+    return _votes(s, d).withColumn("score", F.round("score", 9))
+
+
+@query
+def region_peaks(s, d):
+    return region.peaks(_votes(s, d)).withColumn("score", F.round("score", 9))
+
+
+@query
+def region_of_clip(s, d):
+    return _region(s, d)
+
+
+@query
+def nfish_pipe_found_region(s, d):
+    """Fish in the region that the clip's own points show, in place of a given one."""
+    return presence.nfish_pipe(X.pose(s, d), _region(s, d))
+
+
+@query
+def occupancy_found_region(s, d):
+    out = presence.occupancy_fractions(presence.nfish_pipe(X.pose(s, d), _region(s, d)))
+    return r6(out, *out.columns[1:])
+
+
 # sources and sinks: each query writes its table in the format and gives what is read back
 
 

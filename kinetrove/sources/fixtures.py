@@ -35,6 +35,15 @@ def roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.select("clip", F.lit(ROI_X).alias("roi_x"), F.lit(ROI_Y).alias("roi_y"), F.lit(ROI_R).alias("roi_r"))
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, cx, cy, red, green, blue): a column of 21 pixels a vector."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    shade = lambda at: F.floor(128 + 400 * F.get("embedding", at).cast("double"))
+    point = F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.struct(j.alias("cy"), *[shade(3 * j + k).alias(c) for k, c in enumerate(("red", "green", "blue"))]))).alias("p")
+    clip = F.concat(F.lit("clip"), F.expr("vec_id div 250").cast("string")).alias("clip")
+    return v.select(clip, (F.col("vec_id") % 250).cast("int").alias("cx"), point).select("clip", "cx", "p.*")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
