@@ -256,6 +256,29 @@ QUERIES = {
 }
 
 
+PELT = """
+with recursive hit as (
+  select user_id::varchar as clip, list(case when value < 25 then 1 else 0 end order by event_id) as x, list(event_id order by event_id) as frames from events group by user_id
+), sums as (
+  select clip, frames, len(x) as n, [0::bigint] || [list_sum(x[1:i])::bigint for i in range(1, len(x) + 1)] as p from hit
+), dp(clip, n, p, t, f, b) as (
+  select clip, n, p, 0::bigint, [0::bigint], []::bigint[] from sums
+  union all
+  select clip, n, p, t + 1, f || [coalesce(list_min(c), 1000000000000000)], b || [list_max([s for s in range(0, t) if c[s + 1] = list_min(c)])] from (
+    select *, [f[s + 1] + (p[t + 2] - p[s + 1]) * (t + 1 - s - p[t + 2] + p[s + 1]) * 1048576 // (t + 1 - s) + 3145728 for s in range(0, t)] as c from dp where t < n)
+), whole as (
+  select * from dp where t = n
+), seg(clip, s, e) as (
+  select clip, coalesce(b[n], 0), n from whole
+  union all
+  select clip, b[s], s from seg join whole using (clip) where s > 0
+), event as (
+  select clip, s, e, row_number() over (partition by clip order by s) - 1 as event_id from seg join whole using (clip) where 2 * (p[e + 1] - p[s + 1]) > e - s
+)
+select q.clip, frame, coalesce(event_id, -1) as event_id from (select clip, unnest(frames) as frame, unnest(range(1, n + 1)) as i from sums) q left join event v on v.clip = q.clip and i > s and i <= e
+"""
+
+
 def _areas(name: str, cells: str) -> str:
     """A recursive CTE: the least cell of the 4-connected area of each of ``cells`` (clip, cx, cy), spread from cell to cell."""
     return f"""
@@ -325,4 +348,4 @@ select clip, cx, cy from hues where (case when h < 0 then h + 1 else h end) > 0.
 
 
 def all_oracles() -> dict[str, str]:
-    return {name: BASE + sql for name, sql in QUERIES.items()} | {name: REGION + sql for name, sql in REGIONS.items()} | {"hue_mask": HUE}
+    return {name: BASE + sql for name, sql in QUERIES.items()} | {name: REGION + sql for name, sql in REGIONS.items()} | {"hue_mask": HUE, "pelt_events": PELT}
