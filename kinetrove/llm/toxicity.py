@@ -1,18 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon maps words to symbols by prefix look-up: insult or threat (with a weight), target, negation, reporting verb,
+A lexicon maps words to symbols: insult or threat (with a weight), target, first person, modal verb, negation, reporting verb,
 each with the quotes around it, and the end of a clause. Small weighted transducers (``Machine``: tables of next states
 and of weights, by state and symbol) read the symbols and are composed to one by the product of their states:
 
+* threat: a verb of harm counts whole after a first person and a modal verb (or such a contraction) within ``NEAR`` words, or at the start of a clause;
+* insult: after a person and a form of "to be" within ``NEAR`` words an insult counts more;
 * negation lowers a match within the ``NEAR`` words after it;
 * reported speech (a reporting verb earlier in the clause) and open quotes lower it;
-* target raises a match with a person word within ``NEAR`` words; a threat without one is weak. It needs words on
-  either side, so it is a pair of machines, one read from the left, composed with the others, and one from the right.
+* target raises a match with a person word within ``NEAR`` words. It needs words on
+  either side, so it is a pair of machines, one read from the left, composed with the others, and one from the right; a threat needs its target after it.
 
 A match weighs its lexicon weight times the composed machine's weight. A clause's score is the sum of its matches' weights;
 a document's evidence is a saturating sum over matched clauses, made a probability by a logistic curve.
-Insult stems and their weights (log odds) are learned from labelled documents, with
-published English words as seeds; the curve is fitted on the same rows. Training
+Insults and their weights (log odds) are learned from labelled documents: whole words, and families of ``WORDS`` or more different words that
+begin with the same ``FAMILY`` letters or more. Published English words in their inflections are seeds; threats weigh as much as the seeds do on average. The curve is fitted on the same rows. Training
 reads at most ``MAX_ROWS`` labelled rows, chosen by hash; all documents are scored whole.
 Only the text enters a score.
 """
@@ -20,10 +22,9 @@ Only the text enters a score.
 from __future__ import annotations
 
 import math
-import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,16 @@ from .tables import discard, stored
 
 MAX_ROWS = 20_000
 PRIOR = 8
-SHORTEST, LONGEST = 3, 10
+SHORTEST, FAMILY, LONGEST, WORDS = 3, 5, 12, 3
 NEAR = 4
 #: Word lists (fixed values).
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile dumb filthy vermin".split()
 THREATS = "kill murder destroy hurt stab shoot strangle burn beat crush".split()
+ENDINGS = ["", "s", "es", "'s", "d", "ed", "r", "er", "ers", "ing", "ly"]
+FIRST = set("i we someone somebody ich wir je nous yo".split())
+MODAL = set("will shall would could should must might going gonna want wanna need hope swear let promise werde werden vais allons voy vamos".split())
+FIRST_MODAL = set("i'll we'll i'm we're i'd we'd let's".split())
+COPULA = set("is are was were be am r you're he's she's they're bist ist seid sind est es sont eres sois son".split())
 TARGETS = set("you your yours yourself u ya he she they them him her his their these those people du dich dir ihr euch tu te toi vous votre ton usted ustedes tus".split())
 NEGATIONS = set("not no never isn't aren't don't doesn't wasn't without hardly nicht kein keine nie pas jamais nunca tampoco".split())
 REPORTING = set("said says say told called calls wrote quoted reported claims claimed according sagte dit dijo".split())
@@ -59,54 +65,62 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 
 def learn_stems(rows: DataFrame) -> dict[bytes, float]:
-    """Weights (log odds) of the stems that mark toxic documents, shortest stems first kept.
+    """Weights (log odds) of the words (with a final ``$``) and families of words (their common beginning) that mark toxic documents.
 
-    A stem must be far likelier in toxic documents than chance allows, given how many stems were tried.
+    A word or family must be far likelier in toxic documents than chance allows, given how many were tried. A beginning is a family if ``WORDS`` different words of
+    toxic documents share it, so that one word's beginning never stands for others; of beginnings of each other, and of words they hold, the shortest stands for all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in slices(batches):
             for raw, toxic in zip(map(plain, batch.column(0).to_pylist()), batch.column(1).to_pylist()):
-                words = {x.strip(b"\x22'") for x in raw.split()}
-                stems = {x[:n] for x in words for n in range(SHORTEST, LONGEST + 1) if len(x) >= n} | {x + b"$" for x in words if len(x) >= SHORTEST}
+                words = {w for x in raw.split() if len(w := x.strip(b"\x22'").decode("utf-8", "replace")) >= SHORTEST}
+                stems = {w[:n] for w in words for n in range(FAMILY, min(len(w), LONGEST) + 1)} | {w + "$" for w in words}
                 counts[int(toxic == 1)].update(stems)
-                counts[int(toxic == 1)][b""] += 1
+                counts[int(toxic == 1)][""] += 1
         stems = list(counts[1].keys() | counts[0].keys())
         if stems:
-            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.binary()), *(pa.array([counts[k][s] for s in stems], pa.int64()) for k in (1, 0))], ["stem", "bad", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([counts[k][s] for s in stems], pa.int64()) for k in (1, 0))], ["stem", "bad", "good"])
 
-    counts = rows.select("text", F.col("toxic").cast("long")).mapInArrow(run, "stem binary, bad long, good long")
-    total = counts.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    n = total.where("length(stem) = 0").first()
+    counts = rows.select("text", F.col("toxic").cast("long")).mapInArrow(run, "stem string, bad long, good long")
+    total = stored(counts.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "stems")
+    n = total.where("stem = ''").first()
     if n is None or not n["bad"] or not n["good"]:
+        discard(total)
         return {}
     rate = n["bad"] / (n["bad"] + n["good"])
-    found = total.where("length(stem) > 0 and bad >= 4")
     purity = F.col("bad") / (F.col("bad") + F.col("good") + F.lit(0.5))
     llr = F.col("bad") * F.log(purity / F.lit(rate)) + (F.col("good") + 0.5) * F.log((1 - purity) / F.lit(1 - rate))
-    found = stored(found.where(purity >= max(0.7, min(0.95, 2 * rate))).where(llr >= 10).select("stem", "bad", "good"), "stems")
-    # of stems that begin alike the shortest stands for all; the rest stay off the driver
-    longer = found.select("stem", F.explode(F.sequence(F.lit(SHORTEST), F.length("stem") - 1)).alias("n")).where("n < length(stem)")
-    longer = longer.select("stem", F.expr("substring(stem, 1, n)").alias("prefix")).join(found.select(F.col("stem").alias("prefix")), "prefix").select("stem").distinct()
+    found = total.where("stem <> '' and bad >= 4").where(purity >= max(0.7, min(0.95, 2 * rate))).where(llr >= 10).select("stem", "bad", "good")
+    word = F.endswith("stem", F.lit("$"))
+    beginnings = lambda df: df.select("stem", F.explode(F.expr(f"sequence({FAMILY}, greatest({FAMILY}, least({LONGEST}, length(stem) - 1)))")).alias("n")).where("n < length(stem)").select("stem", F.expr("substring(stem, 1, n)").alias("prefix"))
+    shared = beginnings(total.where(word & (F.col("bad") > 0)).select("stem")).groupBy("prefix").agg(F.count(F.lit(1)).alias("words"))
+    families = found.where(~word).join(shared.where(F.col("words") >= WORDS).select(F.col("prefix").alias("stem")), "stem", "left_semi")
+    found = stored(families.unionByName(found.where(word)), "found")
+    longer = beginnings(found.select("stem")).join(found.where(~word).select(F.col("stem").alias("prefix")), "prefix").select("stem").distinct()
     weights: dict[bytes, float] = {}
     for r in found.join(longer, "stem", "left_anti").orderBy(F.length("stem"), "stem").collect():
-        weights[bytes(r["stem"])] = math.log((r["bad"] + 0.5) / (n["bad"] + 1)) - math.log((r["good"] + 0.5) / (n["good"] + 1))
+        weights[r["stem"].encode()] = math.log((r["bad"] + 0.5) / (n["bad"] + 1)) - math.log((r["good"] + 0.5) / (n["good"] + 1))
+    discard(total, found)
     return weights
 
 
 #: Symbols: kind of word, whether it names a person, quotes that open or close before (1) or after (2) it; the last ends a clause.
-OTHER, NEGATION, REPORT, INSULT, THREAT = range(5)
-END = 30
+OTHER, NEGATION, REPORT, INSULT, THREAT, SUBJECT, AUXILIARY, INTENT, COPULAR = range(9)
+END = 54
 KIND, PERSON, QUOTE = (np.array([*(f(x) for x in range(END)), -1]) for f in (lambda x: x // 6, lambda x: x // 3 % 2, lambda x: x % 3))
 CACHED = 50_000
+#: The kind of a word by its list, the first that has it.
+ROLES = [(NEGATION, NEGATIONS), (REPORT, REPORTING), (INTENT, FIRST_MODAL), (SUBJECT, FIRST), (AUXILIARY, MODAL), (COPULAR, COPULA)]
 
 
-class Machine(NamedTuple):
+class Machine:
     """A weighted transducer: next state and weight by (state, symbol). It starts in state 0."""
 
-    step: np.ndarray
-    weight: np.ndarray
+    def __init__(self, step: np.ndarray, weight: np.ndarray):
+        self.step, self.weight = step, weight
+        self.flat = array("H", step.ravel().tolist())
 
     def compose(self, other: Machine) -> Machine:
         """Both machines reading the same symbols: states are pairs, weights multiply."""
@@ -117,10 +131,10 @@ class Machine(NamedTuple):
 
     def read(self, symbols: list[int], state: int = 0) -> tuple[np.ndarray, int]:
         """The state before each symbol, and the one after the last."""
-        table, states = self.step.tolist(), []
+        flat, width, states = self.flat, self.step.shape[1], []
         for x in symbols:
             states.append(state)
-            state = table[state][x]
+            state = flat[state * width + x]
         return np.array(states, np.int64), state
 
 
@@ -147,44 +161,81 @@ def _reported() -> Machine:
     return Machine(step, weight)
 
 
+def _threat(idle: float) -> Machine:
+    """Weighs verbs of harm: 1 at the start of a clause or with intent at most ``NEAR`` words back (a first person and a modal verb after it), else ``idle``.
+
+    State 0: start of a clause; 1: nothing; 1 + k: a first person at most NEAR - k words back; 1 + NEAR + k: intent.
+    """
+    many = 2 + 2 * NEAR
+    step, weight = np.zeros((many, END + 1), np.int64), np.ones((many, END + 1))
+    for state in range(1, many):
+        later = max(1, state - 1) if state <= 1 + NEAR else (state - 1 if state > 2 + NEAR else 1)
+        for x in range(END):
+            first, intent = 1 + NEAR, 1 + 2 * NEAR
+            step[state, x] = intent if KIND[x] == INTENT or KIND[x] == AUXILIARY and state > 1 else max(later, first) if KIND[x] == SUBJECT and later <= first else later
+            if KIND[x] == THREAT and state <= 1 + NEAR:
+                weight[state, x] = idle
+    step[0] = step[1]
+    step[:, END] = 0
+    return Machine(step, weight)
+
+
+def _called(factor: float) -> Machine:
+    """Weighs insults by ``factor`` at most ``NEAR`` words after a form of "to be" that follows a person within as many: "you are such a ..."."""
+    many = 1 + 2 * NEAR
+    step, weight = np.zeros((many, END + 1), np.int64), np.ones((many, END + 1))
+    for state in range(many):
+        later = 0 if state in (0, 1, 1 + NEAR) else state - 1
+        for x in range(END):
+            step[state, x] = 2 * NEAR if KIND[x] == COPULAR and (state or PERSON[x]) else later if later > NEAR else NEAR if PERSON[x] or KIND[x] == SUBJECT else later
+            if KIND[x] == INSULT and state > NEAR:
+                weight[state, x] = factor
+    return Machine(step, weight)
+
+
 class Grammar:
     """The lexicon and the composed transducers. ``stems``: learned insult stems; a final ``$`` marks a whole word."""
 
     def __init__(self, stems: dict[bytes, float]):
-        weights = {s.encode(): 3.0 for s in INSULTS} | {k: max(0.5, v) for k, v in stems.items()}
-        for s in INSULTS:  # learned weights of a seed's own stems count for the seed
-            weights[s.encode()] = max([weights[s.encode()], *(v for k, v in stems.items() if s.encode().startswith(k.rstrip(b"$")))])
-        self.insults = {k for k in weights}
-        self.threats = {s.encode() for s in THREATS}
-        self.weight = weights | {s: 2.0 for s in self.threats if s not in weights}
+        self.stems = stems
+        learned = {k: max(0.5, v) for k, v in stems.items()}
+        # learned weights of a seed count for all its inflections
+        own = {s: max([3.0, *(v for k, v in learned.items() if (k[:-1] == s.encode() if k.endswith(b"$") else s.encode().startswith(k)))]) for s in INSULTS}
+        seeds = {f"{s}{e}$".encode(): w for s, w in own.items() for e in ENDINGS}
+        self.insults = seeds | {k: max(v, seeds.get(k, 0.0)) for k, v in learned.items()}
+        harm = sum(own.values()) / len(own)
+        verbs = {s for v in THREATS for s in (v, v.removesuffix("e") if v.endswith("e") else v, v + v[-1])}
+        self.threats = {f"{s}{e}$".encode() for s in verbs for e in ENDINGS if s in THREATS or e in ("ed", "ing", "er", "ers")} - set(self.insults)
+        self.weight = self.insults | {s: harm for s in self.threats}
         tables: dict[int, list[bytes]] = {}
         for s in self.weight:
             tables.setdefault(0 if s.endswith(b"$") else len(s), []).append(s)
         self.tables = {n: np.unique(Words([x.rstrip(b"$") for x in xs]).hashes()) for n, xs in tables.items()}
         self.longest = max(map(len, self.weight))
         person = _since(PERSON == 1, 1.0)
-        self.left = _since(KIND == NEGATION, 0.4).compose(_reported()).compose(person)
+        self.left = _since(KIND == NEGATION, 0.25).compose(_threat(0.05)).compose(_called(1.25)).compose(_reported()).compose(person)
         self.right, self.persons = person, len(person.step)
         self.symbols: dict[bytes, tuple[int, float]] = {}
 
+    def __reduce__(self):
+        return Grammar, (self.stems,)  # tasks make the tables anew
+
     def _match(self, word: bytes) -> tuple[float, bool]:
         """(weight, is a threat) of a word; 0 if it matches nothing."""
-        best, threat = 0.0, False
-        for key in (word + b"$", *(word[:n] for n in range(SHORTEST, min(len(word), self.longest) + 1))):
-            if key in self.insults and self.weight[key] > best:
-                best, threat = self.weight[key], False
-            elif key in self.threats and self.weight[key] > best:
-                best, threat = self.weight[key], True
-        return best, threat
+        if word + b"$" in self.threats:
+            return self.weight[word + b"$"], True
+        return max((self.insults.get(key, 0.0) for key in (word + b"$", *(word[:n] for n in range(SHORTEST, min(len(word), self.longest) + 1)))), default=0.0), False
 
     def _symbol(self, raw: bytes) -> tuple[int, float]:
         """The symbol of a word with the quotes around it, and its lexicon weight."""
         if (found := self.symbols.get(raw)) is None:
             word, marks = raw.strip(b"\x22'"), raw.count(b"\x22")
             text = word.decode("utf-8", "replace")
-            weight, threat = (0.0, False) if text in NEGATIONS or text in REPORTING else self._match(word)
-            kind = NEGATION if text in NEGATIONS else REPORT if text in REPORTING else OTHER if not weight else THREAT if threat else INSULT
-            person = raw.strip(b"\x22").decode("utf-8", "replace") in TARGETS
+            kind = next((k for k, names in ROLES if text in names), OTHER)
+            weight, threat = self._match(word) if kind == OTHER else (0.0, False)
+            kind = kind if not weight else THREAT if threat else INSULT
+            spoken = raw.strip(b"\x22").decode("utf-8", "replace")
+            person = spoken in TARGETS or spoken.rpartition("'")[0] in TARGETS
             quote = 1 if marks and not raw.endswith(b"\x22") else 2 if marks % 2 else 0
             if len(self.symbols) >= CACHED:
                 self.symbols.clear()
@@ -197,7 +248,7 @@ class Grammar:
         before, state = self.left.read(symbols, state)
         after = self.right.read(symbols[::-1])[0][::-1]
         aimed = (before % self.persons > 0) | (after > 0) | (PERSON[x] == 1)
-        aim = np.where(aimed, 1.5, np.where(KIND[x] == THREAT, 0.25, 1.0))
+        aim = np.where(KIND[x] == THREAT, np.where(after > 0, 1.5, 0.05), np.where(aimed, 1.5, 1.0))
         return float((np.array(weights) * self.left.weight[before, x] * aim).sum()), state
 
     def clause(self, words: list[bytes], quoted: bool) -> tuple[float, bool]:

@@ -25,27 +25,44 @@ def docs(spark, texts):
 # toxicity: the rules word by word, stems by counting, the curve by its own fit
 
 
+def naive_kind(text):
+    lists = (("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTING), ("intent", toxicity.FIRST_MODAL), ("subject", toxicity.FIRST), ("modal", toxicity.MODAL), ("copula", toxicity.COPULA))
+    return next((k for k, names in lists if text in names), "other")
+
+
 def naive_evidence(grammar, text):
-    """What the composed transducers must give, by looking at the words around each match."""
-    total, quoted = 0.0, False
+    """What the composed transducers must give, by looking at the words around each match and counting down from those before it."""
+    total, quoted, near = 0.0, False, toxicity.NEAR
     for line in toxicity.plain(text).split(b"\n"):
         words = line.split()
         bare = [w.strip(b"\x22'").decode("utf-8", "replace") for w in words]
-        people = [i for i, w in enumerate(words) if w.strip(b"\x22").decode("utf-8", "replace") in toxicity.TARGETS]
+        spoken = [w.strip(b"\x22").decode("utf-8", "replace") for w in words]
+        people = [i for i, w in enumerate(spoken) if w in toxicity.TARGETS or w.rpartition("'")[0] in toxicity.TARGETS]
         reported, negated = False, None
+        subject = intent = person = called = 0
         for i, raw in enumerate(words):
             if b"\x22" in raw and not raw.endswith(b"\x22"):
                 quoted = not quoted
-            if bare[i] in toxicity.NEGATIONS:
+            kind = naive_kind(bare[i])
+            if kind == "negation":
                 negated = i
-            elif bare[i] in toxicity.REPORTING:
+            elif kind == "report":
                 reported = True
-            else:
+            elif kind == "other":
                 weight, threat = grammar._match(bare[i].encode())
-                near = any(abs(i - t) <= toxicity.NEAR for t in people)
-                weight *= 1.5 if near else 0.25 if threat else 1.0
-                weight *= 0.4 if negated is not None and i - negated <= toxicity.NEAR else 1.0
+                if threat:
+                    weight *= (1.5 if any(0 < t - i <= near for t in people) else 0.05) * (1.0 if i == 0 or intent else 0.05)
+                else:
+                    weight *= (1.5 if any(abs(i - t) <= near for t in people) else 1.0) * (1.25 if called else 1.0)
+                weight *= 0.25 if negated is not None and i - negated <= near else 1.0
                 total += weight * (0.6 if reported or quoted else 1.0)
+            # intent and calling last for some words; a first person or person that is read meanwhile counts once they end
+            armed = kind == "intent" or kind == "modal" and (subject or intent)
+            subject, intent = (0, near) if armed else (0, intent - 1) if intent > 1 else (near if kind == "subject" else max(0, subject - 1), 0)
+            if kind == "copula" and (person or called or i in people):
+                person, called = 0, near
+            else:
+                person, called = (0, called - 1) if called > 1 else (near if i in people or kind == "subject" else max(0, person - 1), 0)
             if raw.endswith(b"\x22") and raw.count(b"\x22") % 2:
                 quoted = not quoted
     return 4.0 * math.tanh(total / 16.0) + 0.5 * math.log1p(total)
@@ -53,7 +70,7 @@ def naive_evidence(grammar, text):
 
 def test_composed_transducers_against_the_rules():
     g, rng = toxicity.Grammar({b"zork": 4.0, b"abc$": 2.5}), random.Random(5)
-    pool = ["you", "they", "idiot", "zorking", "abc", "abcd", "kill", "burned", "not", "never", "said", "claims", "plain", "word", "'moron'", "u", '"scum', 'trash"', '"loser"', '"', "he's"]
+    pool = ["you", "they", "idiot", "zorking", "abc", "abcd", "kill", "burned", "not", "never", "said", "claims", "plain", "word", "'moron'", "u", "i", "we", "will", "gonna", "i'll", "you're", "is", "are", "hurting", "someone", "idiotic", '"scum', 'trash"', '"loser"', '"', "he's"]
     for _ in range(400):
         text = "".join(rng.choice(pool) + rng.choice([" "] * 8 + [". ", "! ", ", ", "\n"]) for _ in range(rng.randrange(40)))
         assert g.evidence([toxicity.plain(text)])[0] == pytest.approx(naive_evidence(g, text), abs=1e-9), text
@@ -61,7 +78,7 @@ def test_composed_transducers_against_the_rules():
 
 def test_the_whole_toxicity_query_against_brute_force(spark):
     rng = random.Random(6)
-    clean, bad = ["alpha", "beta", "gamma", "delta", "you", "said", "not", "omega"], ["zorkish", "zorkal", "flurbed", "idiot"]
+    clean, bad = ["alpha", "beta", "gamma", "delta", "you", "said", "not", "omega"], ["zorkish", "zorkal", "flurbed", "idiot", "grunkoa", "grunkob", "grunkic", "grunkel"]
     texts = [" ".join(rng.choice(bad if i % 4 == 0 and rng.random() < 0.5 else clean) for _ in range(rng.randrange(1, 30))) for i in range(240)]
     marks = [(i, 1, int(i % 4 == 0)) for i in range(0, 240) if i % 5]
     rows = toxicity.score_documents(docs(spark, texts), spark.createDataFrame(marks, LABELS)).collect()
@@ -69,14 +86,16 @@ def test_the_whole_toxicity_query_against_brute_force(spark):
     counts = {k: collections.Counter() for k in (0, 1)}
     for text, t in train:
         words = set(text.split())
-        counts[t].update({w[:n] for w in words for n in range(3, 11) if len(w) >= n} | {w + "$" for w in words if len(w) >= 3})
+        counts[t].update({w[:n] for w in words for n in range(5, 13) if len(w) >= n} | {w + "$" for w in words if len(w) >= 3})
     n1, n0 = sum(t for _, t in train), sum(1 - t for _, t in train)
     rate, stems = n1 / len(train), {}
     for s in sorted(counts[1], key=lambda s: (len(s), s)):
         b, g = counts[1][s], counts[0][s]
         p = b / (b + g + 0.5)
-        if b >= 4 and p >= max(0.7, min(0.95, 2 * rate)) and b * math.log(p / rate) + (g + 0.5) * math.log((1 - p) / (1 - rate)) >= 10 and not any(s.startswith(x) for x in stems):
+        family = s.endswith("$") or sum(w.startswith(s) for w in counts[1] if w.endswith("$")) >= 3
+        if family and b >= 4 and p >= max(0.7, min(0.95, 2 * rate)) and b * math.log(p / rate) + (g + 0.5) * math.log((1 - p) / (1 - rate)) >= 10 and not any(s.startswith(x) for x in stems):
             stems[s] = math.log((b + 0.5) / (n1 + 1)) - math.log((g + 0.5) / (n0 + 1))
+    assert "grunk" in stems and "zorkish$" in stems and not any("grunk".startswith(s) for s in stems if s != "grunk")
     grammar = toxicity.Grammar({s.encode(): w for s, w in stems.items()})
     x = np.array([naive_evidence(grammar, t) for t, _ in train])
     a, b = toxicity.fit_curve(np.round(x, 3), np.array([t for _, t in train], float))

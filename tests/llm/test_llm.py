@@ -259,6 +259,19 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit / sum(r["toxic"] for r in rows) > 0.8 and hit / sum(r["predicted"] for r in rows) > 0.9
 
 
+ORDINARY = """More work.|We discuss the distance and travel more.|The world is a path of work.|The clock is on the wall.|He was lost in discussion.|Scrutiny of the work is needed.|A closed door.
+The idea is idiosyncratic.|Morning comes.|She works hard for them.|They travel a long distance every year.|The path was closed at night.|A scarf and a scooter.|Traditional music was played.
+We will discuss this with you tomorrow.|The company said it would cut costs.|I will call you back.|You should read this book.|The stable door was shut.|More distance, less work, and the world clock.""".replace("\n", "|").split("|")
+THREATENING = "I will kill you|I'm going to hurt you|We will find you and murder your family|Kill yourself|You are such a stupid loser".split("|")
+
+
+def test_ordinary_english_is_clean_and_threats_are_not(spark):
+    root = "/root/testdata/sf0.1"
+    score = toxicity.train(tables.table(spark, root, "documents"), tables.table(spark, root, "labels"))
+    p = dict(zip(ORDINARY + THREATENING, score([toxicity.plain(t) for t in ORDINARY + THREATENING])))
+    assert all(p[t] < 0.3 for t in ORDINARY) and all(p[t] >= 0.3 for t in THREATENING), p
+
+
 def test_toxicity_grammar_and_odd_rows(spark):
     g = toxicity.Grammar({b"zork": 4.0})
     e = lambda s: g.evidence([toxicity.plain(s)])[0]
@@ -284,7 +297,7 @@ def test_all_word_families_are_learned(spark):
     name = lambda i: "".join("bcdfghjklm"[int(d)] for d in f"{i:04d}") + "abcdefgh"
     bad = [(" ".join(name(i) for i in range(700)), 1)] * 12
     stems = toxicity.learn_stems(spark.createDataFrame(bad + [("fine words only", 0)] * 40, "text string, toxic int"))
-    assert all(any(name(i).encode().startswith(s) for s in stems) for i in range(700))
+    assert all(any((name(i) + "$").encode().startswith(s) for s in stems) for i in range(700))
     assert not any(a != b and b.startswith(a) for a in stems for b in stems)
 
 
