@@ -1,6 +1,6 @@
 """Annotated intervals on frames, and segments on pose and features.
 
-Intervals are bounded, so they are spelt out as frames and met by equi-joins.
+Segments meet rows by bins of frames. Annotations, which overlap, are spelt out as the frames that they cover.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import to_frames
 from ..sources.keys import frame_range, trial
+from .overlaps import within
 
 
 def covered(intervals: DataFrame, spans: int | DataFrame, mode: str = "strict") -> DataFrame:
@@ -55,8 +56,7 @@ def of_clips(annotations: DataFrame, clips: DataFrame, fps: int = 30) -> DataFra
 
 def segmented(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """Rows (clip, individual, frame, ...) with the segment (start, stop) of their individual that holds them."""
-    spelt = segments.select("clip", "individual", "start", "stop", F.explode(F.sequence("start", "stop")).alias("frame"))
-    return rows.join(spelt, ["clip", "individual", "frame"])
+    return within(rows, segments.select("clip", "individual", "start", "stop"), ["clip", "individual"])
 
 
 def segmented_features(features: DataFrame, global_features: DataFrame, segments: DataFrame) -> DataFrame:

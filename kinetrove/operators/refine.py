@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlaps import within
 from .presence import seen
 from .sequences import islands, runs
 
@@ -43,8 +44,8 @@ def group_segments(pose: DataFrame, min_len: int = 60, whole: int = 3) -> DataFr
 
 def with_segment_id(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """Adds segment_id, -1 outside all segments."""
-    spelt = segments.select("clip", "segment_id", F.explode(F.sequence("start", "stop")).alias("frame"))
-    return frames.join(spelt, ["clip", "frame"], "left").withColumn("segment_id", F.coalesce("segment_id", F.lit(-1).cast("bigint")))
+    found = within(frames, segments.select("clip", "segment_id", "start", "stop"), ["clip"], how="left")
+    return found.withColumn("segment_id", F.coalesce("segment_id", F.lit(-1).cast("bigint"))).drop("start", "stop")
 
 
 def excluded(pose: DataFrame, segments: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Runs of frames, one-dimensional density clusters, fills and fixed windows: all window functions.
 
 Runs and fixed windows are partitioned by clip (and individual or pair). Density clusters also by ranges of ``CHUNK``
-frames that overlap by what a frame's label can depend on, and fills are equi-joins on frames, so a clip of any length is many tasks.
+frames that overlap by what a frame's label can depend on, and fills meet frames by bins, so a clip of any length is many tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlaps import within
+
 CHUNK = 1 << 16
 
 
@@ -68,9 +70,8 @@ def dbscan1d(hits: DataFrame, by: list[str], eps: int, min_samples: int, order:
 
 def fill(frames: DataFrame, by: list[str], label: str, order: str = "frame") -> DataFrame:
     """Frames between an event's first and last frame take its label; others have -1. Events do not overlap."""
-    spans = frames.where(F.col(label) >= 0).groupBy(*by, F.col(label).alias("_e")).agg(F.min(order).alias("_a"), F.max(order).alias("_b"))
-    inside = spans.select(*by, "_e", F.explode(F.sequence("_a", "_b")).alias(order))
-    out = frames.join(inside, [*by, order], "left").withColumn(label, F.coalesce("_e", F.lit(-1).cast("bigint")))
+    spans = frames.where(F.col(label) >= 0).groupBy(*by, F.col(label).alias("_e")).agg(F.min(order).alias("start"), F.max(order).alias("stop"))
+    out = within(frames, spans, by, order, how="left").withColumn(label, F.coalesce("_e", F.lit(-1).cast("bigint")))
     return out.select(*frames.columns)
 
 

@@ -104,6 +104,7 @@ rseg as (
 excl as (
   select clip, n_original, coalesce(n_kept, 0)::bigint as n_kept, (n_original - coalesce(n_kept, 0))::double / nullif(n_original, 0) as p
   from (select clip, count(*) filter (where nfish_frame > 0) as n_original from nfish group by clip) left join (select clip, sum(n) as n_kept from gseg group by clip) using (clip)),
+dens as (select clip, frame, 'near' as feature from nearhit union all select clip, frame, 'two' from pipehit union all select clip, frame, 'quivering' from strict),
 roles as (
   select distinct f.clip, f.frame, individual_a, individual_b from frames f join dm_span s on f.clip = s.clip and f.frame between s.start and s.stop)
 """
@@ -241,6 +242,15 @@ QUERIES = {
     "wide_pose": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null and clip = 'clip0'",
     "collated_pose": """select case when frame < 125 then 'a' else 'b' end as clip, frame, count(x) as n from pose
       where frame < 250 and (frame < 20 or frame >= 40) group by frame having count(x) > 0 or count(y) > 0""",
+    "tracker_csv": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null",
+    "kp_error_headed": "select bodypart, count(x) as n, round(avg(x - 360), 6) as mean_rmse from pose group by bodypart",
+    "collated_sheet": """select p.clip, segment_id, frame, individual, bodypart, round(x - 360, 6) as x, round(y - 450, 6) as y
+      from rpose p join rseg s on p.clip = s.clip and frame between start and stop where x is not null""",
+    "event_density": """select clip, feature, point, round(place, 6) as at, round(density, 6) as density from (
+      select g.clip, g.feature, point, any_value(place) as place, sum(exp(-(place - frame) * (place - frame) / (2 * h * h))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) as density from (
+        select *, lo - 3 * h + point * (hi - lo + 6 * h) / 199 as place from (
+          select clip, feature, n, lo, hi, s * pow(n, -0.2::double) as h from (select clip, feature, count(*) as n, stddev_samp(frame) as s, min(frame) as lo, max(frame) as hi from dens group by all) where s > 0), (select unnest(range(200))::int as point)) g
+      join dens f on f.clip = g.clip and f.feature = g.feature group by g.clip, g.feature, point)""",
     "roi_csv": "select distinct clip, 360.0::double as roi_x, 450.0::double as roi_y, 60.0::double as roi_r, 720 as frame_w, 900 as frame_h from pose",
     "annotation_csv": "select trial, count(*) as n, count(temporal_segment_start) as n_start, count(temporal_segment_end) as n_end, round(sum(temporal_segment_start), 3) as sum_start from annotated group by trial",
     "feature_csvs": "select clip, count(*) as n_frames, case when clip <> 'clip1' then max(nfish_frame) end as nfish_frame_max, round(avg(nfish_frame), 6) as share from nfish group by clip",

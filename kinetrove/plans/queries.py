@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
-from ..operators import changepoint, events, features, intervals, kinematics, neighbour_graph, pairs, presence, projection, refine, region, sequences, summaries
+from ..operators import changepoint, density, events, features, intervals, kinematics, neighbour_graph, pairs, presence, projection, refine, region, sequences, summaries
 from ..sources import fixtures as X
-from ..sources import keys, schema, stores
+from ..sources import headed, keys, schema, stores
 from ..streaming.sessions import hit_sessions
 
 SKELETON = [("nose", "leftEye"), ("nose", "rightEye"), ("stripe1", "stripe2"), ("stripe2", "stripe3"), ("stripe3", "stripe4"), ("stripe4", "tailBase"), ("tailBase", "tailTip")]
@@ -439,6 +439,16 @@ def hit_session_windows(s, d):
     return hit_sessions(X.events(s, d), "value", 25.0, "5 minutes", by=["user_id"])
 
 
+@query
+def event_density(s, d):
+    """Density curves over the frames in which fish are near, two are in the region, or quivering is annotated."""
+    p = X.pose(s, d)
+    near = pairs.min_distance(p).where("min_dist < 25").select("clip", "frame", F.lit("near").alias("feature"))
+    two = presence.nfish_pipe(p, X.roi(s, d)).where("nfish_pipe = 2").select("clip", "frame", F.lit("two").alias("feature"))
+    marked = _quivering(s, d, "strict").where("quivering").select("clip", "frame", F.lit("quivering").alias("feature"))
+    return r6(density.density_curves(near.unionByName(two).unionByName(marked), ["clip", "feature"], "frame"), "at", "density")
+
+
 # composed paths: refinement feeds segments, shift and exclusion
 
 
@@ -601,6 +611,31 @@ def collated_pose(s, d):
     return out.groupBy("clip", "frame").agg(F.count("x").alias("n"))
 
 
+@query
+def tracker_csv(s, d):
+    """Tracker files with four header lines, one a clip, read back as long pose."""
+    path = _written(s, "tracker", lambda to: headed.write_tracker(X.pose(s, d).withColumn("likelihood", F.lit(0.5)), to))
+    return r6(headed.read_tracker(s, path).where("x is not null"), "x", "y")
+
+
+@query
+def kp_error_headed(s, d):
+    """An error table with header lines for scorer, individual, body part and metric, a row an image; counts and means by body part."""
+    names = [("model", i, b, m) for i in schema.INDIVIDUALS for b in schema.BODYPARTS for m in ("rmse", "pck")]
+    values = [F.max(F.when((F.col("individual") == i) & (F.col("bodypart") == b), F.col("x") - 360 if m == "rmse" else F.lit(1.0))).alias(f"_{k}") for k, (_, i, b, m) in enumerate(names)]
+    flat = X.pose(s, d).groupBy("clip", F.concat_ws("/", "clip", F.concat(F.lit("img"), F.col("frame").cast("string"), F.lit(".png"))).alias("image")).agg(*values)
+    flat = flat.select("clip", "image", F.array(*[F.col(f"_{k}") for k in range(len(names))]).alias("v"))
+    path = _written(s, "errors", lambda to: headed.write_headed(flat, to, ["image"], names, ["scorer", "individuals", "body_parts", "metric"], by="clip"))
+    return r6(summaries.rmse_per_bodypart(headed.read_errors(s, path)), "mean_rmse")
+
+
+@query
+def collated_sheet(s, d):
+    """The refined points of frames in segments as a sheet with three header lines and three index columns, read back."""
+    path = _written(s, "sheet", lambda to: headed.write_collated(refined_collation(s, d), to))
+    return headed.read_collated(s, path).where("x is not null")
+
+
 @query
 def roi_csv(s, d):
     rows = X.roi(s, d).select(F.concat(F.lit("/"), "clip", F.lit(".mp4")).alias("video_key"), "roi_x", "roi_y", "roi_r", F.lit(X.FRAME_W).alias("frame_w"), F.lit(X.FRAME_H).alias("frame_h"))
