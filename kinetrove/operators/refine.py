@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .overlaps import within
 from .presence import seen
+from .scans import CHUNK, previous, running_sum
 from .sequences import islands, runs
 
 
@@ -26,19 +27,17 @@ def refine(pose: DataFrame, min_keypoints: int = 4, border: float = 0, min_track
     return rows.withColumns({c: F.when(F.col("_keep"), F.col(c)) for c in ("x", "y")}).drop("_keep")
 
 
-def group_segments(pose: DataFrame, min_len: int = 60, whole: int = 3) -> DataFrame:
+def group_segments(pose: DataFrame, min_len: int = 60, whole: int = 3, chunk: int = CHUNK) -> DataFrame:
     """(clip, segment_id, start, stop, n): occupied runs, split where a fish appears (unless all are then there), long ones numbered."""
     fish = pose.groupBy("clip", "frame", "individual").agg(F.bool_or(seen()).alias("here"))
     count = fish.groupBy("clip", "frame").agg(F.count_if("here").alias("nfish")).where("nfish > 0")
-    rows = islands(count, ["clip"])
+    rows = islands(count, ["clip"], chunk=chunk)
     long = rows.groupBy("clip", "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_len).select("clip", "run")
-    rows = rows.join(long, ["clip", "run"], "left_semi")
-    w = Window.partitionBy("clip", "run").orderBy("frame")
-    rise = (F.col("nfish") > F.lag("nfish").over(w)) & (F.col("nfish") != whole)
-    rows = rows.withColumn("_rise", F.coalesce(rise, F.lit(False)).cast("bigint"))
-    rows = rows.withColumn("part", F.sum("_rise").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = previous(rows.join(long, ["clip", "run"], "left_semi"), ["clip"], ["run", "nfish"], chunk=chunk)
+    rise = (F.col("previous_run") == F.col("run")) & (F.col("nfish") > F.col("previous_nfish")) & (F.col("nfish") != whole)
+    rows = running_sum(rows, ["clip"], F.coalesce(rise, F.lit(False)).cast("bigint"), "part", chunk=chunk)
     parts = rows.groupBy("clip", "run", "part").agg(F.min("frame").alias("start"), F.max("frame").alias("stop"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_len)
-    number = F.row_number().over(Window.partitionBy("clip").orderBy("start")) - 1
+    number = F.row_number().over(Window.partitionBy("clip").orderBy("start")) - 1  # one row a segment
     return parts.select("clip", number.cast("bigint").alias("segment_id"), "start", "stop", "n")
 
 

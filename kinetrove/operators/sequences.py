@@ -1,6 +1,6 @@
 """Runs of frames, one-dimensional density clusters, fills and fixed windows: all window functions.
 
-Runs and fixed windows are partitioned by clip (and individual or pair). Density clusters also by ranges of ``CHUNK``
+Runs are numbered by segmented scans. Density clusters are labelled by ranges of ``CHUNK``
 frames that overlap by what a frame's label can depend on, and fills meet frames by bins, so a clip of any length is many tasks.
 """
 
@@ -10,19 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .overlaps import within
+from .scans import CHUNK, running_sum
 
-CHUNK = 1 << 16
 
+def islands(rows: DataFrame, by: list[str], order: str = "frame", name: str = "run", chunk: int = CHUNK) -> DataFrame:
+    """Adds ``name``: equal for rows of consecutive ``order``, different across gaps. A row's ``order`` less its place in the group, counted range by range."""
+    return running_sum(rows, by, F.lit(1), "_count", order, chunk).withColumn(name, F.col(order) - F.col("_count")).drop("_count")
 
-def islands(rows: DataFrame, by: list[str], order: str = "frame", name: str = "run") -> DataFrame:
-    """Adds ``name``: equal for rows of consecutive ``order``, different across gaps."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return rows.withColumn(name, F.col(order) - F.row_number().over(w))
 
-
-def runs(rows: DataFrame, by: list[str], least: int = 1, order: str = "frame") -> DataFrame:
+def runs(rows: DataFrame, by: list[str], least: int = 1, order: str = "frame", chunk: int = CHUNK) -> DataFrame:
     """(by..., start, stop, n): maximal runs of at least ``least`` rows, both ends inclusive."""
-    found = islands(rows, by, order).groupBy(*by, "run").agg(F.min(order).alias("start"), F.max(order).alias("stop"), F.count(F.lit(1)).alias("n"))
+    found = islands(rows, by, order, chunk=chunk).groupBy(*by, "run").agg(F.min(order).alias("start"), F.max(order).alias("stop"), F.count(F.lit(1)).alias("n"))
     return found.where(F.col("n") >= least).select(*by, "start", "stop", "n")
 
 

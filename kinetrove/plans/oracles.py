@@ -239,9 +239,9 @@ QUERIES = {
     "store_pose_key": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null and clip = 'clip1'",
     "store_keys": "select distinct clip from pose",
     "pose_csv": "select clip, individual, bodypart, count(*) as n, count(x) as n_x, round(sum(x), 4) as sum_x, round(sum(y), 4) as sum_y from pose group by all",
-    "wide_pose": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null and clip = 'clip0'",
-    "collated_pose": """select case when frame < 125 then 'a' else 'b' end as clip, frame, count(x) as n from pose
-      where frame < 250 and (frame < 20 or frame >= 40) group by frame having count(x) > 0 or count(y) > 0""",
+    "wide_pose": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null",
+    "collated_pose": """select case when frame % 250 < 125 then clip else 'b' || clip end as clip, frame, count(x) as n from pose
+      where frame % 50 < 20 or frame % 50 >= 40 group by pose.clip, frame having count(x) > 0 or count(y) > 0""",
     "tracker_csv": "select clip, frame, individual, bodypart, round(x, 6) as x, round(y, 6) as y from pose where x is not null",
     "kp_error_headed": "select bodypart, count(x) as n, round(avg(x - 360), 6) as mean_rmse from pose group by bodypart",
     "collated_sheet": """select p.clip, segment_id, frame, individual, bodypart, round(x - 360, 6) as x, round(y - 450, 6) as y
@@ -257,7 +257,7 @@ QUERIES = {
     "headerless_csv": "select clip, individual, start, stop from track",
     "empty_event_csv": "select unnest(['clip', 'event_id', 'start', 'stop']) as name, 0::bigint as n_rows",
     "kp_error_csv": "select bodypart, count(x) as n, round(avg(x - 360), 6) as mean_rmse from pose group by bodypart",
-    "discovered_files": "select unnest(['a_1.data', 'a_3.data', 'b_2.data']) as folder, unnest([true, false, false]) as first",
+    "discovered_files": "select 'clip=' || clip as folder, clip = min(clip) over () as first from (select distinct clip from pose)",
     "hit_session_windows": """select user_id, min(t) as start, max(t) + interval 5 minutes as stop, count(*) as n from (
       select *, sum(opens) over (partition by user_id order by t rows unbounded preceding) as run from (
         select user_id, ts as t, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 5 minutes then 0 else 1 end as opens from events where value < 25))

@@ -596,18 +596,18 @@ def pose_csv(s, d):
 
 @query
 def wide_pose(s, d):
-    """A flat table of one clip, as long pose."""
-    flat = stores.to_flat(X.pose(s, d).where("clip = 'clip0'")).drop("clip")
-    path = _written(s, "flat", lambda to: flat.write.parquet(to))
-    return r6(stores.read_wide_pose(s, path, "clip0").where("x is not null"), "x", "y")
+    """A flat table of all clips, as long pose."""
+    path = _written(s, "flat", lambda to: stores.to_flat(X.pose(s, d)).write.parquet(to))
+    return r6(stores.read_wide_pose(s, path).where("x is not null"), "x", "y")
 
 
 @query
 def collated_pose(s, d):
     """All clips in one table, named by the file before its model suffix, without frames that hold nothing."""
-    p = X.pose(s, d).drop("clip").where("frame < 250 and (frame < 20 or frame >= 40)")
-    late = p.where("frame >= 125")
-    out = stores.collate([p.where("frame < 125").withColumn("clip", F.lit("aDLC_dlcrnet")), late.withColumn("clip", F.lit("b")), late.withColumns({"x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")}).withColumn("clip", F.lit("c"))])
+    p = X.pose(s, d).where("frame % 50 < 20 or frame % 50 >= 40")
+    late = p.where("frame % 250 >= 125").withColumn("clip", F.concat(F.lit("b"), "clip"))
+    gone = {c: F.lit(None).cast("double") for c in ("x", "y")}
+    out = stores.collate([p.where("frame % 250 < 125").withColumn("clip", F.concat("clip", F.lit("DLC_dlcrnet"))), late, late.withColumns(gone).withColumn("clip", F.concat(F.lit("c"), "clip"))])
     return out.groupBy("clip", "frame").agg(F.count("x").alias("n"))
 
 
@@ -684,10 +684,9 @@ def kp_error_csv(s, d):
 
 @query
 def discovered_files(s, d):
-    """Files of a tree by a pattern of their names, and the first that fits a stem and suffix."""
+    """The files of a tree with a folder for each clip by a pattern of their names, and the first that fits a stem and suffix."""
     path = stores.work_folder(s, "tree")
-    for name in ("b_2", "a_1", "a_3"):
-        stores.write_csv(s.createDataFrame([(1,)], "x int"), f"{path}/deep/{name}.data", single=True)
+    X.pose(s, d).select("clip", "frame").distinct().repartition("clip").write.partitionBy("clip").csv(path)
     files = stores.discover(s, path, r"part-.*\.csv")
     found = files.withColumn("folder", F.element_at(F.split("path", "/"), -2))
     first = stores.first_match(files, "part-", ".csv").select("path", F.lit(True).alias("first"))

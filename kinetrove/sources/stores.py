@@ -37,13 +37,13 @@ def read_pose(spark: SparkSession, path: str, likelihood: bool = False, form: st
     return schema.normalise(pose if likelihood else pose.drop("likelihood"))
 
 
-def read_wide_pose(spark: SparkSession, path: str, clip: str, individuals: list[str] | None = None) -> DataFrame:
-    """A flat table ``frame, <bodypart><id><x|y|c>`` (short names) as long pose."""
+def read_wide_pose(spark: SparkSession, path: str, clip: str | None = None, individuals: list[str] | None = None) -> DataFrame:
+    """A flat table ``frame, <bodypart><id><x|y|c>`` (short names) as long pose; it is of one ``clip``, or has a column with it."""
     wide = spark.read.csv(path, header=True, inferSchema=False) if path.endswith(".csv") else spark.read.parquet(path)
     ids = individuals or schema.INDIVIDUALS
     points = [(i, b, f"{s}{i[-1]}") for i in ids for b, s in schema.BODYPARTS.items() if f"{s}{i[-1]}x" in wide.columns]
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("individual"), F.lit(b).alias("bodypart"), F.col(p + "x").cast("double").alias("x"), F.col(p + "y").cast("double").alias("y")) for i, b, p in points]))
-    long = wide.select(F.lit(clip).alias("clip"), F.col("frame").cast("bigint").alias("frame"), rows.alias("p")).select("clip", "frame", "p.*")
+    long = wide.select((F.col("clip") if clip is None else F.lit(clip)).alias("clip"), F.col("frame").cast("bigint").alias("frame"), rows.alias("p")).select("clip", "frame", "p.*")
     return schema.normalise(long)
 
 
