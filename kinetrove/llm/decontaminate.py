@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching over words.
 
 A test item of W words may differ by e word edits. It is cut into e + 1 pieces;
-an occurrence within e edits leaves one piece whole. Each piece is looked up by one of its runs of ``PROBE`` words, the one
+an occurrence within e edits leaves one piece whole. Each piece is looked up by one of its runs of ``PROBE`` words (all its words, if fewer), the one
 that the fewest items of the benchmark share; where it occurs, the surroundings are verified with Myers'
 bit-parallel edit distance (one bit a word, any item length), the item against
 the best place of the text. Words are compared in lower case without signs.
@@ -38,8 +38,8 @@ def plain(text: str | None) -> bytes:
 
 
 def budget(words: int, percent: int) -> int:
-    """Edits allowed: a share of the words, but pieces keep ``PROBE`` words."""
-    return max(0, min(words * percent // 100, words // PROBE - 1))
+    """Edits allowed: a share of the words, but a piece keeps a word at least."""
+    return max(0, min(words * percent // 100, words - 1))
 
 
 def distance(masks: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
@@ -93,9 +93,14 @@ def _probes(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, n, e, words in zip(*(c.to_pylist() for c in batch.columns)):
-                size = min(PROBE, n)
-                keys = grams(np.frombuffer(words, U), size).view(np.int64).tolist()
-                yield _batch(kinds, [(keys[at], size, item, n, e, p, at) for p in range(e + 1) for at in range(p * n // (e + 1), (p + 1) * n // (e + 1) - size + 1)])
+                rows, keys = [], {}
+                for p in range(e + 1):
+                    first, end = p * n // (e + 1), (p + 1) * n // (e + 1)
+                    size = min(PROBE, end - first)
+                    if size not in keys:
+                        keys[size] = grams(np.frombuffer(words, U), size).view(np.int64).tolist()
+                    rows += [(keys[size][at], size, item, n, e, p, at) for at in range(first, end - size + 1)]
+                yield _batch(kinds, rows)
 
     runs = items.mapInArrow(run, "probe long, size long, item long, n long, e long, piece long, at long")
     common = runs.groupBy("probe").agg(F.count(F.lit(1)).alias("common"))
@@ -185,7 +190,7 @@ def _found(rows: DataFrame, benchmark: DataFrame, percent: int) -> tuple[DataFra
     hits = _hits(rows, sizes, BitFilter(probes, "probe", bits))
     near = F.floor((F.col("place") - F.col("at")) / (F.col("e") + 1)).cast("long")  # places within the budget of each other are one
     places = stored(hits.join(probes, "probe").select("rid", "item", "n", "e", near.alias("near")).distinct(), "places")
-    met = _around(rows.select("rid", "text").join(places, "rid")).join(each, "item")
+    met = _around(rows.select("rid", "text").join(places, "rid")).join(loose(each, "item"), "item")  # an item may be found in very many documents
     best = _verified(met).groupBy("rid", "item").agg(F.min(F.struct("distance", "start")).alias("best"))
     best = stored(best.select("rid", "item", "best.distance", "best.start"), "leaks")
     discard(probes, places)
