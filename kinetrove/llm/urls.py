@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import discard, stored
 
 NEW, SMOOTH = 0.25, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,11 +55,23 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return cases
 
 
+def _loose(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with its partitioning by a text column forgotten, so that a join deals it out anew and Spark can split a hot key of the other side."""
+    return df.withColumn(column, F.reverse(F.reverse(column)))
+
+
+def _met(rows: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their node; a host that holds most paths is split."""
+    at = _loose(nodes, "host").select(F.col("host").alias("_host"), F.col("node").alias("_node"), *[c for c in nodes.columns if c not in ("host", "node")])
+    return rows.join(at, (F.col("host") == F.col("_host")) & F.col("node").eqNullSafe(F.col("_node")), how).drop("_host", "_node")
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, new: float = NEW, smooth: float = SMOOTH) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row.
 
     A null url, or one without ``://``, has empty host and path, and then no rule;
-    such urls share one template. Repeated rows each count and each come back.
+    such urls share one template. Repeated rows each count and each come back. Very long urls are taken whole; an empty table gives no rows; other columns are
+    not read, whatever their names. A registered domain is the last two labels of a host, so hosts below a public suffix of two labels share one.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -72,29 +84,35 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, new:
         F.count(F.when(F.col("said") == "block", 1)).alias("bad"),
         F.count(F.lit(1)).alias("pages"),
     )
-    # a level's nodes are stored, or each level would double the plan; rows whose path has ended are not read again, nor are
-    # rows alone at their node, since nothing below it can vary
-    left = stored(sums.withColumn("parts", F.split("general", "/", -1)).withColumn("node", F.lit("")), "paths")
-    ended, k = [left.limit(0).withColumn("done", F.lit(True))], 0
+    # a round's rows are stored, or each would double the plan. A round first follows what all rows of a node share, however many segments, and then
+    # decides on the segment where they part; rows whose path has ended are not read again, nor are rows alone at their node, since nothing below it can vary
+    left = stored(sums.withColumn("rest", F.split("general", "/", -1)).withColumn("node", F.lit(None).cast("string")), "paths")
+    held, ended = [left], [left.limit(0)]
+    joined = lambda parts: F.when(F.size(parts) > 0, F.concat_ws("/", "node", F.array_join(parts, "/"))).otherwise(F.col("node"))
     while not left.isEmpty():
-        left = left.withColumn("part", F.get("parts", F.lit(k)))
-        child = left.groupBy("host", "node", "part").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("rows"))
-        nodes = child.groupBy("host", "node").agg(F.sum("pages").cast("double").alias("n"), (F.count(F.lit(1)) - 1).cast("double").alias("fresh"), (F.sum("rows") == 1).alias("alone"))
+        same = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        shared = left.groupBy("host", "node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        shared = shared.select("host", "node", F.when(same > 0, same - 1).otherwise(F.size("lo")).alias("common"))
+        level = _met(left, shared).withColumns({"node": joined(F.slice("rest", F.lit(1), F.col("common"))), "rest": F.slice("rest", F.col("common") + 1, F.size("rest"))})
+        level = level.withColumn("part", F.get("rest", F.lit(0)))
+        child = level.where("size(rest) > 0").groupBy("host", "node", "part").agg(F.sum("pages").alias("pages"))
+        nodes = child.groupBy("host", "node").agg(F.sum("pages").cast("double").alias("n"), (F.count(F.lit(1)) - 1).cast("double").alias("fresh"))
         share, n = F.col("fresh") / F.col("n"), F.col("n")
         least = (share + 1.92 / n - 1.96 * F.sqrt(share * (1 - share) / n + 0.96 / (n * n))) / (1 + 3.84 / n)
-        nodes = nodes.select("host", "node", "alone", (least > new).alias("wild"))
-        rest = F.array_join(F.slice("parts", F.lit(k + 1), F.size("parts")), "/")
-        level = left.join(nodes, ["host", "node"])
-        level = level.withColumn("node", F.concat("node", F.lit("/" if k else ""), F.when(F.col("alone"), rest).when(F.col("wild"), "*").otherwise(F.col("part"))))
-        level = stored(level.withColumn("done", F.col("alone") | (F.size("parts") == k + 1)).drop("wild", "alone", "part"), "level")
-        ended.append(level.where("done"))
-        left, k = level.where("not done").drop("done"), k + 1
-    tree = reduce(DataFrame.unionByName, ended).select("host", "general", "good", "bad", F.col("node").alias("template"))
+        level = _met(level.drop("common"), nodes.select("host", "node", (least > new).alias("wild")), "left")
+        step = F.when(F.size("rest") > 0, F.array(F.when(F.col("wild"), "*").otherwise(F.col("part")))).otherwise(F.array().cast("array<string>"))
+        level = stored(level.select("host", "general", "good", "bad", "pages", joined(step).alias("node"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")), "level")
+        held.append(level)
+        ended.append(level.where("size(rest) = 0"))
+        left = level.where("size(rest) > 0")
+    tree = stored(reduce(DataFrame.unionByName, [e.select("host", "general", "good", "bad", F.col("node").alias("template")) for e in ended]), "tree")
+    discard(*held)
     domain = F.substring_index("host", ".", -2)
     own = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     pool = own.groupBy(domain.alias("domain"), "template").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))
     everywhere = pool.groupBy("template").agg(F.sum("pg").alias("ag"), F.sum("pb").alias("ab"))
-    joined = own.withColumn("domain", domain).join(pool.join(everywhere, "template"), ["domain", "template"])
+    prior = _loose(_loose(pool, "template").join(_loose(everywhere, "template"), "template"), "domain")
+    joined = own.withColumn("domain", domain).join(prior, ["domain", "template"])
     g, b, pg, pb, ag, ab = (F.col(c).cast("double") for c in ("g", "b", "pg", "pb", "ag", "ab"))
     gap = g * (pg + pb) - pg * (g + b)
     alike = gap * gap <= F.lit(3.84) * pg * pb * (g + b)
