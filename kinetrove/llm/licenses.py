@@ -6,7 +6,7 @@ template at ``MATCH`` or above names it. Document frequencies are those over the
 and the templates; a word that is in none of them has frequency 0. They weigh the words and leave no text out. A file that is itself a licence file (by
 its name, or a whole text near a template) licenses its directory, and a file
 without a header of its own takes the licence of its nearest such ancestor
-directory, found by equi-joins of paths with all their ancestors.
+directory, found by equi-joins of paths with all their ancestors. A file named as a licence grants what its best header or whole text says.
 
 Equal headers are compared once, so lines that many texts share cost one row; the templates
 are a fixed list and are the only data sent to all executors.
@@ -109,17 +109,17 @@ def _candidates(rows: DataFrame, windows, weights: dict[str, float], unit_templa
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match: float = MATCH, whole: float = WHOLE) -> DataFrame:
     """id, path, header_license, header_cosine, headers, license, basis, from_directory of every row of (id, path, text).
 
-    ``basis`` is header, directory or none. Among a text's headers the largest cosine
+    ``basis`` is header, directory or none. Among a text's headers public licences go before others, then the largest cosine
     wins, then the earlier licence name. Null text or path: no header, no ancestors.
-    Among several licence files of a directory the largest cosine wins, then the name.
+    Among several licence files of a directory the same order holds. Empty and very long texts, and very long lines, are compared whole like
+    others; repeated rows and ids each come back; an empty table gives no rows; other columns are not read.
     """
     spark = files.sparkSession
     # rows are met again by a key of all they hold, so null ids and paths and repeated ids do no harm
     rows = files.select("id", "path", "text", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("\x00")), F.coalesce("path", F.lit("\x00")), F.coalesce("text", F.lit("\x00"))).alias("key"))
-    is_file = F.col("path").rlike(FILE_NAME)
     windows = lambda lines: F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(CUE)), lambda x: F.transform(F.regexp_extract_all(x, F.lit(HEADER), F.lit(1)), F.trim)))
     # document frequencies come from the cued headers; what is compared does not depend on cues
-    cued = rows.where(F.col("text").rlike(CUE)).select(F.explode(F.concat(windows(F.split("text", "\n", -1)), F.when(is_file | (F.length("text") <= 2000), F.array("text")).otherwise(F.array()))).alias("header"))
+    cued = rows.where(F.col("text").rlike(CUE)).select(F.explode(windows(F.split("text", "\n", -1))).alias("header"))
     different = stored(cued.distinct().withColumn("hid", F.xxhash64("header")), "cued")
     terms = different.select("hid", F.explode(_terms(F.col("header"))).alias("term")).groupBy("hid", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, name string, text string")
@@ -149,12 +149,15 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, match:
     best = stored(best, "best")
     discard(different, idf)
     matched = headers.drop("header").join(best, "hid")
-    per_row = matched.where(~F.col("all")).groupBy("key").agg(F.max("cosine").alias("cosine"), F.count(F.lit(1)).alias("headers"))
-    top = matched.where(~F.col("all")).join(per_row, ["key", "cosine"]).groupBy("key", "cosine", "headers").agg(F.min("name").alias("name"))
-    named = matched.where(F.col("all") & (F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("cosine") >= whole)) & F.col("path").contains("/"))
+    # "all rights reserved" stands in texts under public licences too, so those go first
+    matched = matched.withColumn("public", ~F.startswith("name", F.lit("LicenseRef")))
+    first = F.max(F.struct("public", "cosine")).alias("first")
+    per_row = matched.where(~F.col("all")).groupBy("key").agg(first, F.count(F.lit(1)).alias("headers")).select("key", "first.*", "headers")
+    top = matched.where(~F.col("all")).join(per_row, ["key", "public", "cosine"]).groupBy("key", "cosine", "headers").agg(F.min("name").alias("name"))
+    named = matched.where((F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("all") & (F.col("cosine") >= whole))) & F.col("path").contains("/"))
     directory = named.withColumn("directory", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    high = directory.groupBy("directory").agg(F.max("cosine").alias("cosine"))
-    granted = directory.join(high, ["directory", "cosine"]).groupBy("directory").agg(F.min("name").alias("granted"))
+    high = directory.groupBy("directory").agg(first).select("directory", "first.*")
+    granted = directory.join(high, ["directory", "public", "cosine"]).groupBy("directory").agg(F.min("name").alias("granted"))
     # every directory of the corpus with each of its ancestors, once; then the nearest that grants a licence
     home = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     homes = rows.select(home.alias("home")).where("home is not null").distinct()

@@ -46,7 +46,7 @@ ORACLES = {"op3_url_templates": URLS, "op6_jaccard_join": JACCARD, "op9_substrin
 
 
 def _licenses() -> str:
-    from .licenses import CUE, HEADER, MATCH, TEMPLATES, WHOLE
+    from .licenses import CUE, FILE_NAME, HEADER, MATCH, TEMPLATES, WHOLE
 
     values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
     terms = r"regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\.[0-9]+)?')"
@@ -56,8 +56,7 @@ with files as (
 ), cued as (
   select * from files where regexp_matches(text, '{CUE}')
 ), heads as (
-  select trim(unnest(regexp_extract_all(text, '{HEADER}', 1))) as header from cued
-  union select text from cued where length(text) <= 2000
+  select distinct trim(unnest(regexp_extract_all(text, '{HEADER}', 1))) as header from cued
 ), units as (
   select doc_id, path, trim(unnest(string_split(text, chr(10)))) as header, false as entire from files
   union select doc_id, path, trim(unnest(regexp_extract_all(text, '{HEADER}', 1))), false from cued
@@ -92,11 +91,11 @@ with files as (
 ), top as (
   select doc_id, path, cosine, name, headers from (
     select doc_id, path, cosine, name, row_number() over w as r, count(*) over (partition by doc_id, path) as headers from matched where not entire
-    window w as (partition by doc_id, path order by cosine desc, name)) where r = 1
+    window w as (partition by doc_id, path order by starts_with(name, 'LicenseRef'), cosine desc, name)) where r = 1
 ), granted as (
   select directory, name as granted from (
-    select regexp_extract(path, '^(.*)/[^/]*$', 1) as directory, name, row_number() over (partition by regexp_extract(path, '^(.*)/[^/]*$', 1) order by cosine desc, name) as r
-    from matched where entire and cosine >= {WHOLE}) where r = 1
+    select regexp_extract(path, '^(.*)/[^/]*$', 1) as directory, name, row_number() over (partition by regexp_extract(path, '^(.*)/[^/]*$', 1) order by starts_with(name, 'LicenseRef'), cosine desc, name) as r
+    from matched where regexp_matches(path, '{FILE_NAME}') or entire and cosine >= {WHOLE}) where r = 1
 ), homes as (
   select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as home from files
 ), inherited as (

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -416,6 +417,64 @@ def test_licenses(spark):
     assert len(got) == 10 and licenses.scan(df.limit(0)).count() == 0
 
 
+#: Public licence texts (fixed values).
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+BSD_TEXT = """BSD 3-Clause License
+
+Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+"""
+ISC_TEXT = """ISC License
+
+Copyright (c) 2020, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies.
+"""
+
+
+def test_real_licence_files_license_their_directories(spark):
+    rows = [
+        (1, "a/LICENSE", MIT_TEXT), (2, "a/y.py", "x = 1"), (3, "a/src/deep/x.py", None), (4, "b/COPYING.txt", BSD_TEXT), (5, "b/z.c", "int z;"), (6, "b/sub/LICENSE", ISC_TEXT),
+        (7, "b/sub/w.c", ""), (8, "c/q.py", "y = 2"), (9, "a/src/own.py", "# Released under the ISC license\nimport numbers\n\n\ndef half(value):\n    return value / 2 if isinstance(value, numbers.Real) else None\n"), (10, "d/LICENSE", "no terms here"), (11, "d/e.py", "z"),
+    ]
+    got = {r["id"]: (r["license"], r["basis"], r["from_directory"]) for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert got[1][:2] == ("MIT", "header") and got[4][:2] == ("BSD-3-Clause", "header") and got[6][:2] == ("ISC", "header")
+    assert got[2] == ("MIT", "directory", "a") and got[3] == ("MIT", "directory", "a") and got[5] == ("BSD-3-Clause", "directory", "b") and got[7] == ("ISC", "directory", "b/sub")
+    assert got[8] == (None, "none", None) and got[9][:2] == ("ISC", "header") and got[10][1] == got[11][1] == "none"
+
+
+def test_urls_that_share_hundreds_of_segments(spark):
+    shared = "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    data = [f"http://deep.org/{shared}/{end}" for end in ("one", "two", "two/more", "")] + [f"http://deep.org/{shared}"]
+    data += [f"http://wide.org/{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}x/page" for i in range(100)]
+    began = time.time()
+    rows = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(data)), "page_id long, url string")).collect()}
+    assert [rows[i]["template"] for i in range(5)] == [f"/{shared}/one", f"/{shared}/two", f"/{shared}/two/more", f"/{shared}/", f"/{shared}"]
+    assert {rows[i]["template"] for i in range(5, 105)} == {"/*/page"}
+    assert time.time() - began < 60
+
+
+def test_short_items_have_their_budget(spark):
+    item = "one two three four five six seven"
+    leaks = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [f"x {item} y", "x one two three four FIVE six eight y", "x one two nine four five six seven y", "one two nine ten five six seven", "three two one"]
+    got = {(r["doc_id"], r["distance"]) for r in decontaminate.find_leaks(docs(spark, texts), leaks).collect()}
+    assert decontaminate.budget(7, 15) == 1 and got == {(0, 0), (1, 1), (2, 1)}
+
+
 def test_licenses_without_licence_words_and_of_any_length(spark):
     bsd, mit = "Redistribution and use in source and binary forms", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
     rows = [
@@ -434,23 +493,20 @@ def brute_cosine(files):
     import re
 
     terms = lambda s: collections.Counter(re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)?", s.lower()))
-    heads = {h.strip(" ") for _, t in files if t for h in re.findall(licenses.HEADER, t)} | {t for _, t in files if t and re.search(licenses.CUE, t) and len(t) <= 2000}
+    heads = {h.strip(" ") for _, t in files if t for h in re.findall(licenses.HEADER, t)}
     df = collections.Counter(x for h in heads for x in terms(h)) + collections.Counter(x for _, t in licenses.TEMPLATES for x in terms(t))
     n = len(heads) + len(licenses.TEMPLATES)
     idf = {x: math.log((n + 1) / (k + 0.5)) for x, k in df.items()}
     vec = lambda s: {x: k * idf[x] for x, k in terms(s).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    out = {}
+    known, out = [(name, vec(text)) for name, text in licenses.TEMPLATES], {}
     for i, t in files:
-        best = (0.0, "")
+        found = []
         for h in {h.strip(" ") for h in re.findall(licenses.HEADER, t or "")}:
             v = vec(h)
-            for name, text in licenses.TEMPLATES:
-                w = vec(text)
-                c = round(sum(v[x] * w.get(x, 0) for x in v) / (norm(v) * norm(w)), 6) if v else 0
-                if c >= licenses.MATCH and (-c, name) < (-best[0], best[1] or "~"):
-                    best = (c, name)
-        out[i] = best[1] or None
+            tried = [(-round(sum(v[x] * w.get(x, 0) for x in v) / (norm(v) * norm(w)), 6) if v else 0, name) for name, w in known]
+            found += [(best[1].startswith("LicenseRef"), *best) for best in [min(tried)] if -best[0] >= licenses.MATCH]
+        out[i] = min(found)[2] if found else None
     return out
 
 
