@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import distance, inside
+from ..sources.scratch import stored
 from .events import directed_mouthing, double_occupancy, mouthing, spawning
 from .intervals import marked
-from .pairs import min_distance, ordered_pairs
-from .presence import in_roi, nfish_frame, nfish_pipe
+from .pairs import ordered_pairs
+from .presence import in_roi, nfish_frame, nfish_pipe, seen
 from .sequences import windowed
 
 EVENTS = ["mouthing_event_id", "double_occupancy_event_id", "spawning_event_id"]
 
 
+def frame_facts(pose: DataFrame, roi: DataFrame, near: tuple[str, str] = ("nose", "stripe4"), bodypart: str = "stripe1") -> DataFrame:
+    """(clip, frame, nfish_frame, nfish_pipe, min_dist) of every frame, as ``nfish_frame``, ``nfish_pipe`` and ``min_distance`` give them, in one reading of the pose.
+
+    A fish's points of interest become one row, a frame's fish one array; pairs are formed in place. Of a point that is there twice the larger coordinates count.
+    """
+    at = lambda part, c: F.max(F.when(F.col("bodypart") == part, F.col(c)))
+    point = lambda part: F.struct(at(part, "x").alias("x"), at(part, "y").alias("y"))
+    fish = pose.groupBy("clip", "frame", "individual").agg(F.bool_or(seen()).alias("here"), point(near[0]).alias("a"), point(near[1]).alias("b"), point(bodypart).alias("c"))
+    fish = fish.join(roi.select("clip", "roi_x", "roi_y", "roi_r"), "clip", "left")
+    held = inside(distance(F.col("c.x") - F.col("roi_x"), F.col("c.y") - F.col("roi_y")), "roi_r", True)
+    rows = fish.groupBy("clip", "frame").agg(F.count_if("here").alias("nfish_frame"), F.count_if(held).alias("_n"), F.max("roi_r").alias("_r"), F.collect_list(F.struct("individual", "a", "b")).alias("f"))
+    pairs = F.flatten(F.transform("f", lambda p: F.transform(F.filter("f", lambda q: q["individual"] != p["individual"]), lambda q: distance(p["a"]["x"] - q["b"]["x"], p["a"]["y"] - q["b"]["y"]))))
+    return rows.select("clip", "frame", "nfish_frame", F.when(F.col("_r").isNotNull(), F.col("_n")).alias("nfish_pipe"), F.array_min(pairs).alias("min_dist"))
+
+
 def frame_features(pose: DataFrame, roi: DataFrame, quivering: DataFrame | None = None) -> DataFrame:
     """One row a frame: counts, event ids and the annotation flag.
 
-    Frames that only the annotations name are kept, with NULL features.
+    Frames that only the annotations name are kept, with NULL features. What a frame shows is stored once and read by each kind of event.
     """
-    d, n = min_distance(pose), nfish_pipe(pose, roi)
+    facts = stored(frame_facts(pose, roi), "facts")
     on = ["clip", "frame"]
-    out = nfish_frame(pose).join(n, on, "full_outer")
-    for part in (mouthing(pose, distances=d), double_occupancy(pose, roi, counts=n), spawning(pose, distances=d)):
-        out = out.join(part, on, "full_outer")
+    out = facts.select(*on, "nfish_frame", "nfish_pipe")
+    for part in (mouthing(pose, distances=facts), double_occupancy(pose, roi, counts=facts), spawning(pose, distances=facts)):
+        out = out.join(part, on)
     return out.withColumn("quivering", F.lit(False)) if quivering is None else out.join(quivering, on, "full_outer")
 
 
