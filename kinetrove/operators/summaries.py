@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import mean_heading
+from .quantiles import group_quantiles
 
 
 def lengths(rows: DataFrame, length, prefix: str, std: bool = True, by: list[str] | None = None) -> DataFrame:
@@ -33,9 +34,10 @@ def annotation_counts(annotations: DataFrame, trials: list[str]) -> DataFrame:
 
 
 def annotation_quartiles(annotations: DataFrame) -> DataFrame:
-    length = F.col("temporal_segment_end") - F.col("temporal_segment_start")
-    q = annotations.groupBy("trial").agg(F.percentile(length, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(length).alias("n"))
-    return q.select("trial", "n", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    """(trial, n, q25, q50, q75) of annotation lengths; a trial without a whole annotation has n = 0."""
+    length = annotations.select("trial", (F.col("temporal_segment_end") - F.col("temporal_segment_start")).alias("length"))
+    found = group_quantiles(length, ["trial"], "length", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    return length.select("trial").distinct().join(found, "trial", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
 def rmse_per_bodypart(errors: DataFrame) -> DataFrame:

@@ -7,22 +7,15 @@ picked by place within the line. Files may differ in their columns. Nothing is i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
-from .keys import bare
+from .keys import bare, cells
 
 TRACKER = ["scorer", "individuals", "bodyparts", "coords"]
 
 
-def _cells(line: Column) -> Column:
-    """The cells of a line; commas within double quotes do not part them."""
-    quoted = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    plain = F.transform(quoted, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-    return F.when(F.contains(line, F.lit('"')), plain).otherwise(F.split(line, ",", -1))
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("value"))
     return lines.where("value <> ''").withColumn("name", F.substring_index(F.substring_index("value", ",", 1), '"', -1))
@@ -30,7 +23,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _tree(lines: DataFrame, levels: list[str], index: int) -> DataFrame:
     """(path, place, levels...): each column's names; places count from 1."""
-    heads = lines.where(F.col("name").isin(levels)).select("path", "name", F.posexplode(_cells(F.col("value"))).alias("at", "cell")).where(F.col("at") >= index)
+    heads = lines.where(F.col("name").isin(levels)).select("path", "name", F.posexplode(cells(F.col("value"))).alias("at", "cell")).where(F.col("at") >= index)
     return heads.groupBy("path", (F.col("at") + 1).alias("place")).agg(*[F.max(F.when(F.col("name") == x, F.col("cell"))).alias(x) for x in levels])
 
 
@@ -41,10 +34,10 @@ def read_headed(spark: SparkSession, path: str, levels: list[str], index: list[s
     """
     lines = _lines(spark, path)
     columns = _tree(lines, levels, len(index)).groupBy("path").agg(F.collect_list(F.struct("place", *levels)).alias("columns"))
-    rows = lines.where(~F.col("name").isin([*levels, index[0]])).select("path", _cells(F.col("value")).alias("cells")).join(columns, "path")
+    rows = lines.where(~F.col("name").isin([*levels, index[0]])).select("path", cells(F.col("value")).alias("cells")).join(columns, "path")
     held = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(index)]
-    cells = rows.select("path", *held, "cells", F.explode("columns").alias("c")).select("path", *index, "c.*", F.get("cells", F.col("c.place") - 1).try_cast("double").alias("value"))
-    return cells.select("path", *index, *levels, schema.missing(F.col("value")).alias("value"))
+    melted = rows.select("path", *held, "cells", F.explode("columns").alias("c")).select("path", *index, "c.*", F.get("cells", F.col("c.place") - 1).try_cast("double").alias("value"))
+    return melted.select("path", *index, *levels, schema.missing(F.col("value")).alias("value"))
 
 
 def read_tracker(spark: SparkSession, path: str, likelihood: bool = False, individual: str = schema.INDIVIDUALS[0]) -> DataFrame:
@@ -58,7 +51,7 @@ def read_tracker(spark: SparkSession, path: str, likelihood: bool = False, indiv
     place = lambda coord: F.max(F.when(F.col("coords") == coord, F.col("place"))).alias(coord)
     points = tree.groupBy("path", F.coalesce("individuals", F.lit(individual)).alias("individual"), F.col("bodyparts").alias("bodypart")).agg(place("x"), place("y"), place("likelihood"))
     points = points.groupBy("path").agg(F.collect_list(F.struct("individual", "bodypart", "x", "y", "likelihood")).alias("points"))
-    rows = lines.where(~F.col("name").isin(TRACKER)).select("path", _cells(F.col("value")).alias("cells")).join(points, "path")
+    rows = lines.where(~F.col("name").isin(TRACKER)).select("path", cells(F.col("value")).alias("cells")).join(points, "path")
     file = F.element_at(F.split("path", "/"), -1)
     folder = F.regexp_extract("path", "/clip=([^/]*)/", 1)
     clip = F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_extract(bare(file), r"^(.*?)(?:DLC_.*)?$", 1))
@@ -69,15 +62,15 @@ def read_tracker(spark: SparkSession, path: str, likelihood: bool = False, indiv
 
 def read_errors(spark: SparkSession, path: str, metric: str = "rmse") -> DataFrame:
     """(individual, bodypart, rmse) of an error table with header lines scorer, individuals, body_parts and metric, a row an image."""
-    cells = read_headed(spark, path, ["scorer", "individuals", "body_parts", "metric"], ["image"]).where(F.col("metric") == metric)
-    return cells.select(F.col("individuals").alias("individual"), F.col("body_parts").alias("bodypart"), F.col("value").alias("rmse"))
+    found = read_headed(spark, path, ["scorer", "individuals", "body_parts", "metric"], ["image"]).where(F.col("metric") == metric)
+    return found.select(F.col("individuals").alias("individual"), F.col("body_parts").alias("bodypart"), F.col("value").alias("rmse"))
 
 
 def read_collated(spark: SparkSession, path: str) -> DataFrame:
     """A collated sheet (header lines individuals, bodyparts, coords; index video_name, segment_id, frame) as (clip, segment_id, frame, individual, bodypart, x, y)."""
-    cells = read_headed(spark, path, ["individuals", "bodyparts", "coords"], ["video_name", "segment_id", "frame"])
+    found = read_headed(spark, path, ["individuals", "bodyparts", "coords"], ["video_name", "segment_id", "frame"])
     keys = [F.col("video_name").alias("clip"), F.col("segment_id").cast("bigint").alias("segment_id"), F.col("frame").cast("bigint").alias("frame"), F.col("individuals").alias("individual"), F.col("bodyparts").alias("bodypart")]
-    return cells.groupBy(*keys).agg(*[F.max(F.when(F.col("coords") == c, F.col("value"))).alias(c) for c in ("x", "y")])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("coords") == c, F.col("value"))).alias(c) for c in ("x", "y")])
 
 
 def write_headed(rows: DataFrame, path: str, index: list[str], columns: list[tuple[str, ...]], levels: list[str], index_line: bool = False, by: str | None = None) -> None:
@@ -88,10 +81,10 @@ def write_headed(rows: DataFrame, path: str, index: list[str], columns: list[tup
     heads = [[name, *[""] * (len(index) - 1), *[c[i] for c in columns]] for i, name in enumerate(levels)] + [[*index, *[""] * len(columns)]] * index_line
     quoted = lambda c: f'"{c}"' if "," in c else c
     text = [",".join(map(quoted, h)) for h in heads]
-    cells = F.concat(F.array(*[F.col(c).cast("string") for c in index]), F.transform("v", lambda x: F.coalesce(x.cast("string"), F.lit(""))))
+    row = F.concat(F.array(*[F.col(c).cast("string") for c in index]), F.transform("v", lambda x: F.coalesce(x.cast("string"), F.lit(""))))
     order = [F.col(c).alias(f"_{i}") for i, c in enumerate(index)]
     kept = [by] if by else []
-    lines = rows.select(*kept, F.lit(len(text)).alias("_rank"), *order, F.array_join(cells, ",").alias("value"))
+    lines = rows.select(*kept, F.lit(len(text)).alias("_rank"), *order, F.array_join(row, ",").alias("value"))
     files = rows.select(*kept).distinct() if by else rows.sparkSession.range(1).select()
     head = files.select(*kept, F.posexplode(F.array(*map(F.lit, text))).alias("_rank", "value")).select(*kept, "_rank", *[F.lit(None).cast(rows.schema[c].dataType).alias(f"_{i}") for i, c in enumerate(index)], "value")
     both = head.unionByName(lines)

@@ -1,4 +1,4 @@
-"""Clip names: trial, frame range and the pattern of valid names."""
+"""Clip names (trial, frame range and the pattern of valid names), and the cells of a CSV line."""
 
 from __future__ import annotations
 
@@ -29,3 +29,10 @@ def is_clip(key: Column) -> Column:
 
 def without(key: Column, part: str) -> Column:
     return ~F.contains(key, F.lit(part))
+
+
+def cells(line: Column) -> Column:
+    """The cells of a line; commas within double quotes do not part them."""
+    quoted = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    plain = F.transform(quoted, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), plain).otherwise(F.split(line, ",", -1))

@@ -9,14 +9,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schema
-from .keys import bare
+from .keys import bare, cells
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -92,19 +91,17 @@ def read_annotations(spark: SparkSession, path: str, form: str = "csv") -> DataF
 
 
 def read_features(spark: SparkSession, paths: str | list[str], fields: T.StructType) -> DataFrame:
-    """Feature CSVs of many clips as one table, by column name, missing columns NULL.
+    """Feature CSVs of many clips as one table, by column name, missing columns and empty cells NULL.
 
-    Files may differ in their columns and in the order of them: those with the same first line are read together.
-    What reaches the driver are the first lines and the names of the files, which Spark lists there anyway.
+    Files may differ in their columns and in the order of them: each file's lines meet its first line by a join, and cells are picked by the names there. No
+    file's name or line reaches the driver but by Spark's own listing. A line that repeats its file's first one is no row.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths)
-    first = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")).where(F.col("_metadata.file_block_start") == 0)
-    heads = first.groupBy("path").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head")
-    out = spark.createDataFrame([], fields)
-    for row in heads.collect():
-        files = spark.read.csv([unquote(p) for p in row["paths"]], header=True)
-        out = out.unionByName(files.select(*[(F.col(f"`{f.name}`") if f.name in files.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields.fields]))
-    return out
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value")).where("value <> ''")
+    first = lines.where("block = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    rows = lines.join(first, "path").where("value <> head").select(cells(F.col("head")).alias("names"), cells(F.col("value")).alias("cells"))
+    cell = lambda name: F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)  # noqa: E731  past the end or before the start: NULL
+    return rows.select(*[F.when(F.array_contains("names", f.name) & (cell(f.name) != ""), cell(f.name)).cast(f.dataType).alias(f.name) for f in fields.fields])
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, single: bool = False) -> None:
