@@ -18,7 +18,7 @@ TRACKER = ["scorer", "individuals", "bodyparts", "coords"]
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("value"))
-    return lines.where("value <> ''").withColumn("name", F.substring_index(F.substring_index("value", ",", 1), '"', -1))
+    return lines.where("value <> ''").withColumn("name", F.replace(F.substring_index("value", ",", 1), F.lit('"'), F.lit("")))
 
 
 def _tree(lines: DataFrame, levels: list[str], index: int) -> DataFrame:

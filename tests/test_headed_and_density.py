@@ -40,7 +40,7 @@ def test_tracker_files_come_back_whole_however_they_are_split(spark, tmp_path):
 
 def test_files_with_other_columns_quotes_and_line_ends(spark, tmp_path):
     (tmp_path / "aDLC_dlcrnet.csv").write_bytes(b'scorer,m,m,m\r\nbodyparts,nose,nose,nose\r\ncoords,y,x,likelihood\r\n0,1.5,2.5,0.9\r\n1,,NaN,\r\n')
-    (tmp_path / "b.csv").write_text('scorer,"m, 2","m, 2"\nindividuals,individual3,individual3\nbodyparts,stripe1,stripe1\ncoords,x,y\n7,3.0,"4.0"\n\n')
+    (tmp_path / "b.csv").write_text('"scorer","m, 2","m, 2"\nindividuals,individual3,individual3\nbodyparts,stripe1,stripe1\ncoords,x,y\n7,3.0,"4.0"\n\n')
     got = sorted(map(tuple, headed.read_tracker(spark, str(tmp_path)).collect()), key=str)
     assert got == [("a", 0, "individual1", "nose", 2.5, 1.5), ("a", 1, "individual1", "nose", None, None), ("b", 7, "individual3", "stripe1", 3.0, 4.0)]
     cells = headed.read_headed(spark, str(tmp_path / "b.csv"), headed.TRACKER, ["frame"]).collect()
