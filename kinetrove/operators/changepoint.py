@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, stored
+from ..sources.scratch import discard, each_row, stored
 
 CHUNK, UNIT = 1 << 16, 1 << 20
 NEVER = 1 << 62
@@ -93,7 +93,7 @@ def changepoints(values: np.ndarray, min_size: int = 2, penalty: float = 3.0) ->
 def _forward(min_size: int, penalty: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 state = opening() if r["n"] is None else State(r["n"], r["h"], r["run"], r["value"], *(np.array(r[c], np.int64) for c in ("place", "cost", "hits", "until")))
                 frames = [x["frame"] for x in r["rows"] or []]
                 after, choice, before = advance(state, np.array([x["hit"] for x in r["rows"] or []], np.int64), min_size, penalty)
@@ -105,7 +105,7 @@ def _forward(min_size: int, penalty: int):
 
 def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in each_row(batch):
             first, edge, held = r["first"], r["edge"], r["edge_hits"]
             at = first + len(r["frames"])
             starts, cuts, segments = [], [], []

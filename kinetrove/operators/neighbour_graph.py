@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, stored
+from ..sources.scratch import discard, each_row, stored
 from .overlaps import overlapping
 from .projection import principal_plane
 
@@ -85,7 +85,7 @@ def nearest_rows(rows: DataFrame, columns: list[str], k: int, size: int = BLOCK)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 x = np.array(r["v"]).reshape(-1, width)
                 _, far = _nearest(x, x, k, True)
                 bound = far[:, k - 1] if len(x) > k else np.full(len(x), np.inf)
@@ -102,7 +102,7 @@ def nearest_rows(rows: DataFrame, columns: list[str], k: int, size: int = BLOCK)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in each_row(batch):
                 x, y = (np.array(r[c]).reshape(-1, width) for c in ("v", "other_v"))
                 node, near = np.array(r["node"]), np.array(r["other_node"])
                 order = np.argsort(near, kind="stable")  # ties by smaller node

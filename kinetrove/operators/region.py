@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, stored
+from ..sources.scratch import discard, each_row, stored
 from .components import components
 
 TILE = 32
@@ -75,8 +75,8 @@ def tile_areas(mask: DataFrame, width: int, height: int, on: bool, tile: int = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            for r in each_row(batch):
+                rows = []
                 grid = np.zeros(tile * tile, bool)
                 grid[np.array(r["set"] or [], np.int64)] = True
                 grid = (grid if on else ~grid).reshape(tile, tile)
@@ -88,7 +88,8 @@ def tile_areas(mask: DataFrame, width: int, height: int, on: bool, tile: int = T
                 names, first = np.unique(label[cells], return_index=True)
                 for name, some in zip(names.tolist(), np.split(cells, first[1:])):
                     rows.append((r["clip"], r["tx"], r["ty"], (r["ty"] * across + r["tx"]) * tile * tile + name, some.tolist()))
-            if rows:
+                if not rows:
+                    continue
                 kinds = pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["clip", "tx", "ty", "node", "cells"])
 

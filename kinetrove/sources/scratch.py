@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .stores import work_folder
@@ -21,3 +24,9 @@ def discard(*frames: DataFrame) -> None:
         for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
+
+
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a record batch as dicts, one at a time: rows may hold long arrays."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
