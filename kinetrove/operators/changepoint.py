@@ -1,8 +1,8 @@
 """Threshold events by penalised changepoints (l2 cost), range by range.
 
 The best partition of a clip ends, at every frame, in a segment from one of the frames before it, so the search runs along the clip. It is
-cut into ranges of ``CHUNK`` frames: a round takes the next range of every clip, a clip's range being one small task, and hands on the clip's state,
-which holds only the segment starts that can still win. A second row of rounds goes back over the stored choices and cuts the ranges into the pieces of
+cut into ranges of about ``CHUNK`` of its rows: a round takes the next range of every clip that has one, a clip's range being one small task, and hands on the
+clip's state, which holds only the segment starts that can still win. So there are as many rounds as the longest clip has ranges, whatever the frames' numbers. A second row of rounds goes back over the stored choices and cuts the ranges into the pieces of
 segments. So a task holds one range, whatever a clip's length, and a lost executor repeats one range.
 
 Values are hits (0 or 1), so a segment of m frames with g hits costs g * (m - g) / m; costs are counted in steps of 1 / ``UNIT``, in whole
@@ -95,8 +95,8 @@ def _forward(min_size: int, penalty: int):
         for batch in batches:
             for r in each_row(batch):
                 state = opening() if r["n"] is None else State(r["n"], r["h"], r["run"], r["value"], *(np.array(r[c], np.int64) for c in ("place", "cost", "hits", "until")))
-                frames = [x["frame"] for x in r["rows"] or []]
-                after, choice, before = advance(state, np.array([x["hit"] for x in r["rows"] or []], np.int64), min_size, penalty)
+                frames = [x["frame"] for x in r["rows"]]
+                after, choice, before = advance(state, np.array([x["hit"] for x in r["rows"]], np.int64), min_size, penalty)
                 out = {"clip": r["clip"], "first": state.n, "frames": frames, "choice": choice.tolist(), "choice_hits": before.tolist(), **{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in after._asdict().items()}}
                 yield pa.RecordBatch.from_pylist([out], schema=_arrow(FORWARD))
 
@@ -129,34 +129,48 @@ def _arrow(fields: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in fields.split(", "))])
 
 
+def _packed(rows: DataFrame, chunk: int) -> DataFrame:
+    """(clip, round, rows): the rows (clip, frame, hit) of each clip in ranges of about ``chunk`` rows (fewer than twice as many), numbered from 0 along the clip.
+
+    Rows are counted by stretches of ``chunk`` frames, and stretches with few rows go into one range: gaps between frames make no more ranges.
+    """
+    rows = rows.withColumn("stretch", F.floor(F.col("frame") / chunk))
+    along = Window.partitionBy("clip").orderBy("stretch")
+    counts = rows.groupBy("clip", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    full = F.floor(F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / chunk)
+    counts = counts.select("clip", "stretch", full.alias("full"))
+    rounds = counts.select("clip", "stretch", (F.dense_rank().over(Window.partitionBy("clip").orderBy("full")) - 1).alias("round"))
+    return rows.join(rounds, ["clip", "stretch"]).groupBy("clip", "round").agg(F.sort_array(F.collect_list(F.struct("frame", "hit"))).alias("rows"))
+
+
 def threshold_events(rows: DataFrame, value: str, thresh: float, min_size: int = 2, penalty: float = 3.0, chunk: int = CHUNK) -> DataFrame:
     """(clip, frame, event_id): segments of ``value < thresh`` whose share of hits is above one half, numbered from 0; -1 elsewhere.
 
     A missing value is no hit. A clip of fewer than ``min_size`` frames is one segment.
     """
     hit = F.coalesce(F.col(value) < thresh, F.lit(False)).cast("int").alias("hit")
-    packed = rows.select("clip", "frame", hit).groupBy("clip", F.floor(F.col("frame") / chunk).alias("range")).agg(F.sort_array(F.collect_list(F.struct("frame", "hit"))).alias("rows"))
-    packed = stored(packed, "ranges")  # a row holds at most ``chunk`` frames
-    ranges = sorted(r["range"] for r in packed.select("range").distinct().collect())  # as many as a clip has ranges
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = stored(_packed(rows.select("clip", "frame", hit), chunk).repartition(parts, "clip", "round"), "ranges")
+    last = packed.agg(F.max("round")).first()[0]
+    if last is None:
+        return rows.select("clip", "frame").limit(0).withColumn("event_id", F.lit(-1).cast("bigint"))
     kept = ["n", "h", "run", "value", "place", "cost", "hits", "until"]
-    state, passed = None, []
-    for k in ranges:
-        here = packed.where(F.col("range") == k).select("clip", "rows")
-        if state is None:
+    passed = []
+    for k in range(last + 1):  # as many as the longest clip has ranges; a clip is out after its last one
+        here = packed.where(F.col("round") == k).select("clip", "rows")
+        if not passed:
             here = here.select("*", *[F.lit(None).cast(f.split(" ")[1]).alias(f.split(" ")[0]) for f in FORWARD.split(", ")[5:]])
         else:
-            here = here.join(state, "clip", "full_outer")
-        done = stored(here.select("clip", "rows", *kept).mapInArrow(_forward(min_size, round(penalty * UNIT)), FORWARD), "forward")
-        passed.append(done)
-        state = done.select("clip", *kept)
-    if state is None:
-        return rows.select("clip", "frame").limit(0).withColumn("event_id", F.lit(-1).cast("bigint"))
-    edge, cut = state.select("clip", F.col("n").alias("edge"), F.col("h").alias("edge_hits")), []
+            here = here.join(passed[-1].select("clip", *kept), "clip")
+        passed.append(stored(here.mapInArrow(_forward(min_size, round(penalty * UNIT)), FORWARD), "forward"))
+    cut = []
     for done in reversed(passed):
-        there = done.select("clip", "first", "frames", "choice", "choice_hits").join(edge, "clip")
+        there = done.select("clip", "first", "frames", "choice", "choice_hits", "n", "h")
+        # a clip's way back begins at its last frame, and in earlier ranges where the later one left it
+        later = cut[-1].select("clip", "edge", "edge_hits") if cut else None
+        there = there.join(later, "clip", "left") if cut else there.withColumns({c: F.lit(None).cast("bigint") for c in ("edge", "edge_hits")})
+        there = there.withColumns({"edge": F.coalesce("edge", "n"), "edge_hits": F.coalesce("edge_hits", "h")}).drop("n", "h")
         cut.append(stored(there.mapInArrow(_backward, BACK), "pieces"))
-        # clips that begin in this range are at 0 from here on and meet no earlier one
-        edge = cut[-1].select("clip", "edge", "edge_hits")
     out = cut[0]
     for more in cut[1:]:
         out = out.unionByName(more)
