@@ -1,8 +1,8 @@
 """A plane for many columns by a weighted neighbour graph: near rows attract, sampled others repel.
 
-Rows are ordered along their first principal axis and packed into blocks. A row's k-th nearest row in its own block bounds how far its
-neighbours can lie, so blocks are only compared with those whose stretch of the axis is within reach, found by an overlap join;
-the k nearest are exact. Each row's distances become weights by a bandwidth of its own, the two directions of a
+Rows are dealt to cells, boxes of all columns whose bounds are fitted on some rows, and packed into blocks, smaller boxes. A row's k-th nearest
+row in its own block bounds how far its neighbours can lie, so it is compared with the rows of those blocks alone whose box it reaches: a few, however many
+rows there are. The k nearest are exact. Each row's distances become weights by a bandwidth of its own, the two directions of a
 link are united, and epochs of attraction along links and repulsion from hashed samples move the rows, each epoch one stored table.
 No table of all rows reaches the driver or a single task.
 """
@@ -20,104 +20,194 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, each_row, stored
-from .overlaps import overlapping
+from ..sources.scratch import discard, stored
 from .projection import principal_plane
 
 BLOCK = 1024
 #: The curve of attraction for rows that may come as near as 0.1 (fixed values).
 CURVE_A, CURVE_B = 1.577, 0.895
-PACKED = "block long, part int, first long, n int, lo double, hi double, node array<long>, v array<double>"
-
-
-def _pack(width: int, size: int):
-    """Runs of about ``size`` rows (node, axis, v) of a sorted partition, one row each; a short last run joins the one before."""
+#: Cells at most, rows a cell in blocks, and rows that the cells are fitted on at most; the neighbours do not depend on them.
+CELLS, BLOCKS_A_CELL, FITTED = 1024, 16, 1 << 15
+PACKED = "cell int, block long, lo array<double>, hi array<double>, node array<long>, v array<double>, bound array<double>"
+ASKED = "other long, node array<long>, v array<double>, bound array<double>"
+
+
+def _cells(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, cut) of a tree that halves rows ``depth`` times across their widest column, the children of i being 2i + 1 and 2i + 2."""
+    axis, cut, parts = [], [], [x]
+    for _ in range(depth):
+        halves = []
+        for some in parts:
+            c = int(np.ptp(some, 0).argmax()) if len(some) else 0
+            at = float(np.median(some[:, c])) if len(some) else 0.0
+            axis.append(c)
+            cut.append(at)
+            halves += [some[some[:, c] < at], some[some[:, c] >= at]]
+        parts = halves
+    return np.array(axis, np.int64), np.array(cut)
+
+
+def _cell_of(x: np.ndarray, axis: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    at, each = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(len(axis).bit_length()):  # a level of the tree each
+        at = 2 * at + 1 + (x[each, axis[at]] >= cut[at])
+    return at - len(axis)
+
+
+def _blocks(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The places of rows in blocks of at most ``size``, halved across the widest column."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        some = todo.pop()
+        if len(some) <= size:
+            out.append(some)
+            continue
+        values = x[some]
+        order = np.argpartition(values[:, np.ptp(values, 0).argmax()], len(some) // 2)
+        todo += [some[order[len(some) // 2 :]], some[order[: len(some) // 2]]]
+    return out
+
+
+def _row(batch: pa.RecordBatch, name: str, at: int) -> np.ndarray:
+    return batch.column(name)[at].values.to_numpy(zero_copy_only=False)
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([*values, np.zeros(0)]) if kind == pa.float64() else np.concatenate(values), kind))
+
+
+def _pack(width: int, size: int, k: int):
+    """The blocks of partitions (cell, node, v) sorted by cell: their bounding boxes, rows, and for each row the distance of its k-th nearest in the block."""
+
+    def emit(cell: int, held: list) -> Iterator[pa.RecordBatch]:
+        node, x = np.concatenate([n for n, _ in held]), np.concatenate([x for _, x in held])
+        for block, at in enumerate(_blocks(x, size)):
+            some = x[at]
+            _, far = _nearest(some, some, k, True)
+            bound = far[:, k - 1] if len(some) > k else np.full(len(some), np.inf)
+            values = pa.array([cell], pa.int32()), pa.array([cell << 32 | block], pa.int64()), _lists([some.min(0)], pa.float64()), _lists([some.max(0)], pa.float64()), _lists([node[at]], pa.int64()), _lists([some.ravel()], pa.float64()), _lists([bound], pa.float64())
+            yield pa.RecordBatch.from_arrays(list(values), [f.split(" ")[0] for f in PACKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held: list = []
-        done = 0
-
-        def emit(rows: list, block: int, first: int) -> pa.RecordBatch:
-            node, axis, v = zip(*rows)
-            values = [part << 32 | block], [part], [first], [len(rows)], [axis[0]], [axis[-1]], [list(node)], [[x for row in v for x in row]]
-            kinds = pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, kinds)], ["block", "part", "first", "n", "lo", "hi", "node", "v"])
-
+        held, last = [], -1
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns))
-            while len(held) >= 2 * size:
-                yield emit(held[:size], done // size, done)
-                held, done = held[size:], done + size
+            cell, node = batch.column("cell").to_numpy(), batch.column("node").to_numpy()
+            x = batch.column("v").flatten().to_numpy().reshape(-1, width)
+            edges = np.flatnonzero(np.diff(cell, prepend=last))
+            for at, to in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)]):
+                if at in edges and held:
+                    yield from emit(last, held)
+                    held = []
+                if to > at:
+                    held.append((node[at:to], x[at:to]))
+                    last = int(cell[at])
         if held:
-            yield emit(held, done // size, done)
+            yield from emit(last, held)
 
     return run
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(places in y, distances) of each row's first k rows of ``y``, nearest first, ties by place; a row itself is left out."""
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     square = np.zeros((len(x), len(y)))
     for c in range(x.shape[1]):
         gap = x[:, c][:, None] - y[:, c][None, :]
         square += gap * gap
+    return square
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places in y, distances) of each row's first k rows of ``y``, nearest first, ties by place; a row itself is left out."""
+    square = _squares(x, y)
     if own:
         np.fill_diagonal(square, np.inf)
     order = np.argsort(square, axis=1, kind="stable")[:, :k]
     return order, np.sqrt(np.take_along_axis(square, order, 1))
 
 
-def nearest_rows(rows: DataFrame, columns: list[str], k: int, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of rows (node: a whole number, axis, columns...) that differ in ``columns``: nodes (node, i) numbers them from 0 along the axis,
-    links (node, near, distance, rank) holds the k nearest of each by Euclidean distance, ties by smaller node; all, where there are fewer.
+def _gap(lo: Column, hi: Column, other_lo: Column, other_hi: Column, width: int) -> Column:
+    """The distance of two boxes."""
+    apart = [F.greatest(F.get(other_lo, F.lit(c)) - F.get(hi, F.lit(c)), F.get(lo, F.lit(c)) - F.get(other_hi, F.lit(c)), F.lit(0.0)) for c in range(width)]
+    return F.sqrt(reduce(add, [g * g for g in apart]))
+
+
+def nearest_rows(rows: DataFrame, columns: list[str], k: int, size: int = BLOCK) -> DataFrame:
+    """(node, near, distance, rank) of rows (node: a whole number, columns...) that differ in ``columns``: the k nearest of each by Euclidean distance,
+    ties by smaller node; all, where there are fewer.
     """
     width = len(columns)
-    ordered = rows.select("node", "axis", F.array(*columns).alias("v")).repartitionByRange("axis", "node").sortWithinPartitions("axis", "node")
-    packed = stored(ordered.mapInArrow(_pack(width, size), PACKED), "blocks")
-    counts = {r["part"]: r["n"] for r in packed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row a partition
-    starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part] = total
-        total += counts[part]
-    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else None
-    place = F.posexplode("node").alias("p", "node")
-    nodes = packed.select("part", "first", place).select("node", (start[F.col("part")] + F.col("first") + F.col("p")).alias("i")) if starts else rows.select("node", F.lit(0).cast("long").alias("i"))
-
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = rows.count()
+    depth = max(0, min(CELLS, n // (BLOCKS_A_CELL * size)).bit_length() - 1)
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(max(n, 1))) < FITTED).select(*columns).limit(2 * FITTED).collect() if depth else []  # about ``FITTED`` rows
+    axis, cut = _cells(np.array(some, float).reshape(-1, width), depth)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy().reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array(_cell_of(x, axis, cut), pa.int32()), batch.column("node"), batch.column("v")], ["cell", "node", "v"])
+
+    placed = rows.select("node", F.array(*columns).alias("v")).mapInArrow(place, "cell int, node long, v array<double>")
+    packed = stored(placed.repartition(1 << depth, "cell").sortWithinPartitions("cell").mapInArrow(_pack(width, size, k), PACKED), "blocks")
+    boxes = packed.select("cell", "block", "lo", "hi", F.array_max("bound").alias("reach"))
+    ends = [F.array(*[f(F.get(side, F.lit(c))) for c in range(width)]).alias(f"cell_{side}") for side, f in (("lo", F.min), ("hi", F.max))]
+    cells = packed.groupBy(F.col("cell").alias("other_cell")).agg(*ends)  # at most ``CELLS`` rows
+    met = boxes.drop("cell").crossJoin(F.broadcast(cells)).where(_gap(F.col("lo"), F.col("hi"), F.col("cell_lo"), F.col("cell_hi"), width) <= F.col("reach"))
+    others = boxes.select(F.col("cell").alias("other_cell"), F.col("block").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
+    met = met.join(others, "other_cell").where(_gap(F.col("lo"), F.col("hi"), F.col("other_lo"), F.col("other_hi"), width) <= F.col("reach"))
+    met = met.groupBy("block").agg(F.collect_list("other").alias("others"), F.flatten(F.collect_list(F.concat("other_lo", "other_hi"))).alias("ends"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's rows for each block whose box they reach."""
         for batch in batches:
-            for r in each_row(batch):
-                x = np.array(r["v"]).reshape(-1, width)
-                _, far = _nearest(x, x, k, True)
-                bound = far[:, k - 1] if len(x) > k else np.full(len(x), np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([float(bound.max())]), pa.array([bound.tolist()], pa.list_(pa.float64()))], ["block", "reach", "bound"])
-
-    reach = stored(packed.select("block", "v").mapInArrow(bounds, "block long, reach double, bound array<double>"), "bounds")
-    ends = packed.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    span = max((ends["hi"] or 0.0) - (ends["lo"] or 0.0), 1e-300)
-    lengths = packed.select("block", "lo", "hi")
-    asking = lengths.join(reach.select("block", F.least("reach", F.lit(2 * span)).alias("reach")), "block").select("block", (F.col("lo") - F.col("reach") - 1e-9 * span).alias("lo"), (F.col("hi") + F.col("reach") + 1e-9 * span).alias("hi"))
-    met = overlapping(asking, lengths.select(F.col("block").alias("other"), F.col("lo").alias("start"), F.col("hi").alias("stop")), [], span / max(1, ends["n"])).select("block", "other")
-    side = packed.select("block", "node", "v").join(reach.select("block", "bound"), "block")
-    both = met.join(side, "block").join(packed.select(F.col("block").alias("other"), F.col("node").alias("other_node"), F.col("v").alias("other_v")), "other")
+            for r in range(batch.num_rows):
+                x, node, bound = _row(batch, "v", r).reshape(-1, width), _row(batch, "node", r), _row(batch, "bound", r)
+                for other, box in zip(_row(batch, "others", r).tolist(), _row(batch, "ends", r).reshape(-1, 2, width)):
+                    apart = np.zeros(len(x))
+                    for c in range(width):
+                        g = np.maximum(np.maximum(box[0, c] - x[:, c], x[:, c] - box[1, c]), 0)
+                        apart += g * g
+                    at = np.flatnonzero(np.sqrt(apart) <= bound)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([other], pa.int64()), _lists([node[at]], pa.int64()), _lists([x[at].ravel()], pa.float64()), _lists([bound[at]], pa.float64())], ["other", "node", "v", "bound"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in each_row(batch):
-                x, y = (np.array(r[c]).reshape(-1, width) for c in ("v", "other_v"))
-                node, near = np.array(r["node"]), np.array(r["other_node"])
-                order = np.argsort(near, kind="stable")  # ties by smaller node
-                place, far = _nearest(x, y[order], k + 1, False)
-                place = near[order][place]
-                keep = (far <= np.array(r["bound"])[:, None]) & (place != node[:, None])
-                at = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(node[at[0]]), pa.array(place[at]), pa.array(far[at])], ["node", "near", "distance"])
-
+            for r in range(batch.num_rows):
+                x, y = _row(batch, "v", r).reshape(-1, width), _row(batch, "other_v", r).reshape(-1, width)
+                node, near, bound = _row(batch, "node", r), _row(batch, "other_node", r), _row(batch, "bound", r)
+                far = np.sqrt(_squares(x, y))
+                at = np.nonzero((far <= bound[:, None]) & (near[None, :] != node[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(node[at[0]]), pa.array(near[at[1]]), pa.array(far[at])], ["node", "near", "distance"])
+
+    asked = packed.select("block", "node", "v", "bound").join(met, "block").select("node", "v", "bound", "others", "ends").mapInArrow(ask, ASKED)
+    asked = stored(asked, "asked")
+    both = asked.join(packed.select(F.col("block").alias("other"), F.col("node").alias("other_node"), F.col("v").alias("other_v")), "other")
     found = both.select("node", "v", "bound", "other_node", "other_v").mapInArrow(search, "node long, near long, distance double")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("distance", "near"))
     links = stored(found.withColumn("rank", rank).where(F.col("rank") <= k), "nearest")
-    nodes = stored(nodes, "nodes")
-    discard(packed, reach)
-    return nodes, links
+    discard(packed, asked)
+    return links
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(node, i) of rows (node, axis): numbers from 0 along the axis."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            count = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(count, part), pa.int32()), pa.array(np.arange(done, done + count)), batch.column("node")], ["part", "p", "node"])
+            done += count
+
+    ordered = rows.select("node", "axis").repartitionByRange("axis", "node").sortWithinPartitions("axis", "node")
+    placed = stored(ordered.mapInArrow(run, "part int, p long, node long"), "order")
+    starts, total = {}, 0
+    for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a partition
+        starts[r["part"]] = total
+        total += r["n"]
+    if not starts:
+        return placed.select("node", F.col("p").alias("i"))
+    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
+    return placed.select("node", (start[F.col("part")] + F.col("p")).alias("i"))
 
 
 def weights(links: DataFrame, k: int) -> DataFrame:
@@ -192,7 +282,7 @@ def layout(places: DataFrame, links: DataFrame, n: int, epochs: int = 15, sample
 def _classes(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(classes, members): equal rows without NULLs as one class (node, columns..., axis), and the rows with their class."""
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    rows = rows.where(whole)
+    rows = stored(rows.where(whole), "rows")  # once: sums in another order could give other values, which then meet no class
     plane = principal_plane(rows.select(*columns).distinct(), columns, name="_axis")
     classes = stored(plane.withColumn("node", F.monotonically_increasing_id()), "classes").withColumn("axis", F.col("_axis_1"))
     return classes, rows.join(classes.select("node", *columns), columns)
@@ -201,14 +291,14 @@ def _classes(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]
 def neighbour_distances(rows: DataFrame, columns: list[str], k: int, size: int = BLOCK) -> DataFrame:
     """``rows`` without NULLs in ``columns`` with rank and distance of their k nearest different rows, equal rows being one."""
     classes, members = _classes(rows, columns)
-    _, links = nearest_rows(classes, columns, k, size)
+    links = nearest_rows(classes, columns, k, size)
     return members.join(links.select("node", "rank", "distance"), "node").drop("node")
 
 
 def neighbour_plane(rows: DataFrame, columns: list[str], k: int = 15, epochs: int = 15, size: int = BLOCK, name: str = "plane") -> DataFrame:
     """Adds ``plane_1`` and ``plane_2`` to rows without NULLs in ``columns``; rows that are equal there share a place. It starts from the principal plane."""
     classes, members = _classes(rows, columns)
-    nodes, near = nearest_rows(classes, columns, k, size)
+    nodes, near = numbered(classes), nearest_rows(classes, columns, k, size)
     n = nodes.count()
     wide = classes.agg(F.max(F.greatest(F.abs("_axis_1"), F.abs("_axis_2")))).first()[0] or 1.0
     start = nodes.join(classes, "node").select("i", (F.col("_axis_1") * (10 / wide)).alias("y1"), (F.col("_axis_2") * (10 / wide)).alias("y2"))

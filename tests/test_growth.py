@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinetrove.operators import changepoint as cp
+from kinetrove.operators import neighbour_graph as ng
 
 
 def test_gaps_between_frames_make_no_more_rounds(spark):
@@ -33,3 +35,32 @@ def test_clips_of_unequal_length_end_in_their_own_round(spark):
             event, start = event + held, stop
     got = cp.threshold_events(spark.createDataFrame(rows, "clip string, frame long, v double"), "v", 25.0, penalty=1.0, chunk=64).collect()
     assert {(r["clip"], r["frame"]): r["event_id"] for r in got} == want and len(got) == len(rows)
+
+
+def test_cells_have_equal_shares_and_blocks_are_small():
+    x = np.random.default_rng(1).standard_normal((5000, 3)) ** 3
+    cells = np.bincount(ng._cell_of(x, *ng._cells(x[::4], 4)))
+    assert len(cells) == 16 and cells.min() > 200 and cells.max() < 450
+    blocks = ng._blocks(x, 64)
+    assert max(map(len, blocks)) <= 64 and sorted(np.concatenate(blocks).tolist()) == list(range(5000))
+    assert not ng._cell_of(x, *ng._cells(x[:0], 0)).any()
+
+
+def test_neighbours_of_cells_are_exact_and_few_blocks_are_asked(spark, monkeypatch):
+    """Rows spread in three columns: a row is compared with the rows of a few blocks, not with a slice of one axis."""
+    asked = {}
+    store = ng.stored
+
+    def seen(df, name):
+        out = store(df, name)
+        if name == "asked":
+            asked[name] = out.agg(F.sum(F.size("node"))).first()[0]
+        return out
+
+    monkeypatch.setattr(ng, "stored", seen)
+    x = np.random.default_rng(5).uniform(size=(4000, 3))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "key long, a double, b double, c double")
+    got = {(r["key"], r["rank"]): r["distance"] for r in ng.neighbour_distances(df, ["a", "b", "c"], 4, 32).collect()}
+    far = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 1)[:, 1:5]
+    assert len(got) == 16000 and max(abs(got[i, k + 1] - far[i, k]) for i in range(4000) for k in range(4)) < 1e-12
+    assert asked["asked"] < 12 * 4000  # of 125 blocks
