@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import discard, each_row, stored
 from .components import components
 
-TILE = 32
+TILE, VOTES = 32, 1 << 21
 #: Binomial weights (a Gaussian of one cell) and those of its slope, over -2 .. 2 (fixed values).
 SMOOTH, SLOPE = [1, 4, 6, 4, 1], [-1, -2, 0, 2, 1]
 STEEPEST = sum(SMOOTH) * sum(x for x in SLOPE if x > 0)
@@ -185,10 +185,12 @@ def ring(radius: int) -> int:
 def circle_votes(found: DataFrame, radii: range, width: int, height: int) -> DataFrame:
     """(clip, r, cx, cy, votes, score): for each radius, the edge cells whose circle passes through a cell, as a count and as a share of a whole circle.
 
-    An edge cell votes for all centres at the radius; a row's circle is spelt out in place and summed up before the shuffle.
+    An edge cell votes for all centres at the radius; a row's circle is spelt out in place. Before that the rows are dealt out by clip and radius to tasks of
+    about ``VOTES`` votes, so the sums that a task holds do not grow with the number of clips; one clip's sums at a radius are a cell each at most.
     """
+    parts = max(1, -(-found.count() * sum(map(ring, radii)) // VOTES))
     r, dx = F.col("r"), F.col("dx")
-    rows = found.select("clip", "cx", "cy", F.explode(F.array(*map(F.lit, radii))).alias("r"))
+    rows = found.select("clip", "cx", "cy", F.explode(F.array(*map(F.lit, radii))).alias("r")).repartition(parts, "clip", "r")
     rows = rows.select("*", F.explode(F.sequence(-r, r)).alias("dx"))
     # odd numbers: their half roots are never whole
     near, far = F.sqrt(F.greatest((2 * r - 1) * (2 * r - 1) - 4 * dx * dx, F.lit(0)).cast("double")) / 2, F.sqrt(((2 * r + 1) * (2 * r + 1) - 4 * dx * dx).cast("double")) / 2

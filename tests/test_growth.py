@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrove.operators import changepoint as cp
 from kinetrove.operators import neighbour_graph as ng
+from kinetrove.operators import region
 
 
 def test_gaps_between_frames_make_no_more_rounds(spark):
@@ -64,3 +65,16 @@ def test_neighbours_of_cells_are_exact_and_few_blocks_are_asked(spark, monkeypat
     far = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 1)[:, 1:5]
     assert len(got) == 16000 and max(abs(got[i, k + 1] - far[i, k]) for i in range(4000) for k in range(4)) < 1e-12
     assert asked["asked"] < 12 * 4000  # of 125 blocks
+
+
+def test_votes_are_summed_in_tasks_that_do_not_grow(spark, monkeypatch):
+    """Ten times the clips are about ten times the tasks, each with whole circles' cells of its own."""
+    monkeypatch.setattr(region, "VOTES", 1 << 12, raising=False)
+    edges = lambda n: spark.createDataFrame([(f"c{c}", 20 + k, 20) for c in range(n) for k in range(9)], "clip string, cx int, cy int").coalesce(1)
+    rows = {}
+    for n in (4, 40):
+        votes = region.circle_votes(edges(n), range(3, 8), 60, 60)
+        held = votes.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        rows[n] = [r["count"] for r in held]
+        assert votes.agg(F.sum("votes")).first()[0] == n * 9 * sum(map(region.ring, range(3, 8)))
+    assert len(rows[40]) > 4 * len(rows[4]) and max(rows[40]) < 4 * max(rows[4])
