@@ -3,14 +3,15 @@
 Rows are dealt to cells, boxes of all columns whose bounds are fitted on some rows, and packed into blocks, smaller boxes. A row's k-th nearest
 row in its own block bounds how far its neighbours can lie, so it is compared with the rows of those blocks alone whose box it reaches: a few, however many
 rows there are. The k nearest are exact. Each row's distances become weights by a bandwidth of its own, the two directions of a
-link are united, and epochs of attraction along links and repulsion from hashed samples move the rows, each epoch one stored table.
+link are united, and epochs of attraction along links and repulsion from hashed samples move the rows, each epoch one stored table of parts of rows, which
+tell each other the places that their links and samples need.
 No table of all rows reaches the driver or a single task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -30,6 +31,9 @@ CURVE_A, CURVE_B = 1.577, 0.895
 CELLS, BLOCKS_A_CELL, FITTED = 1024, 16, 1 << 15
 PACKED = "cell int, block long, lo array<double>, hi array<double>, node array<long>, v array<double>, bound array<double>"
 ASKED = "other long, node array<long>, v array<double>, bound array<double>"
+#: Rows of a part of the layout.
+PART = 1 << 13
+PLACES, ASKS = "part long, y binary", "part long, asker long, at binary, place binary"
 
 
 def _cells(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,25 +193,24 @@ def nearest_rows(rows: DataFrame, columns: list[str], k: int, size: int = BLOCK)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """(node, i) of rows (node, axis): numbers from 0 along the axis."""
+    """``rows`` (node, axis, ...) with i: numbers from 0 along the axis."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             count = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(count, part), pa.int32()), pa.array(np.arange(done, done + count)), batch.column("node")], ["part", "p", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(count, part), pa.int32()), pa.array(np.arange(done, done + count)), *batch.columns], ["part", "p", *batch.schema.names])
             done += count
 
-    ordered = rows.select("node", "axis").repartitionByRange("axis", "node").sortWithinPartitions("axis", "node")
-    placed = stored(ordered.mapInArrow(run, "part int, p long, node long"), "order")
+    ordered = rows.repartitionByRange("axis", "node").sortWithinPartitions("axis", "node")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    placed = stored(ordered.mapInArrow(run, f"part int, p long, {fields}"), "order")
     starts, total = {}, 0
     for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a partition
         starts[r["part"]] = total
         total += r["n"]
-    if not starts:
-        return placed.select("node", F.col("p").alias("i"))
-    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
-    return placed.select("node", (start[F.col("part")] + F.col("p")).alias("i"))
+    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")] if starts else F.lit(0)
+    return placed.select(*rows.columns, (start + F.col("p")).alias("i"))
 
 
 def weights(links: DataFrame, k: int) -> DataFrame:
@@ -247,8 +250,109 @@ def weights(links: DataFrame, k: int) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("near"), "weight").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("near"), "weight"))
 
 
-def _clipped(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(4.0)), F.lit(-4.0))
+def _split(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each different key with its rows of ``columns``."""
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order])) + 1
+    for at in np.split(order, edges) if len(order) else []:
+        yield int(key[at[0]]), [c[at] for c in columns]
+
+
+def _push_asks(samples: int, parts: int):
+    """Rows (i, j: ``samples`` rows that push it) as asks: a part's rows and the places in another part that they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = np.repeat(batch.column("i").to_numpy(), samples), batch.column("j").flatten().to_numpy()
+            i, j = i[i != j], j[i != j]
+            split = list(_split(i // PART * parts + j // PART, (i % PART).astype(np.int32), (j % PART).astype(np.int32)))
+            values = pa.array([key % parts for key, _ in split], pa.int64()), pa.array([key // parts for key, _ in split], pa.int64()), *(pa.array([c[k].tobytes() for _, c in split], pa.binary()) for k in range(2))
+            yield pa.RecordBatch.from_arrays(list(values), ["part", "asker", "at", "place"])
+
+    return run
+
+
+def _pull_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The asks of parts for the other ends of their links, one for each part that holds some."""
+    for batch in batches:
+        for part, wanted in zip(batch.column("part").to_pylist(), batch.column("wanted")):
+            j = np.frombuffer(wanted.as_buffer(), np.int64)
+            split = list(_split(j // PART, (j % PART).astype(np.int32)))
+            values = pa.array([of for of, _ in split], pa.int64()), pa.array([part] * len(split), pa.int64()), pa.nulls(len(split), pa.binary()), pa.array([c[0].tobytes() for _, c in split], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(values), ["part", "asker", "at", "place"])
+
+
+def _pack_links(links: pa.Table) -> pa.Table:
+    """A part's links: rows, other ends as places in ``wanted`` (the different ones, in order), and shares of the rows' total weight."""
+    i, j, weight = (links.column(c).to_numpy() for c in ("i", "j", "weight"))
+    wanted, place = np.unique(j, return_inverse=True)
+    at = i % PART
+    share = weight / np.bincount(at, weights=weight)[at]
+    values = at.astype(np.int32), place.astype(np.int32), share, wanted
+    return pa.table([pa.array([i[0] // PART], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], ["part", "at", "place", "share", "wanted"])
+
+
+def _pack_places(places: pa.Table) -> pa.Table:
+    i = places.column("i").to_numpy()
+    y = np.column_stack([places.column(c).to_numpy() for c in ("y1", "y2")])[np.argsort(i)]
+    return pa.table([pa.array([i[0] // PART], pa.int64()), pa.array([y.tobytes()], pa.binary())], ["part", "y"])
+
+
+def _unpack_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, packed in zip(batch.column("part").to_pylist(), batch.column("y")):
+            y = _points(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(part * PART + np.arange(len(y))), pa.array(y[:, 0].copy()), pa.array(y[:, 1].copy())], ["i", "y1", "y2"])
+
+
+def _points(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer()).reshape(-1, 2)
+
+
+def _answer(mine: pa.Table, asks: pa.Table) -> pa.Table:
+    """A part's places for those who asked, and for itself (sender -1)."""
+    part, y = mine.column("part")[0].as_py(), _points(mine.column("y")[0])
+    told = [y[np.frombuffer(place.as_buffer(), np.int32)].tobytes() for place in asks.column("place")]
+    to, sender = [part, *asks.column("asker").to_pylist()], [-1] + [part] * len(told)
+    at = [None, *asks.column("at").to_pylist()]
+    return pa.table([pa.array(to, pa.int64()), pa.array(sender, pa.int64()), pa.array(at, pa.binary()), pa.array([y.tobytes(), *told], pa.binary())], ["part", "sender", "at", "y"])
+
+
+def _force(y: np.ndarray, at: np.ndarray, z: np.ndarray, factor: Callable[[np.ndarray], np.ndarray], share: np.ndarray | float) -> np.ndarray:
+    """The sums by row of what the points z do to the rows ``at`` of y."""
+    gap = y[at] - z
+    square = np.maximum((gap * gap).sum(1), 1e-12)
+    each = np.clip(factor(square)[:, None] * gap, -4.0, 4.0) * (share[:, None] if isinstance(share, np.ndarray) else share)
+    return np.column_stack([np.bincount(at, weights=each[:, c], minlength=len(y)) for c in range(2)])
+
+
+def _along(square: np.ndarray) -> np.ndarray:
+    return -2 * CURVE_A * CURVE_B * square ** (CURVE_B - 1) / (1 + CURVE_A * square**CURVE_B)
+
+
+def _away(square: np.ndarray) -> np.ndarray:
+    return 2 * CURVE_B / ((0.001 + square) * (1 + CURVE_A * square**CURVE_B))
+
+
+def _move(rate: float, repulsion: float):
+    """A part's rows moved, by what it was told and its links."""
+
+    def run(told: pa.Table, links: pa.Table) -> pa.Table:
+        sender, at, sent = told.column("sender").to_pylist(), told.column("at").to_pylist(), told.column("y")
+        own = sender.index(-1)
+        y = _points(sent[own])
+        force = np.zeros_like(y)
+        if links.num_rows:
+            ends = np.concatenate([_points(sent[m]) for m in sorted((m for m, a in enumerate(at) if a is None and m != own), key=sender.__getitem__)])
+            row, place, share = (np.frombuffer(links.column(c)[0].as_buffer(), kind) for c, kind in (("at", np.int32), ("place", np.int32), ("share", np.float64)))
+            force += _force(y, row, ends[place], _along, share)
+        pushed = [m for m, a in enumerate(at) if a is not None]
+        if pushed:
+            row = np.concatenate([np.frombuffer(at[m], np.int32) for m in pushed])
+            force += _force(y, row, np.concatenate([_points(sent[m]) for m in pushed]), _away, repulsion)
+        return pa.table([pa.array([told.column("part")[own].as_py()], pa.int64()), pa.array([(y + rate * force).tobytes()], pa.binary())], ["part", "y"])
+
+    return run
 
 
 def layout(places: DataFrame, links: DataFrame, n: int, epochs: int = 15, samples: int = 5, repulsion: float = 0.2, seed: int = 7) -> DataFrame:
@@ -256,27 +360,26 @@ def layout(places: DataFrame, links: DataFrame, n: int, epochs: int = 15, sample
 
     A row moves by the weighted mean of its links' pulls and ``samples`` pushes, each cut to 4, times a rate that falls from 1 to 0. Pushes come
     from rows chosen by a hash of the row, epoch, sample and ``seed``.
+
+    Rows are kept in parts of ``PART``, a table row each. In an epoch a part tells others the places of those of its rows that their links or pushes need, each
+    once for all links of a part, and moves its own by what it was told: links and rows are packed once, not joined and sorted anew.
     """
-    total = links.groupBy("i").agg(F.sum("weight").alias("total"))
-    at = stored(places.join(total, "i", "left").select("i", "y1", "y2", F.coalesce("total", F.lit(0.0)).alias("total")), "places")
+    parts, spark = -(-n // PART), places.sparkSession
+    of = F.expr(f"i div {PART}").alias("part")
+    pulls = stored(links.select(of, "i", "j", "weight").groupBy("part").applyInArrow(_pack_links, "part long, at binary, place binary, share binary, wanted binary"), "links")
+    needs = stored(pulls.select("part", "wanted").mapInArrow(_pull_asks, ASKS), "needs")
+    at = stored(places.select(of, "i", "y1", "y2").groupBy("part").applyInArrow(_pack_places, PLACES), "places")
+    rows = spark.range(parts).select(F.explode(F.sequence(F.col("id") * PART, F.least((F.col("id") + 1) * PART, F.lit(n)) - 1)).alias("i"))
     for epoch in range(epochs):
-        there = at.select(F.col("i").alias("j"), F.col("y1").alias("z1"), F.col("y2").alias("z2"))
-        dx, dy = F.col("y1") - F.col("z1"), F.col("y2") - F.col("z2")
-        square = F.greatest(dx * dx + dy * dy, F.lit(1e-12))
-        pull = F.col("weight") / F.col("total") * 1.0
-        along = -2 * CURVE_A * CURVE_B * F.pow(square, CURVE_B - 1) / (1 + CURVE_A * F.pow(square, CURVE_B))
-        away = 2 * CURVE_B / ((0.001 + square) * (1 + CURVE_A * F.pow(square, CURVE_B)))
-        mine = at.select("i", "y1", "y2", "total")
-        drawn = links.join(mine, "i").join(there, "j").select("i", "y1", "y2", "total", (pull * _clipped(along * dx)).alias("fx"), (pull * _clipped(along * dy)).alias("fy"))
-        chosen = mine.select("*", F.explode(F.array(*[F.pmod(F.xxhash64("i", F.lit(epoch), F.lit(s), F.lit(seed)), F.lit(n)) for s in range(samples)])).alias("j"))
-        pushed = chosen.join(there, "j").where("i <> j").select("i", "y1", "y2", "total", (repulsion * _clipped(away * dx)).alias("fx"), (repulsion * _clipped(away * dy)).alias("fy"))
-        rest = mine.select("*", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-        rate = 1 - epoch / epochs
-        moved = drawn.unionByName(pushed).unionByName(rest).groupBy("i").agg(*[F.max(c).alias(c) for c in ("y1", "y2", "total")], F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        after = stored(moved.select("i", (F.col("y1") + rate * F.col("fx")).alias("y1"), (F.col("y2") + rate * F.col("fy")).alias("y2"), "total"), "places")
+        chosen = rows.select("i", F.array(*[F.pmod(F.xxhash64("i", F.lit(epoch), F.lit(s), F.lit(seed)), F.lit(n)) for s in range(samples)]).alias("j"))
+        asks = needs.unionByName(chosen.mapInArrow(_push_asks(samples, parts), ASKS))
+        told = at.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(_answer, "part long, sender long, at binary, y binary")
+        moved = told.groupBy("part").cogroup(pulls.drop("wanted").groupBy("part")).applyInArrow(_move(1 - epoch / epochs, repulsion), PLACES)
+        after = stored(moved, "places")
         discard(at)
         at = after
-    return at.select("i", "y1", "y2")
+    discard(pulls, needs)
+    return at.mapInArrow(_unpack_places, "i long, y1 double, y2 double")
 
 
 def _classes(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -298,13 +401,12 @@ def neighbour_distances(rows: DataFrame, columns: list[str], k: int, size: int =
 def neighbour_plane(rows: DataFrame, columns: list[str], k: int = 15, epochs: int = 15, size: int = BLOCK, name: str = "plane") -> DataFrame:
     """Adds ``plane_1`` and ``plane_2`` to rows without NULLs in ``columns``; rows that are equal there share a place. It starts from the principal plane."""
     classes, members = _classes(rows, columns)
-    nodes, near = numbered(classes), nearest_rows(classes, columns, k, size)
-    n = nodes.count()
-    wide = classes.agg(F.max(F.greatest(F.abs("_axis_1"), F.abs("_axis_2")))).first()[0] or 1.0
-    start = nodes.join(classes, "node").select("i", (F.col("_axis_1") * (10 / wide)).alias("y1"), (F.col("_axis_2") * (10 / wide)).alias("y2"))
-    ids = nodes.select("node", "i")
-    links = weights(near, k).join(ids, "node").join(ids.select(F.col("node").alias("near"), F.col("i").alias("j")), "near").select("i", "j", "weight")
-    links = stored(links, "weights")
-    placed = layout(start, links, n, epochs).join(nodes, "i").select("node", F.col("y1").alias(f"{name}_1"), F.col("y2").alias(f"{name}_2"))
-    discard(near, links)
+    ordered = numbered(classes)
+    n = ordered.count()
+    wide = ordered.agg(F.max(F.greatest(F.abs("_axis_1"), F.abs("_axis_2")))).first()[0] or 1.0
+    start = ordered.select("i", (F.col("_axis_1") * (10 / wide)).alias("y1"), (F.col("_axis_2") * (10 / wide)).alias("y2"))
+    near = nearest_rows(ordered.select(F.col("i").alias("node"), *columns), columns, k, size)
+    links = weights(near, k).select(F.col("node").alias("i"), F.col("near").alias("j"), "weight")
+    placed = layout(start, links, n, epochs).join(ordered.select("i", "node"), "i").select("node", F.col("y1").alias(f"{name}_1"), F.col("y2").alias(f"{name}_2"))
+    discard(near)
     return members.join(placed, "node").drop("node")

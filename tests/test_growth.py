@@ -78,3 +78,46 @@ def test_votes_are_summed_in_tasks_that_do_not_grow(spark, monkeypatch):
         rows[n] = [r["count"] for r in held]
         assert votes.agg(F.sum("votes")).first()[0] == n * 9 * sum(map(region.ring, range(3, 8)))
     assert len(rows[40]) > 4 * len(rows[4]) and max(rows[40]) < 4 * max(rows[4])
+
+
+def test_epochs_of_the_layout_keep_rows_in_parts_and_move_them_right(spark, monkeypatch):
+    """An epoch stores a row a part, not a row a node, and moves nodes as the direct sums say."""
+    n, epochs, samples, seed = 20_000, 3, 5, 7
+    written = []
+    store = ng.stored
+
+    def seen(df, name):
+        out = store(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(ng, "stored", seen)
+    rng = np.random.default_rng(6)
+    y = rng.uniform(-9, 9, (n, 2))
+    links = [(i, (i + s) % n) for i in range(n - 5) for s in (1, n - 1, 7777, 12_345)]  # the last five have none
+    weight = rng.uniform(0.1, 1, len(links))
+    places = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(y)], "i long, y1 double, y2 double")
+    table = spark.createDataFrame([(*ij, float(w)) for ij, w in zip(links, weight)], "i long, j long, weight double")
+    got = {r["i"]: (r["y1"], r["y2"]) for r in ng.layout(places, table, n, epochs, samples, seed=seed).collect()}
+    a, b = np.array(links).T
+    share = (weight / np.bincount(a, weights=weight, minlength=n)[a])[:, None]
+    for epoch in range(epochs):
+        hashes = spark.range(n).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(epoch), F.lit(s), F.lit(seed)), F.lit(n)) for s in range(samples)]).alias("j")).orderBy("id").collect()
+        j = np.array([r["j"] for r in hashes]).ravel()
+        i = np.repeat(np.arange(n), samples)
+        force = np.zeros_like(y)
+        for at, other, share_of, pull in ((a, b, share, True), (i[i != j], j[i != j], 0.2, False)):
+            gap = y[at] - y[other]
+            d = np.maximum((gap**2).sum(1), 1e-12)[:, None]
+            factor = -2 * ng.CURVE_A * ng.CURVE_B * d ** (ng.CURVE_B - 1) / (1 + ng.CURVE_A * d**ng.CURVE_B) if pull else 2 * ng.CURVE_B / ((0.001 + d) * (1 + ng.CURVE_A * d**ng.CURVE_B))
+            np.add.at(force, at, share_of * np.clip(factor * gap, -4, 4))
+        y = y + (1 - epoch / epochs) * force
+    assert sorted(got) == list(range(n)) and max(np.abs(np.array(got[k]) - y[k]).max() for k in range(n)) < 1e-9
+    assert sum(name == "places" for name, _ in written) == epochs + 1 and all(count <= 3 for name, count in written if name == "places")
+
+
+def test_a_plane_of_no_rows_and_of_one(spark):
+    rows = spark.createDataFrame([(1, 2.0, 3.0), (2, None, 1.0), (3, 2.0, 3.0)], "key long, a double, b double")
+    assert ng.neighbour_plane(rows.where("a is null"), ["a", "b"]).count() == 0
+    got = ng.neighbour_plane(rows, ["a", "b"]).collect()
+    assert {r["key"] for r in got} == {1, 3} and len({(r["plane_1"], r["plane_2"]) for r in got}) == 1
